@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["normalizing", "filtering"]
+FAMILIES = ["normalizing", "filtering", "ranking"]
 
 
 def load():

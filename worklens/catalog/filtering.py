@@ -96,7 +96,7 @@ tagged AS (
 
 
 def marked(spark, sf_dir, options=OPTIONS):
-    return filters.mark_stages(normalized(spark, sf_dir), CANDIDATE.columns(), options, as_of())
+    return filters.mark_stages(normalized(spark, sf_dir), CANDIDATE.columns(spark), options, as_of())
 
 
 # --- queries ------------------------------------------------------------------
@@ -173,7 +173,7 @@ _PREFS = "prefs(place, cities, regions) AS (VALUES " + ", ".join(
 def filter_report_by_profile(spark, sf_dir):
     """Each posting is judged by the profile of the same key; one report per preference."""
     pairs = normalized(spark, sf_dir).join(
-        shapes.profiles(spark, sf_dir), F.col("posting_id") == F.col("profile_id")
+        filters.prepare(shapes.profiles(spark, sf_dir)), F.col("posting_id") == F.col("profile_id")
     )
     judged = filters.mark_stages(pairs, ProfileColumns.of(), OPTIONS, as_of())
     return filters.report(judged, ["p_remote_preference"]).select(

@@ -11,6 +11,16 @@ SPACES = " \t\n\r\x0b\x0c"
 DAY = 86400
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it.
+
+    The optimizer inlines a projected column that has one textual use, also
+    when that use sits in a lambda or in a conditional branch that runs many
+    times per row. Binding it as a lambda variable keeps it to one evaluation.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column, chars: str = SPACES) -> Column:
     """Trim whitespace of every kind, not blanks alone."""
     return F.trim(c, F.lit(chars))
@@ -52,14 +62,23 @@ def split(c: Column, pattern: str, ignore_case: bool = True) -> Column:
     return F.split(c, ("(?i)" if ignore_case else "") + pattern)
 
 
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def words(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Constant array, written as one expression so that building the plan stays cheap."""
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
+
+
+def within(c: Column, values: list[str]) -> Column:
+    return F.array_contains(words(values), c)
 
 
 def lookup(values: dict[str, str], key: Column) -> Column:
     """Constant map lookup, NULL for an unknown key."""
-    pairs = [F.lit(x) for kv in values.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(quoted(x) for kv in values.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def title_case(c: Column) -> Column:

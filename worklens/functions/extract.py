@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed, urls
-from .base import capture, filled, found, replace, split, strip, text, title_case
+from .base import capture, filled, found, replace, split, strip, text, title_case, within
 from .places import city_in_text
 
 BOARD_SUFFIX = r"\s*[-–|]\s*(?:LinkedIn|Indeed|Glassdoor|Monster|ZipRecruiter).*"
@@ -69,7 +69,7 @@ def title_from_slug(url: Column) -> Column:
 def _text_company(snippet: Column, pattern: str, group: int = 1, longest: int | None = None) -> Column:
     name = strip(capture(snippet, pattern, group))
     head = F.lower(F.get(split(name, r"\s+", False), F.lit(0)))
-    ok = (F.length(name) >= 3) & ~head.isin(fixed.STOP_WORDS)
+    ok = (F.length(name) >= 3) & ~within(head, fixed.STOP_WORDS)
     if longest:
         ok = ok & (F.length(name) <= longest)
     return F.when(ok, name)
@@ -108,7 +108,7 @@ def site_company(body: Column, parts: Column) -> Column:
     pattern = r"\b(at|by|via)\s+([A-Z][A-Za-z0-9&. ]+?)(?:\s+[-–]|\s+(?:is|has|in)\s+|\.|$)"
     second = F.when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1))))
     head = F.lower(F.get(split(second, r"\s+", False), F.lit(0)))
-    usable = (F.length(second) >= 3) & ~head.isin(fixed.STOP_WORDS)
+    usable = (F.length(second) >= 3) & ~within(head, fixed.STOP_WORDS)
     return F.coalesce(
         _text_company(text(body), pattern, 2, 50), F.when(usable, second), F.lit("Unknown")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed, urls
-from .base import found, found_any, strip, text
+from .base import found, found_any, strip, text, within
 from .words import long_tokens
 
 
@@ -61,7 +61,7 @@ def is_junk_title(title: Column) -> Column:
 
 
 def _has_dead_segment(path: Column) -> Column:
-    return F.exists(F.split(F.lower(path), "/"), lambda s: s.isin(fixed.DEAD_PATH_SEGMENTS))
+    return F.exists(F.split(F.lower(path), "/"), lambda s: within(s, fixed.DEAD_PATH_SEGMENTS))
 
 
 def _is_root(path: Column) -> Column:
@@ -72,10 +72,8 @@ def is_alive(url: Column, status: Column, final_url: Column, body: Column) -> Co
     """Verdict on a crawled posting: false only on a hard sign that it is gone."""
     went, asked = urls.path(final_url), urls.path(url)
     # The marker test reads the first 4096 bytes of the body.
-    head = F.lower(F.decode(F.substring(F.encode(text(body), "UTF-8"), 1, 4096), "UTF-8"))
-    dead_text = F.lit(False)
-    for marker in fixed.DEAD_BODY_MARKERS:
-        dead_text = dead_text | F.contains(head, F.lit(marker))
+    head = F.lower(F.substring(text(body).cast("binary"), 1, 4096).cast("string"))
+    dead_text = head.rlike("|".join(fixed.DEAD_BODY_MARKERS))
     dead = (
         status.isin(404, 410)
         | (_has_dead_segment(went) & ~_has_dead_segment(asked))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed, urls
-from .base import capture, found, replace, strip, text, title_case
+from .base import capture, found, replace, strip, text, title_case, within
 from .extract import clean_portal_title, title_from_slug
 
 MAX_DESCRIPTION = 3000
@@ -87,7 +87,7 @@ def location(lines: Column, url: Column) -> Column:
     def place(line: Column) -> Column:
         parts = F.filter(F.transform(F.split(line, ","), strip), lambda s: s != "")
         known = F.size(
-            F.filter(parts, lambda t: F.replace(F.lower(t), F.lit("-"), F.lit(" ")).isin(fixed.CITY_SLUGS))
+            F.filter(parts, lambda t: within(F.replace(F.lower(t), F.lit("-"), F.lit(" ")), fixed.CITY_SLUGS))
         )
         shaped = F.forall(parts, lambda t: t.rlike(r"^[A-Za-z][A-Za-z &.\-]{0,30}$"))
         ok = (

@@ -6,21 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .base import capture, filled, found, lookup, split, strip, text
-
-CITIES = sorted({city for _, city in fixed.CITY_SYNONYMS})
-
-
-def _padded(c: Column) -> Column:
-    """Lower-cased text whose every non-alphanumeric character is one blank, so positions hold."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text(c)), "[^a-z0-9]", " "), F.lit(" "))
-
-
-def _position(raw: Column, padded: Column, key: str) -> Column:
-    if " " in key or "-" in key:
-        return F.regexp_instr(raw, F.lit(rf"(?<![a-z0-9]){key}(?![a-z0-9])"))
-    return F.instr(padded, f" {key} ")
-
+from .base import capture, found, let, lookup, quoted, split, strip, text, words
 
 #: Phrase forms that contain an earlier listed form of the same city can never
 #: be the first form found, so testing them changes nothing.
@@ -32,26 +18,48 @@ _SHADOWED = {
 }
 
 
+def _one_word(key: str) -> str:
+    return key.replace(" ", "0").replace("-", "1")
+
+
 def _named_city(c: Column, exclude: list[str] = ()) -> Column:
     """Earliest named city; a specific one beats India and Remote. NULL when none is named.
 
-    One long per city packs (generic, position, alphabetical number), so the
-    choice is a plain ``least`` over numbers with no arrays or lambdas.
+    The text is cut into words once and reduced, by one hash intersection, to
+    the place words in order of appearance. Order is worked out on those few
+    alone: per city its first listed form counts, then the earliest city wins.
     """
-    raw, padded = F.lower(text(c)), _padded(c)
-    codes = []
-    for number, city in enumerate(CITIES):
-        keys = [k for k, v in fixed.CITY_SYNONYMS if v == city and k not in exclude and k not in _SHADOWED]
-        if not keys:
-            continue
-        at = F.coalesce(*[F.nullif(_position(raw, padded, k), F.lit(0)) for k in keys])
-        generic = 1 if city in fixed.GENERIC_PLACES else 0
-        codes.append(at.cast("bigint") * 256 + F.lit(generic * (1 << 52) + number))
-    best = F.least(*codes)
-    return F.try_element_at(
-        F.array(*[F.lit(x) for x in CITIES]), (best.bitwiseAND(F.lit(255)) + 1).cast("int")
+    keys = [(i, k, v) for i, (k, v) in enumerate(fixed.CITY_SYNONYMS) if k not in exclude and k not in _SHADOWED]
+    low = F.lower(text(c))
+    for _, key, _city in keys:
+        if _one_word(key) != key:
+            low = F.regexp_replace(low, rf"(?<![a-z0-9]){key}(?![a-z0-9])", _one_word(key))
+    named = F.array_intersect(F.split(low, "[^a-z0-9]+"), words([_one_word(k) for _, k, _ in keys]))
+    table = F.expr(
+        "map("
+        + ", ".join(
+            f"{quoted(_one_word(k))}, named_struct('form', {i}, 'generic', {int(v in fixed.GENERIC_PLACES)}, 'city', {quoted(v)})"
+            for i, k, v in keys
+        )
+        + ")"
     )
 
+    def earliest(found: Column) -> Column:
+        known = F.transform(found, lambda w, at: F.struct(at.alias("at"), F.try_element_at(table, w).alias("k")))
+
+        def first_forms(all_known: Column) -> Column:
+            return F.filter(
+                all_known,
+                lambda x: ~F.exists(
+                    all_known, lambda y: (y["k"]["city"] == x["k"]["city"]) & (y["k"]["form"] < x["k"]["form"])
+                ),
+            )
+
+        order = F.transform(let(known, first_forms), lambda x: F.struct(x["k"]["generic"], x["at"], x["k"]["city"].alias("city")))
+        return F.array_min(order)["city"]
+
+    return F.get(F.transform(F.filter(F.array(named), lambda w: F.size(w) > 0), earliest), F.lit(0))
+
 
 def city(location: Column) -> Column:
     """Canonical city of a location field, else its first capitalized word or two, else ''."""

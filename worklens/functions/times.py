@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .base import DAY, capture, filled, found, lookup, replace, strip, text
+from .base import DAY, capture, filled, found, let, lookup, replace, strip, text
 
 UNIT_DAYS = {"second": 0, "minute": 0, "hour": 0, "day": 1, "week": 7, "month": 30, "year": 365}
 AGO = r"(\d+)\s*(second|minute|hour|day|week|month|year)s?\s+ago"
@@ -92,7 +92,10 @@ def snippet_older_than(snippet: Column, days: int, as_of: Column) -> Column:
     The first number of each unit counts, bare and after a "posted" word; then
     one "posted: jan 5, 2024" date, in the current year when it names none.
     """
-    low = F.lower(text(snippet))
+    return let(F.lower(text(snippet)), lambda low: _stated_age_above(low, days, as_of))
+
+
+def _stated_age_above(low: Column, days: int, as_of: Column) -> Column:
     stated = [
         capture(low, lead + pattern, 1, False).try_cast("bigint") * unit > days
         for lead in ("", SNIPPET_LEAD)

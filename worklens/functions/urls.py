@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .base import capture, filled, replace, strip, text, title_case
+from .base import capture, filled, replace, strip, text, title_case, within
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -36,11 +36,11 @@ def company_from_host(url: Column) -> Column:
     last = F.size(labels) - 1
 
     def meaningful(x: Column) -> Column:
-        return ~x.isin(fixed.TLD_LABELS + fixed.GENERIC_HOST_LABELS) & ~x.rlike(r"^wd\d+$")
+        return ~within(x, fixed.TLD_LABELS + fixed.GENERIC_HOST_LABELS) & ~x.rlike(r"^wd\d+$")
 
-    named = F.filter(labels, lambda x, i: (i < last) & meaningful(x) & ~x.isin(fixed.PLATFORM_LABELS))
+    named = F.filter(labels, lambda x, i: (i < last) & meaningful(x) & ~within(x, fixed.PLATFORM_LABELS))
     rest = F.filter(labels, meaningful)
-    only_platforms = F.forall(rest, lambda x: x.isin(fixed.PLATFORM_LABELS))
+    only_platforms = F.forall(rest, lambda x: within(x, fixed.PLATFORM_LABELS))
     return (
         F.when(F.size(named) > 0, title_case(F.get(named, F.lit(0))))
         .when(only_platforms, "")
@@ -51,7 +51,7 @@ def company_from_host(url: Column) -> Column:
 def company_from_domain(url: Column) -> Column:
     """First host label that is not a generic one."""
     labels = F.split(replace(host(url), r"^www\d*\.", "", False), r"\.")
-    kept = F.filter(labels, lambda x: ~x.isin(fixed.SKIP_DOMAIN_LABELS))
+    kept = F.filter(labels, lambda x: ~within(x, fixed.SKIP_DOMAIN_LABELS))
     return title_case(F.when(F.size(kept) > 0, F.get(kept, F.lit(0))).otherwise(F.get(labels, F.lit(0))))
 
 
@@ -111,10 +111,10 @@ def slug_parts(url: Column) -> Column:
 def company_from_slug(url: Column) -> Column:
     """Last words before the trailing cities; generic company words pull in the one before."""
     parts = slug_parts(url)
-    named = F.transform(parts, lambda p, i: F.when(~p.isin(fixed.CITY_SLUGS), i + 1).otherwise(0))
+    named = F.transform(parts, lambda p, i: F.when(~within(p, fixed.CITY_SLUGS), i + 1).otherwise(0))
     last = F.coalesce(F.array_max(named), F.lit(0))
     at = lambda back: F.get(parts, (last - 1 - back).cast("int"))
-    generic = lambda back: F.coalesce(at(back).isin(fixed.GENERIC_COMPANY_WORDS), F.lit(False))
+    generic = lambda back: F.coalesce(within(at(back), fixed.GENERIC_COMPANY_WORDS), F.lit(False))
     take = (
         F.when(generic(0) & (last >= 2) & generic(1) & (last >= 3), 3)
         .when(generic(0) & (last >= 2), 2)
@@ -125,7 +125,7 @@ def company_from_slug(url: Column) -> Column:
 
 
 def locations_from_slug(url: Column) -> Column:
-    cities = F.filter(slug_parts(url), lambda p: p.isin(fixed.CITY_SLUGS))
+    cities = F.filter(slug_parts(url), lambda p: within(p, fixed.CITY_SLUGS))
     return F.array_join(F.transform(cities, lambda p: title_case(F.replace(p, F.lit("-"), F.lit(" ")))), ", ")
 
 

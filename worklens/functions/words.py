@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .base import replace, strip, text, words
+from .base import let, quoted, replace, strip, text, within, words
 
 TOKEN = r"[a-z0-9+#.]+"
 
@@ -24,7 +24,7 @@ def blank_terms(c: Column) -> Column:
 def significant_terms(c: Column) -> Column:
     """Terms that are no stop word and longer than one letter; all terms when none is."""
     terms = blank_terms(c)
-    kept = F.filter(terms, lambda t: (F.length(t) > 1) & ~t.isin(fixed.STOP_WORDS))
+    kept = F.filter(terms, lambda t: (F.length(t) > 1) & ~within(t, fixed.STOP_WORDS))
     return F.when(F.size(kept) > 0, kept).otherwise(terms)
 
 
@@ -43,50 +43,60 @@ def match_key(c: Column) -> Column:
 
 def valid_query(c: Column) -> Column:
     """At least two words that say something."""
-    terms = F.filter(F.split(F.lower(text(c)), r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(fixed.STOP_WORDS))
+    terms = F.filter(F.split(F.lower(text(c)), r"\s+"), lambda t: (F.length(t) > 1) & ~within(t, fixed.STOP_WORDS))
     return F.size(terms) >= 2
 
 
 # Skill matching. Two boundary rules exist and differ at the edges:
 #
-# * word form, the rule of scoring: both ends lie on a regex word boundary;
-# * edge form, the rule of must-have skills: no [a-z0-9] touches either end.
-#
-# Marking the boundaries once per text turns either rule into a substring
-# test, so the number of skills adds no regex work and skills may come from a
-# column.
+# * word rule, of scoring: both ends lie on a regex word boundary;
+# * edge rule, of must-have skills: no [a-z0-9] touches either end.
+
+
+def _pattern(form: Column, edges: bool) -> Column:
+    head, tail = ("(?<![a-z0-9])", "(?![a-z0-9])") if edges else (r"\b", r"\b")
+    return F.concat(F.lit(head + r"\Q"), form, F.lit(r"\E" + tail))
 
-_WORD, _LEFT, _RIGHT = "\u0001", "\u0002", "\u0003"
 
+def needles(skills: Column, variants: bool) -> Column:
+    """Per skill: the skill and its written forms, each with the pattern of its rule.
 
-def word_marked(c: Column) -> Column:
-    return F.regexp_replace(F.lower(text(c)), r"\b", _WORD)
+    Worked out once per profile. ``variants`` selects the edge rule and the
+    synonyms that belong to it.
+    """
 
+    def one(s: Column) -> Column:
+        forms = skill_variants(s) if variants else F.array(s)
+        pairs = F.transform(forms, lambda v: F.struct(v.alias("plain"), _pattern(v, variants).alias("pattern")))
+        return F.struct(s.alias("skill"), pairs.alias("forms"))
 
-def word_needle(skill: Column) -> Column:
-    inner = F.trim(F.regexp_replace(F.lower(skill), r"\b", _WORD), F.lit(_WORD))
-    return F.concat(F.lit(_WORD), inner, F.lit(_WORD))
+    return F.transform(skills, one)
 
 
-def edge_marked(c: Column) -> Column:
-    """Text with a right mark where no alphanumeric follows and a left mark where none precedes."""
-    right = F.regexp_replace(F.lower(text(c)), r"(?![a-z0-9])", _RIGHT)
-    return F.regexp_replace(right, rf"(^|[^a-z0-9{_RIGHT}])({_RIGHT}?)", rf"$1$2{_LEFT}")
+def hits(body: Column, skill_needles: Column) -> Column:
+    """Skills found in ``body``, in their given order.
 
+    A form's pattern runs only where the form occurs as a plain substring, so
+    most (text, skill) pairs cost one substring search and no regex.
+    """
 
-def edge_needle(variant: Column) -> Column:
-    marked = edge_marked(variant)
-    # Outer marks depend on the text around, so the needle keeps only the two it requires.
-    inner = F.regexp_replace(marked, rf"^{_RIGHT}?{_LEFT}|{_RIGHT}{_LEFT}?$", "")
-    return F.concat(F.lit(_LEFT), inner, F.lit(_RIGHT))
+    def search(low: Column) -> Column:
+        found = F.filter(
+            skill_needles,
+            lambda n: F.exists(n["forms"], lambda v: F.contains(low, v["plain"]) & F.rlike(low, v["pattern"])),
+        )
+        return F.transform(found, lambda n: n["skill"])
+
+    return let(F.lower(text(body)), search)
 
 
 def skill_variants(skill: Column) -> Column:
     key = F.lower(strip(skill))
-    pairs: list[Column] = []
-    for name, variants in fixed.SKILL_VARIANTS.items():
-        pairs += [F.lit(name), words(variants)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.array(key))
+    pairs = ", ".join(
+        f"{quoted(name)}, array({', '.join(quoted(v) for v in variants)})"
+        for name, variants in fixed.SKILL_VARIANTS.items()
+    )
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), key), F.array(key))
 
 
 def level_from_years(years: Column) -> Column:

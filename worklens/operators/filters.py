@@ -8,18 +8,94 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, gates, places, words
-from ..functions.base import DAY, found, strip, text
+from ..functions.base import DAY, found, strip, text, within
 
 STAGES = ["quality", "age", "must-skills", "location", "salary"]
 
 
+PROFILE_TYPES = {
+    "title": "string", "headline": "string", "location": "string", "experience": "string",
+    "remote_preference": "string", "skills": "array<string>", "must_have_skills": "array<string>",
+    "min_salary": "int",
+}
+
+
+def prepare(profiles: DataFrame, prefix: str = "p_") -> DataFrame:
+    """Add what scoring and filtering derive from a profile alone, once per profile."""
+    c = lambda n: F.col(prefix + n)
+    clean = lambda n: F.filter(F.transform(F.coalesce(c(n), F.array().cast("array<string>")), strip), lambda s: s != "")
+    mine = F.transform(clean("skills"), F.lower)
+    many = F.array_distinct(F.filter(mine, lambda s: F.size(F.split(s, r"\s+")) > 1))
+    years = strip(text(c("experience"))).try_cast("double")
+    return profiles.withColumns(
+        {
+            prefix + "cities": places.preference_cities(strip(text(c("location")))),
+            prefix + "regions": places.preference_regions(strip(text(c("location")))),
+            prefix + "skill_needles": words.needles(mine, False),
+            prefix + "phrase_needles": words.needles(many, False),
+            prefix + "must_needles": words.needles(clean("must_have_skills"), True),
+            prefix + "title_tokens": words.tokenize(F.concat_ws(" ", text(c("title")), text(c("headline")))),
+            prefix + "place": F.lower(strip(text(c("location")))),
+            prefix + "place_tokens": words.tokenize(strip(text(c("location")))),
+            prefix + "preference": F.lower(strip(text(c("remote_preference")))),
+            prefix + "level": words.level_from_years(years),
+        }
+    )
+
+
+PREPARED = [
+    "cities", "regions", "skill_needles", "phrase_needles", "must_needles", "title_tokens", "place",
+    "place_tokens", "preference", "level", "min_salary",
+]
+
+
+def _literal(value) -> Column:
+    """Literal of a prepared value; empty arrays keep their element type."""
+    if isinstance(value, list):
+        if not value:
+            return F.array()
+        return F.array(*[_literal(v) for v in value])
+    if hasattr(value, "asDict"):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
+_NEEDLES = "array<struct<skill:string,forms:array<struct<plain:string,pattern:string>>>>"
+_ARRAYS = {
+    "cities": "array<string>", "regions": "array<string>", "title_tokens": "array<string>",
+    "place_tokens": "array<string>", "skill_needles": _NEEDLES, "phrase_needles": _NEEDLES,
+    "must_needles": _NEEDLES, "level": "string", "min_salary": "int",
+}
+
+
+@dataclass(frozen=True)
+class ProfileColumns:
+    """Prepared profile values: literals for one profile, or columns of a joined row."""
+
+    cities: Column
+    regions: Column
+    skill_needles: Column
+    phrase_needles: Column
+    must_needles: Column
+    title_tokens: Column
+    place: Column
+    place_tokens: Column
+    preference: Column
+    level: Column
+    min_salary: Column
+
+    @staticmethod
+    def of(prefix: str = "p_") -> "ProfileColumns":
+        return ProfileColumns(*[F.col(prefix + n) for n in PREPARED])
+
+
 @dataclass(frozen=True)
 class Profile:
-    """One candidate as job parameters: its values become literals of the plan."""
+    """One candidate as job parameters."""
 
     title: str = ""
     headline: str = ""
@@ -31,35 +107,13 @@ class Profile:
     min_salary: int = 0
     summary: str = ""
 
-    def columns(self) -> "ProfileColumns":
-        def texts(values: tuple[str, ...]) -> Column:
-            return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-        return ProfileColumns(
-            F.lit(self.title), F.lit(self.headline), F.lit(self.location), F.lit(self.experience),
-            F.lit(self.remote_preference), texts(self.skills), texts(self.must_have_skills),
-            F.lit(self.min_salary),
-        )
-
-
-@dataclass(frozen=True)
-class ProfileColumns:
-    """The same values as columns: literals for one profile, or columns of a joined row."""
-
-    title: Column
-    headline: Column
-    location: Column
-    experience: Column
-    remote_preference: Column
-    skills: Column
-    must_have_skills: Column
-    min_salary: Column
-
-    @staticmethod
-    def of(prefix: str = "p_") -> "ProfileColumns":
-        return ProfileColumns(
-            *[F.col(prefix + n) for n in ProfileColumns.__dataclass_fields__]
-        )
+    def columns(self, spark: SparkSession) -> ProfileColumns:
+        """Prepared values as literals of the plan, so one profile costs no join at all."""
+        schema = ", ".join(f"p_{n} {t}" for n, t in PROFILE_TYPES.items())
+        row = [list(v) if isinstance(v, tuple) else v for v in (getattr(self, n) for n in PROFILE_TYPES)]
+        one = prepare(spark.createDataFrame([row], schema)).first()
+        values = {n: _literal(one["p_" + n]) for n in PREPARED}
+        return ProfileColumns(**{n: v.cast(_ARRAYS[n]) if n in _ARRAYS else v for n, v in values.items()})
 
 
 @dataclass(frozen=True)
@@ -77,9 +131,7 @@ class FilterOptions:
 def _quality_passes() -> Column:
     title, company = F.lower(strip(F.col("title"))), F.lower(strip(F.col("company")))
     url = strip(F.col("url"))
-    both_placeholder = (title.isin(fixed.PLACEHOLDERS) | F.startswith(title, F.lit("naukri"))) & company.isin(
-        fixed.PLACEHOLDERS
-    )
+    both_placeholder = (within(title, fixed.PLACEHOLDERS) | F.startswith(title, F.lit("naukri"))) & within(company, fixed.PLACEHOLDERS)
     return ~(
         (title == "")
         | gates.is_junk_title(F.col("title"))
@@ -90,30 +142,12 @@ def _quality_passes() -> Column:
     )
 
 
-def must_terms(skills: Column) -> Column:
-    return F.filter(F.transform(skills, strip), lambda s: s != "")
-
-
-def must_needles(skills: Column) -> Column:
-    """Per must-have skill, the marked forms of its variants."""
-    return F.transform(must_terms(skills), lambda s: F.transform(words.skill_variants(s), words.edge_needle))
-
-
-def must_hits(edge_text: Column, skills: Column) -> Column:
-    """Must-have skills found in the marked text, synonyms included."""
-    return F.filter(
-        must_terms(skills),
-        lambda s: F.exists(words.skill_variants(s), lambda v: F.contains(edge_text, words.edge_needle(v))),
-    )
-
-
 def _location_decision(p: ProfileColumns, o: FilterOptions) -> Column:
     """keep, drop, remote (remote dropped), unknown (no city)."""
     city, region, remote = F.col("city"), F.col("region"), F.col("remote_ok")
     if o.remote:
         return F.when(remote, "keep").otherwise("drop")
-    cities, regions = F.col("_cities"), F.col("_regions")
-    preference = F.lower(strip(text(p.remote_preference)))
+    cities, regions, preference = p.cities, p.regions, p.preference
     remote_fine = (
         preference.isin("remote", "hybrid") | (F.size(cities) == 0) | F.array_contains(cities, "Remote")
     )
@@ -137,22 +171,14 @@ def mark_stages(df: DataFrame, p: ProfileColumns, o: FilterOptions, as_of: Colum
     days = _whole(o.days if o.days is not None else 7)
     width = None if days is None else (max(0, days) * DAY or 86399)
     epoch, salary = F.col("listed_epoch"), F.col("salary_int")
-    must = must_terms(p.must_have_skills)
     floor_option = _whole(o.min_salary or 0)
     floor = F.when(F.coalesce(p.min_salary, F.lit(0)) != 0, p.min_salary).otherwise(F.lit(floor_option or 0))
 
     df = df.withColumns(
         {
-            "_cities": places.preference_cities(strip(text(p.location))),
-            "_regions": places.preference_regions(strip(text(p.location))),
             "_hits": F.when(
-                F.size(must) > 0,
-                F.size(
-                    must_hits(
-                        words.edge_marked(F.concat_ws(" ", F.col("title"), F.col("description"))),
-                        p.must_have_skills,
-                    )
-                ),
+                F.size(p.must_needles) > 0,
+                F.size(words.hits(F.concat_ws(" ", "title", "description"), p.must_needles)),
             ),
             "_floor": floor,
         }
@@ -178,7 +204,7 @@ def mark_stages(df: DataFrame, p: ProfileColumns, o: FilterOptions, as_of: Colum
         stage = F.when(~passes[number], number).otherwise(stage)
     df = df.withColumn("drop_stage", stage)
     at = F.col("drop_stage")
-    placeholder = F.lower(strip(F.col("company"))).isin(fixed.PLACEHOLDERS)
+    placeholder = within(F.lower(strip(F.col("company"))), fixed.PLACEHOLDERS)
     reached = lambda n: (at == 0) | (at >= n)
     return df.withColumns(
         {
@@ -202,7 +228,7 @@ def _whole(value) -> int | None:
 
 
 def kept(marked: DataFrame) -> DataFrame:
-    return marked.filter(F.col("drop_stage") == 0).drop("_cities", "_regions", "_hits", "_floor", "_where", "drop_stage")
+    return marked.filter(F.col("drop_stage") == 0).drop("_hits", "_floor", "_where", "drop_stage")
 
 
 def report(marked: DataFrame, by: list[str] | None = None) -> DataFrame:

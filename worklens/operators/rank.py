@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import tenths
+from ..functions.gates import scorer_eligible
+from ..session import checkpoint
 
 BLOCK_BITS = 16
 
@@ -38,8 +40,9 @@ def full_rank(
     ``order`` is a unique whole number; scores have one decimal, so a group has
     under a thousand of them.
     """
-    block = F.shiftright(F.col(order), BLOCK_BITS)
-    keyed = df.withColumns({"_b": block})
+    # Several passes follow: they read the scored rows from reliable storage
+    # instead of scoring again. Pass the columns that are needed, not the text.
+    keyed = checkpoint(df.withColumn("_b", F.shiftright(F.col(order), BLOCK_BITS)))
     counts = keyed.groupBy(*by, score, "_b").agg(F.count(F.lit(1)).alias("_n"))
     per_score = counts.groupBy(*by, score).agg(F.sum("_n").alias("_s"))
     before = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
@@ -93,6 +96,7 @@ def flat_groups(df: DataFrame, by: list[str], score: str = "score") -> DataFrame
 
 def stretch(df: DataFrame, by: list[str], score: str = "score", normalize: bool = True) -> DataFrame:
     """Spread the scores of flat groups over [5, 100]; other groups keep theirs."""
+    df = checkpoint(df)
     wide = df.join(flat_groups(df, by, score), by)
     room = F.col("high") - F.col("low")
     spread = tenths(5.0 + (F.col(score) - F.col("low")) / room * 95.0)
@@ -108,11 +112,9 @@ def override(df: DataFrame, scores: DataFrame, by: list[str], n: int = 30) -> Da
     ``scores`` holds ``by`` + ``posting_id``, ``external_score``,
     ``external_reasons``. Re-ranking on the new score is up to the caller.
     """
-    from ..functions.gates import scorer_eligible
-
+    df = checkpoint(df.withColumn("_ok", scorer_eligible(F.col("data_quality"), F.col("description"))).drop("description"))
     chosen = top_n(
-        df.filter(scorer_eligible(F.col("data_quality"), F.col("description"))).select(*by, "posting_id", "score"),
-        n, by,
+        df.filter("_ok").select(*by, "posting_id", "score"), n, by
     ).select(*by, "posting_id")
     chosen = chosen.join(scores, [*by, "posting_id"])
     out = df.join(chosen, [*by, "posting_id"], "left")
@@ -125,4 +127,4 @@ def override(df: DataFrame, scores: DataFrame, by: list[str], n: int = 30) -> Da
             ),
             "overridden": has,
         }
-    ).drop("external_score", "external_reasons")
+    ).drop("external_score", "external_reasons", "_ok")

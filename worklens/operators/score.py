@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, words
-from ..functions.base import DAY, strip, tenths, text, words as literal
-from .filters import ProfileColumns, must_hits
+from ..functions.base import DAY, strip, tenths, text, within, words as literal
+from .filters import ProfileColumns
 
 SKILL_POINTS, TITLE_POINTS, KEYWORD_POINTS = 35.0, 25.0, 10.0
 SOFT_CAP = 45.0
@@ -21,14 +21,6 @@ def confidence(quality: Column, description: Column) -> Column:
     )
 
 
-def profile_skills(skills: Column) -> Column:
-    return F.filter(F.transform(skills, lambda s: F.lower(strip(s))), lambda s: s != "")
-
-
-def skill_hits(word_text: Column, skills: Column) -> Column:
-    return F.filter(skills, lambda s: F.contains(word_text, words.word_needle(s)))
-
-
 LEVELS = ["entry", "mid", "senior", "staff"]
 
 
@@ -36,17 +28,15 @@ def _level_number(level: Column) -> Column:
     return F.array_position(literal(LEVELS), level)
 
 
-def seniority(experience: Column, title: Column) -> tuple[Column, Column]:
-    years = strip(text(experience)).try_cast("double")
-    mine, theirs = words.level_from_years(years), words.level_from_title(title)
+def seniority(mine: Column, theirs: Column) -> tuple[Column, Column]:
     diff = _level_number(theirs) - _level_number(mine)
     points = (
-        F.when(years.isNull(), 0.0).when(theirs.isNull(), 7.5).when(diff == 0, 15.0)
+        F.when(mine.isNull(), 0.0).when(theirs.isNull(), 7.5).when(diff == 0, 15.0)
         .when(F.abs(diff) == 1, 7.5).otherwise(3.0)
     )
     both = F.concat(F.lit(": profile="), mine, F.lit(", job="), theirs)
     reason = (
-        F.when(years.isNull(), F.lit(None).cast("string"))
+        F.when(mine.isNull(), F.lit(None).cast("string"))
         .when(theirs.isNull(), "Seniority not specified in title")
         .when(diff == 0, F.concat(F.lit("Seniority match: "), mine))
         .when(F.abs(diff) == 1, F.concat(F.lit("Seniority close"), both))
@@ -56,12 +46,11 @@ def seniority(experience: Column, title: Column) -> tuple[Column, Column]:
     return points, reason
 
 
-def place(job_location: Column, wanted: Column) -> tuple[Column, Column]:
-    job, want = F.lower(strip(text(job_location))), F.lower(strip(text(wanted)))
+def place(job: Column, want: Column, want_tokens: Column) -> tuple[Column, Column]:
     open_ended = (want == "") | (want == "remote")
     remote = F.contains(job, F.lit("remote"))
     shared = F.exists(
-        F.array_intersect(words.tokenize(job), words.tokenize(want)), lambda t: F.length(t) > 2
+        F.array_intersect(words.tokenize(job), want_tokens), lambda t: F.length(t) > 2
     )
     points = (
         F.when(open_ended, F.when(remote | (job == ""), 12.0).otherwise(10.0))
@@ -87,8 +76,7 @@ def recency(age: Column, epoch: Column, as_of: Column) -> tuple[Column, Column]:
     return points, reason
 
 
-def workplace(preference: Column, remote_ok: Column, kind: Column) -> tuple[Column, Column]:
-    want, low = F.lower(strip(text(preference))), F.lower(text(kind))
+def workplace(want: Column, remote_ok: Column, low: Column) -> tuple[Column, Column]:
     remote = F.coalesce(remote_ok, F.lit(False))
     flexible = remote | F.contains(low, F.lit("remote")) | F.contains(low, F.lit("hybrid"))
     reason = F.when(want.isin("remote", "hybrid") & flexible, "Remote-friendly workplace").when(
@@ -104,48 +92,43 @@ def _joined(values: Column, n: int) -> Column:
 def score(df: DataFrame, p: ProfileColumns, as_of: Column) -> DataFrame:
     """Add the parts, ``score`` and ``reasons``. Row-wise: no shuffle, batch or stream.
 
-    The text marks and the hit lists are columns of their own first, so each is
-    computed once however many parts read it.
+    The hit lists are columns of their own first, so each is computed once
+    however many parts read it.
     """
     body = F.concat_ws(" ", F.col("title"), F.col("description"))
     df = df.withColumns(
         {
-            "_words": words.word_marked(body),
-            "_edges": words.edge_marked(body),
-            "_mine": profile_skills(p.skills),
             "_confidence": confidence(F.col("data_quality"), F.col("description")),
-            "_title": F.filter(words.tokenize(F.col("title")), lambda t: ~t.isin(fixed.TITLE_STOP_WORDS)),
-            "_want": words.tokenize(F.concat_ws(" ", text(p.title), text(p.headline))),
-        }
-    )
-    many = F.array_distinct(F.filter(F.col("_mine"), lambda s: F.size(F.split(s, r"\s+")) > 1))
-    df = df.withColumns(
-        {
-            "_skills": skill_hits(F.col("_words"), F.col("_mine")),
-            "_shared": F.array_intersect(F.col("_title"), F.col("_want")),
-            "_phrases": F.size(many),
-            "_phrase_hits": F.size(skill_hits(F.col("_words"), many)),
-            "_must": must_hits(F.col("_edges"), p.must_have_skills),
+            "_title": F.filter(words.tokenize(F.col("title")), lambda t: ~within(t, fixed.TITLE_STOP_WORDS)),
+            "_skills": words.hits(body, p.skill_needles),
+            "_phrase_hits": F.when(
+                F.size(p.phrase_needles) > 0, F.size(words.hits(body, p.phrase_needles))
+            ),
+            "_must": words.hits(body, p.must_needles),
+            "_level": words.level_from_title(F.col("title")),
+            "_place": F.lower(strip(text(F.col("location")))),
+            "_kind": F.lower(F.concat_ws(" ", F.col("workplace_type"), F.col("workplace"))),
         }
     )
-    n = F.size("_mine")
+    df = df.withColumn("_shared", F.array_intersect(F.col("_title"), p.title_tokens))
+    n, n_phrases = F.size(p.skill_needles), F.size(p.phrase_needles)
     sure = F.col("_confidence")
     skills = F.when(
         n > 0,
         F.least(F.lit(1.0), F.size("_skills") / F.greatest(F.lit(1), F.least(n, F.lit(10)))) * SKILL_POINTS * sure,
     ).otherwise(0.0)
     title = F.when(
-        (F.size("_want") > 0) & (F.size("_title") > 0),
+        (F.size(p.title_tokens) > 0) & (F.size("_title") > 0),
         F.least(F.lit(1.0), F.size("_shared") / F.size("_title")) * TITLE_POINTS,
     ).otherwise(0.0)
     keywords = F.when(
-        F.col("_phrases") > 0, F.col("_phrase_hits") / F.col("_phrases") * KEYWORD_POINTS * sure
+        n_phrases > 0, F.col("_phrase_hits") / n_phrases * KEYWORD_POINTS * sure
     ).otherwise(0.0)
-    level, level_reason = seniority(p.experience, F.col("title"))
-    where, where_reason = place(F.col("location"), p.location)
+    level, level_reason = seniority(p.level, F.col("_level"))
+    where, where_reason = place(F.col("_place"), p.place, p.place_tokens)
     fresh, fresh_reason = recency(F.col("age"), F.col("listed_epoch"), as_of)
     work, work_reason = workplace(
-        p.remote_preference, F.col("remote_ok"), F.concat_ws(" ", F.col("workplace_type"), F.col("workplace"))
+        p.preference, F.col("remote_ok"), F.col("_kind")
     )
     must = F.least(F.lit(6.0), 2.0 * F.size("_must"))
     df = df.withColumns(
@@ -188,8 +171,7 @@ def score(df: DataFrame, p: ProfileColumns, as_of: Column) -> DataFrame:
             "reasons": F.slice(F.when(F.col("raw_score") < 10, low).otherwise(reasons), 1, 8),
         }
     ).drop(
-        "_words", "_edges", "_mine", "_confidence", "_title", "_want", "_skills", "_shared", "_phrases",
-        "_phrase_hits", "_must",
+        "_confidence", "_title", "_skills", "_shared", "_phrase_hits", "_must", "_level", "_place", "_kind"
     )
 
 
