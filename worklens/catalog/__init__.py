@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["normalizing", "filtering", "ranking"]
+FAMILIES = ["normalizing", "filtering", "ranking", "tracking", "extracting"]
 
 
 def load():

@@ -21,9 +21,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def strip(c: Column, chars: str = SPACES) -> Column:
-    """Trim whitespace of every kind, not blanks alone."""
-    return F.trim(c, F.lit(chars))
+def strip(c: Column) -> Column:
+    """Trim whitespace of every kind, not blanks alone.
+
+    One parameter only: a second one would receive the index inside ``transform``.
+    """
+    return F.trim(c, F.lit(SPACES))
 
 
 def text(c: Column) -> Column:

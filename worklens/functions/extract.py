@@ -53,7 +53,7 @@ def clean_portal_title(title: Column) -> Column:
         out = replace(out, pattern, "", ignore_case)
         if trim:
             out = strip(out)
-    return strip(out, " ,-–")
+    return F.trim(out, F.lit(" ,-–"))
 
 
 def title_from_slug(url: Column) -> Column:
