@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["normalizing", "filtering", "ranking", "tracking", "extracting"]
+FAMILIES = ["normalizing", "filtering", "ranking", "tracking", "extracting", "deduplication"]
 
 
 def load():

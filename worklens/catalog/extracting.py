@@ -284,7 +284,7 @@ def _sql_page() -> str:
         CASE WHEN k % 9 <> 8 THEN {sql_pick(["Python Developer", "Senior SRE", "Data Analyst"], 'k')} END AS title,
         CASE WHEN k % 9 <> 8 THEN {sql_pick(PAGE_COMPANIES, 'k')} END AS company,
         CASE WHEN k % 9 <> 8 THEN {sql_list(["₹8-13 LPA", "Not Disclosed", "₹120000 lakhs", ""])}[(k % 4 + 1)::INT] END AS salary,
-        CASE WHEN k % 9 <> 8 THEN {sql_list(["8-13 Years", "Fresher", "4 Years", ""])}[(k % 4 + 1)::INT] END AS experience,
+        CASE WHEN k % 9 <> 8 THEN CASE WHEN contains(slug, 'fresher') THEN 'Fresher' ELSE {sql_list(["8-13 Years", "Fresher", "4 Years", ""])}[(k % 4 + 1)::INT] END END AS experience,
         CASE WHEN k % 9 <> 8 THEN 'Python, Django, AWS' END AS keyskills,
         CASE WHEN k % 9 <> 8 THEN {sql_list(["2 days ago", "Jan 5, 2024", "today", ""])}[(k % 4 + 1)::INT] END AS listed,
         CASE WHEN k % 9 <> 8 THEN substr(body, 1, 3000) END AS description,

@@ -12,6 +12,17 @@ from ..functions.base import filled, let, replace, strip, tenths, text
 from ..functions.words import valid_query
 
 
+def _one_value(c: Column) -> Column:
+    """The one JSON value of a text. Inside a list the parser cannot overlook what follows the value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return let(
+        listed,
+        lambda v: F.when(
+            F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")
+        ),
+    )
+
+
 def tolerant_json(c: Column) -> Column:
     """JSON object in a model answer: fences stripped, else first brace to last brace; NULL when none parses."""
 
@@ -19,7 +30,7 @@ def tolerant_json(c: Column) -> Column:
         fenced = replace(replace(raw, r"^```(?:json)?\s*", "", False), r"\s*```$", "", False)
         body = strip(F.when(F.startswith(raw, F.lit("```")), fenced).otherwise(raw))
         braces = filled(F.regexp_extract(body, r"(?s)\{.*\}", 0))
-        return F.coalesce(F.try_parse_json(body), F.try_parse_json(braces))
+        return F.coalesce(_one_value(body), _one_value(braces))
 
     return let(strip(text(c)), parse)
 
