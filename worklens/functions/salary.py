@@ -14,7 +14,7 @@ def _amount(t: Column, pattern: str, *groups: int) -> Column:
 
 
 def _whole(value: Column) -> Column:
-    return F.greatest(F.lit(1), F.bround(value, 0).cast("int"))
+    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.bround(value, 0).cast("int")))
 
 
 def salary_int(salary: Column) -> Column:
