@@ -6,20 +6,25 @@ of connected rows would be wrong. The plan:
 
 1. Copies with equal keys collapse to their first row by partial aggregation,
    so a mass of copies costs one row per task.
-2. Distinct keys meet on rare title bigrams. Two titles of ratio >= 82 differ
-   in at most 0.61 x length of their (numbered) bigrams, so with all bigrams in
-   one global order the first ``floor(0.61 x length) + 1`` of each must share
-   one (prefix filter; q-gram count of Gravano et al., VLDB 2001). Titles of up
-   to two characters only match equal ones and meet on themselves.
-3. A block above ``BLOCK`` rows is refined by the company: similar companies
-   share a bigram inside a word, and a missing one matches only a missing one.
-   A block that is still too large is cut into square tiles, so it is spread
-   over many tasks and no pair is lost. A pair is looked at in one block only,
-   that of its smallest shared key, behind a length test; the ratio itself
-   runs on Arrow batches.
-4. The similar pairs (late, early) are resolved in rounds: an early row that is
-   late in no pair stays, its partners go, pairs of decided rows vanish. Each
-   round ends in a checkpoint.
+2. Similar titles and similar companies are found apart, over the distinct
+   strings. Pairs of rows are never listed, however many rows share a title.
+3. Titles meet on rare bigrams. Two titles of ratio >= 82 differ in at most
+   0.61 x length of their numbered bigrams, so with all bigrams in one order
+   the first ``floor(0.61 x length) + 1`` of each must share one (prefix filter;
+   q-gram count of Gravano et al., VLDB 2001). Titles of up to two characters
+   match only equal ones.
+4. Companies meet on words or on bigrams inside words. A set ratio >= 88 means
+   that one name is all but 3/14 of its length common words (it then meets on
+   its rarest words, which the other side must hold), or that the names differ
+   in at most 0.43 x length of their bigrams (prefix filter as above).
+5. A block of keys above ``BLOCK`` strings is cut into square tiles, so it is
+   spread over many tasks and no pair is lost. A pair is looked at under its
+   smallest shared key only, behind a length test; the ratio runs on Arrow
+   batches.
+6. Rounds: an undecided row that is the first of its whole neighbourhood stays,
+   its neighbours go. The first of a neighbourhood is a minimum taken over
+   similar titles, then over similar companies: two joins with a partial
+   minimum each. Every round ends in a checkpoint.
 """
 
 from __future__ import annotations
@@ -64,108 +69,138 @@ def _numbered_bigrams(t: Column) -> Column:
     )
 
 
-def _company_pieces(c: Column) -> Column:
-    marked = F.transform(F.array_distinct(F.split(c, " ")), lambda w: F.concat(F.lit("^"), w))
-    return F.when(c == "", F.array(F.lit("")))\
-        .otherwise(F.array_distinct(F.flatten(F.transform(marked, similarity.bigrams))))
-
+def _bigram_counts(strings: DataFrame) -> Column | None:
+    """Constant map bigram -> count. Match keys hold 37 kinds of characters and
+    a word mark, so there are under 1500 bigrams whatever the data."""
+    flat = strings.filter(F.length("s") > 1).select(F.explode(similarity.bigrams(F.col("s"))).alias("g"))
+    counts = {r["g"]: r["n"] for r in flat.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    return F.expr("map(" + ", ".join(f"'{g}', {n}L" for g, n in sorted(counts.items())) + ")")
 
-def _with_prefix(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Add ``prefix``, the keys of a title in order of rarity.
 
-    Match keys hold 37 kinds of characters, so there are at most 1369 bigrams
-    whatever the data, and their counts fit a constant of the plan.
-    """
-    flat = nodes.filter(F.length("t") > 2).select(F.explode(similarity.bigrams(F.col("t"))).alias("g"))
-    counts = {r["g"]: r["n"] for r in flat.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    freq = F.expr("map(" + ", ".join(f"'{g}', {n}L" for g, n in sorted(counts.items())) + ")") if counts else None
-    share = 2 * (2 - 2 * threshold / 100) / (2 - threshold / 100)
-    if freq is None:
-        ordered = F.array().cast("array<string>")
-    else:
-        keyed = F.transform(
-            _numbered_bigrams(F.col("t")),
-            lambda x: F.struct(F.try_element_at(freq, x["g"]).alias("f"), x["g"].alias("g"), x["n"].alias("n")),
-        )
-        ordered = F.transform(
-            F.slice(F.array_sort(keyed), F.lit(1), (F.floor(F.length("t") * share) + 1).cast("int")),
-            lambda x: F.concat_ws("#", x["g"], x["n"].cast("string")),
-        )
-    return nodes.withColumn(
-        "prefix", F.when(F.length("t") > 2, ordered).otherwise(F.array(F.concat(F.lit("="), F.col("t"))))
+def _rare_first(pieces: Column, counts: Column, most: Column) -> Column:
+    """The ``most`` rarest numbered bigrams as text keys."""
+    keyed = F.transform(
+        pieces, lambda x: F.struct(F.try_element_at(counts, x["g"]).alias("f"), x["g"].alias("g"), x["n"].alias("n"))
     )
+    return F.transform(
+        F.slice(F.array_sort(keyed), F.lit(1), most.cast("int")), lambda x: F.concat_ws("#", x["g"], x["n"].cast("string"))
+    )
+
 
+def _share(threshold: float) -> float:
+    """Largest share of its own bigrams a string can lose against a partner of that ratio."""
+    return 2 * (2 - 2 * threshold / 100) / (2 - threshold / 100)
+
+
+def _meeting(strings: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (x, y), x < y, of ``s`` that share one of their ``keys`` and may reach the ratio by length."""
+    flat = strings.withColumn("key", F.explode("keys"))
+    large = flat.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    large = checkpoint(large.select("key", F.ceil(F.col("_n") / block).cast("int").alias("_chunks")))
+    flat = flat.join(small(large), "key", "left")
+    chunks = F.coalesce("_chunks", F.lit(1))
+    flat = flat.withColumn("chunk", F.pmod(F.xxhash64("s"), chunks).cast("int"))
+    flat = flat.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    flat = flat.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
+    on = ["key", "lo", "hi"]
+    side = lambda n: flat.select(*on, F.col("s").alias(n), F.col("keys").alias(n + "_keys"), F.col("chunk").alias(n + "_chunk"))
+    total = F.length("x") + F.length("y")
+    near = 200 * F.least(F.length("x"), F.length("y")) >= total * threshold
+    tile = (F.col("lo") == F.col("hi")) | (F.col("x_chunk") != F.col("y_chunk"))
+    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key")
+    return side("x").join(side("y"), on).filter((F.col("x") < F.col("y")) & near & tile & once).select("x", "y")
+
+
+def similar_titles(titles: DataFrame, threshold: float, strict: bool = False, block: int = BLOCK) -> DataFrame:
+    """Symmetric pairs (s, s2) of distinct titles at the ratio, each title with itself included."""
+    counts = _bigram_counts(titles)
+    own = titles.select("s", F.col("s").alias("s2"))
+    if counts is None:
+        return own
+    most = F.floor(F.length("s") * _share(threshold)) + 1
+    keyed = titles.filter(F.length("s") > 2).withColumn("keys", _rare_first(_numbered_bigrams(F.col("s")), counts, most))
 
-def _verdict(title_at_least: float, company_at_least: float, strict: bool):
     @pandas_udf("boolean")
-    def similar(t1: pd.Series, t2: pd.Series, c1: pd.Series, c2: pd.Series) -> pd.Series:
-        def one(a: str, b: str, c: str, d: str) -> bool:
-            r = similarity.ratio(a, b)
-            near = r > title_at_least if strict else r >= title_at_least
-            return near and similarity.company_ratio(c, d) >= company_at_least
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            r = similarity.ratio(x, y)
+            return r > threshold if strict else r >= threshold
 
-        return pd.Series([one(*row) for row in zip(t1, t2, c1, c2)], dtype="bool")
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="bool")
 
-    return similar
+    pairs = checkpoint(_meeting(keyed, threshold, block).filter(similar("x", "y")))
+    return _both_ways(pairs, own)
 
 
-def _first_shared(a: Column, b: Column) -> Column:
-    return F.array_min(F.array_intersect(a, b))
+def _both_ways(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    there = pairs.select(F.col("x").alias("s"), F.col("y").alias("s2"))
+    back = pairs.select(F.col("y").alias("s"), F.col("x").alias("s2"))
+    return there.unionByName(back).unionByName(own)
 
 
-def similar_pairs(
-    nodes: DataFrame, scope: list[str], title_at_least: float, company_at_least: float, strict: bool = False,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Pairs (early, late) of similar nodes; ``nodes`` holds scope, id, t, c."""
-    n = _with_prefix(nodes, title_at_least).withColumn("pieces", _company_pieces(F.col("c")))
-    flat = n.withColumn("gram", F.explode("prefix"))
-    hot = flat.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
-    hot = small(checkpoint(hot.select(*scope, "gram", F.lit(True).alias("_hot"))))
-    flat = flat.join(hot, [*scope, "gram"], "left")
-    fine = F.when(F.col("_hot"), F.col("pieces")).otherwise(F.array(F.lit("*")))
-    flat = flat.withColumn("piece", F.explode(fine))
-    large = flat.filter("_hot").groupBy(*scope, "gram", "piece").agg(F.count(F.lit(1)).alias("_n"))
-    large = large.filter(F.col("_n") > block).select(
-        *scope, "gram", "piece", F.ceil(F.col("_n") / block).cast("int").alias("_chunks")
+def _word_bigrams(c: Column) -> Column:
+    """Numbered bigrams inside the words of a name, each word led by a mark."""
+    marked = F.transform(F.array_distinct(F.split(c, " ")), lambda w: F.concat(F.lit("^"), w))
+    pieces = F.flatten(
+        F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))
     )
-    flat = flat.join(small(checkpoint(large)), [*scope, "gram", "piece"], "left")
-    chunks = F.coalesce("_chunks", F.lit(1))
-    flat = flat.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    flat = flat.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    flat = flat.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
-    keys = [*scope, "gram", "piece", "lo", "hi"]
-    a = flat.select(*keys, *[F.col(x).alias("a_" + x) for x in ("id", "t", "c", "prefix", "pieces", "chunk")])
-    b = flat.select(*keys, *[F.col(x).alias("b_" + x) for x in ("id", "t", "c", "prefix", "pieces", "chunk")])
-    total = F.length("a_t") + F.length("b_t")
-    near = 2 * F.least(F.length("a_t"), F.length("b_t")) * 100 >= total * title_at_least
-    once = (_first_shared(F.col("a_prefix"), F.col("b_prefix")) == F.col("gram")) & (
-        (F.col("piece") == "*") | (_first_shared(F.col("a_pieces"), F.col("b_pieces")) == F.col("piece"))
+    return F.transform(
+        pieces,
+        lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(pieces, F.lit(1), i + 1), lambda x: x == g)).alias("n")),
     )
-    tile = (F.col("lo") == F.col("hi")) | (F.col("a_chunk") != F.col("b_chunk"))
-    one_missing = (F.col("a_c") == "") != (F.col("b_c") == "")
-    met = a.join(b, keys).filter((F.col("a_id") < F.col("b_id")) & near & tile & ~one_missing & once)
-    similar = _verdict(title_at_least, company_at_least, strict)
-    return met.filter(similar("a_t", "b_t", "a_c", "b_c")).select(
-        F.col("a_id").alias("early"), F.col("b_id").alias("late")
+
+
+def _by_words(names: DataFrame) -> DataFrame:
+    """Pairs where one name's rarest words, just over 3/14 of its length, meet any word of the other."""
+    flat = names.select("s", F.explode(F.array_distinct(F.split("s", " "))).alias("w"))
+    rarity = flat.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    own = flat.join(rarity, "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    # Words of a name are few; lengths run up until the bound is passed.
+    passed = lambda i: F.aggregate(
+        F.slice("ws", F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x["w"])
     )
+    probe = F.filter("ws", lambda x, i: (i == 0) | (passed(i) <= F.length("s") * 3.0 / 14.0))
+    probes = own.select(F.col("s").alias("a"), F.explode(F.transform(probe, lambda x: x["w"])).alias("w"))
+    met = probes.join(flat.select(F.col("s").alias("b"), "w"), "w").filter(F.col("a") != F.col("b"))
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+
+
+def similar_names(names: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Symmetric pairs (s, s2) of distinct company names at the set ratio, each with itself included."""
+    own, real = names.select("s", F.col("s").alias("s2")), names.filter(F.col("s") != "")
+    marked = real.select(F.concat(F.lit("^"), F.replace("s", F.lit(" "), F.lit("^"))).alias("s"))
+    counts = _bigram_counts(marked)
+    if counts is None:
+        return own
+    most = F.floor(F.length("s") * _share(threshold)) + 1
+    keyed = real.withColumn("keys", _rare_first(_word_bigrams(F.col("s")), counts, most))
+
+    @pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity.company_ratio(x, y) >= threshold for x, y in zip(a, b)], dtype="bool")
+
+    met = _meeting(keyed, threshold, block).unionByName(_by_words(real)).distinct()
+    return _both_ways(checkpoint(met.filter(similar("x", "y"))), own)
 
 
-def greedy_dropped(pairs: DataFrame) -> DataFrame:
-    """Ids that the greedy rule removes, given all similar (early, late) pairs."""
-    left = checkpoint(pairs)
-    dropped = None
+def greedy_kept(nodes: DataFrame, scope: list[str], titles: DataFrame, companies: DataFrame) -> DataFrame:
+    """Ids the greedy rule keeps; ``titles`` and ``companies`` are the symmetric similar pairs."""
+    by_title = titles.select(F.col("s").alias("t"), F.col("s2").alias("t2"))
+    by_company = companies.select(F.col("s").alias("c"), F.col("s2").alias("c2"))
+    left, kept = nodes, None
     for _ in range(MAX_ROUNDS):
         if left.isEmpty():
-            return dropped if dropped is not None else pairs.select(F.col("late").alias("id")).limit(0)
-        late = left.select(F.col("late").alias("id")).distinct()
-        stay = left.select(F.col("early").alias("id")).distinct().join(late, "id", "left_anti")
-        gone = checkpoint(
-            left.join(stay.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
-        )
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        left = left.join(gone.withColumnRenamed("id", "late"), "late", "left_anti")
-        left = checkpoint(left.join(gone.withColumnRenamed("id", "early"), "early", "left_anti"))
+            return kept if kept is not None else nodes.select("id")
+        first = left.join(by_title, "t").groupBy(*scope, "t2", "c").agg(F.min("id").alias("m"))
+        first = first.join(by_company, "c").groupBy(*scope, "t2", "c2").agg(F.min("m").alias("m"))
+        first = first.select(*scope, F.col("t2").alias("t"), F.col("c2").alias("c"), F.col("m").alias("id"))
+        stay = checkpoint(left.join(first, [*scope, "t", "c", "id"], "left_semi"))
+        kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
+        near = stay.join(by_title, "t").select(*scope, "t2", "c").distinct()
+        near = near.join(by_company, "c").select(*scope, F.col("t2").alias("t"), F.col("c2").alias("c")).distinct()
+        left = checkpoint(left.join(near, [*scope, "t", "c"], "left_anti"))
     raise RuntimeError(f"duplicate resolution did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -181,8 +216,9 @@ def fuzzy(
         similarity.sorted_words(match_key(F.col("company"))).alias("c"),
     )
     nodes = checkpoint(keys.groupBy(*scope, "t", "c").agg(F.min("id").alias("id")))
-    pairs = similar_pairs(nodes, scope, title_at_least, company_at_least, block=block)
-    kept = nodes.select("id").join(greedy_dropped(pairs), "id", "left_anti")
+    titles = similar_titles(nodes.select(F.col("t").alias("s")).distinct(), title_at_least, block=block)
+    companies = similar_names(nodes.select(F.col("c").alias("s")).distinct(), company_at_least, block)
+    kept = greedy_kept(nodes, scope, titles, companies)
     return df.join(kept.withColumnRenamed("id", order), order, "left_semi")
 
 
@@ -191,6 +227,7 @@ def fuzzy_queries(df: DataFrame, scope: list[str], query: str = "query", order:
     ordered = F.struct(*scope, order)
     keys = df.select(*scope, ordered.alias("id"), similarity.sorted_words(match_key(F.col(query))).alias("t"), F.lit("").alias("c"))
     nodes = checkpoint(keys.groupBy(*scope, "t", "c").agg(F.min("id").alias("id")))
-    pairs = similar_pairs(nodes, scope, fixed.QUERY_SIMILARITY, 0, strict=True)
-    kept = nodes.select("id").join(greedy_dropped(pairs), "id", "left_anti").select("id.*")
+    titles = similar_titles(nodes.select(F.col("t").alias("s")).distinct(), fixed.QUERY_SIMILARITY, strict=True)
+    one = nodes.select(F.col("c").alias("s"), F.col("c").alias("s2")).distinct()
+    kept = greedy_kept(nodes, scope, titles, one).select("id.*")
     return df.join(kept, [*scope, order], "left_semi")
