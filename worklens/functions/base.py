@@ -54,7 +54,7 @@ def found_any(c: Column, patterns: list[str], ignore_case: bool = True) -> Colum
 
 def capture(c: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
     """Captured group of the first match, NULL without a match or when empty."""
-    return filled(F.regexp_extract(c, ("(?i)" if ignore_case else "") + pattern, group))
+    return let(F.regexp_extract(c, ("(?i)" if ignore_case else "") + pattern, group), filled)
 
 
 def replace(c: Column, pattern: str, by: str = "", ignore_case: bool = True) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed, urls
-from .base import capture, filled, found, replace, split, strip, text, title_case, within
+from .base import capture, filled, found, let, replace, split, strip, text, title_case, within
 from .places import city_in_text
 
 BOARD_SUFFIX = r"\s*[-–|]\s*(?:LinkedIn|Indeed|Glassdoor|Monster|ZipRecruiter).*"
@@ -67,12 +67,16 @@ def title_from_slug(url: Column) -> Column:
 
 
 def _text_company(snippet: Column, pattern: str, group: int = 1, longest: int | None = None) -> Column:
-    name = strip(capture(snippet, pattern, group))
-    head = F.lower(F.get(split(name, r"\s+", False), F.lit(0)))
-    ok = (F.length(name) >= 3) & ~within(head, fixed.STOP_WORDS)
-    if longest:
-        ok = ok & (F.length(name) <= longest)
-    return F.when(ok, name)
+    """Company named by a pattern, when it is no stop word. The body is scanned once."""
+
+    def checked(name: Column) -> Column:
+        head = F.lower(F.get(split(name, r"\s+", False), F.lit(0)))
+        ok = (F.length(name) >= 3) & ~within(head, fixed.STOP_WORDS)
+        if longest:
+            ok = ok & (F.length(name) <= longest)
+        return F.when(ok, name)
+
+    return let(strip(capture(snippet, pattern, group)), checked)
 
 
 def company_from_text(url: Column, snippet: Column, title: Column) -> Column:
@@ -117,17 +121,14 @@ def site_company(body: Column, parts: Column) -> Column:
 def location_from_text(everything: Column, snippet: Column) -> Column:
     """A known city anywhere wins; a phrase counts only when it names a known city itself."""
     s = text(snippet)
-    tries = [filled(city_in_text(everything))]
-    for pattern in fixed.LOCATION_BY_TEXT:
-        phrase = strip(capture(s, pattern))
-        tries.append(F.when((F.length(phrase) < 40) & (city_in_text(phrase) != ""), phrase))
+    trusted = lambda phrase: F.when((F.length(phrase) < 40) & (city_in_text(phrase) != ""), phrase)
+    tries = [let(city_in_text(everything), filled)]
+    tries += [let(strip(capture(s, pattern)), trusted) for pattern in fixed.LOCATION_BY_TEXT]
     return F.coalesce(*tries, F.lit("Remote / Unspecified"))
 
 
 def portal_location(snippet: Column, asked: Column) -> Column:
     s = text(snippet)
-    tries = []
-    for pattern in fixed.LOCATION_BY_TEXT:
-        phrase = strip(capture(s, pattern))
-        tries.append(F.when(F.length(phrase) < 30, phrase))
+    short = lambda phrase: F.when(F.length(phrase) < 30, phrase)
+    tries = [let(strip(capture(s, pattern)), short) for pattern in fixed.LOCATION_BY_TEXT]
     return F.coalesce(*tries, filled(asked), F.lit("India"))

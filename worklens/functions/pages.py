@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed, urls
-from .base import capture, found, replace, strip, text, title_case, within
+from .base import capture, found, let, replace, strip, text, title_case, within
 from .extract import clean_portal_title, title_from_slug
 
 MAX_DESCRIPTION = 3000
@@ -19,9 +19,14 @@ def plain(line: Column) -> Column:
 
 def lines_of(page: Column) -> Column:
     """Non-empty trimmed lines, without the three preamble lines when there are any."""
-    lines = F.filter(F.transform(F.split(text(page), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip), lambda s: s != "")
-    preamble = F.startswith(F.lower(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))), F.lit("title:"))
-    return F.when(preamble, F.slice(lines, 4, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+    all_lines = F.filter(F.transform(F.split(text(page), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip), lambda s: s != "")
+
+    def body(lines: Column) -> Column:
+        first = F.lower(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
+        rest = F.slice(lines, F.lit(4), F.greatest(F.size(lines), F.lit(1)))
+        return F.when(F.startswith(first, F.lit("title:")), rest).otherwise(lines)
+
+    return let(all_lines, body)
 
 
 def top_of(lines: Column, n: int = 60) -> Column:
@@ -41,9 +46,7 @@ def is_expired(page: Column) -> Column:
 
 
 def title(lines: Column, url: Column) -> Column:
-    def candidate(line: Column) -> Column:
-        linked = capture(line, r"^\[([^\]]+)\]\([^)]+\)$", 1, False)
-        name = plain(F.coalesce(linked, line))
+    def named(line: Column, name: Column) -> Column:
         skip = (
             line.rlike(r"^(!|\*|- |#)")
             | (F.contains(line, F.lit("naukri.com")) & ~F.contains(line, F.lit("]")))
@@ -54,6 +57,10 @@ def title(lines: Column, url: Column) -> Column:
         )
         return F.when(~skip, clean_portal_title(name)).otherwise("")
 
+    def candidate(line: Column) -> Column:
+        linked = capture(line, r"^\[([^\]]+)\]\([^)]+\)$", 1, False)
+        return let(plain(F.coalesce(linked, line)), lambda name: named(line, name))
+
     names = F.filter(F.transform(F.slice(lines, 1, 12), candidate), lambda s: s != "")
     return F.coalesce(F.get(names, F.lit(0)), clean_portal_title(title_from_slug(url)))
 
@@ -85,7 +92,9 @@ def company(lines: Column, url: Column) -> Column:
 
 def location(lines: Column, url: Column) -> Column:
     def place(line: Column) -> Column:
-        parts = F.filter(F.transform(F.split(line, ","), strip), lambda s: s != "")
+        return let(F.filter(F.transform(F.split(line, ","), strip), lambda s: s != ""), of_parts)
+
+    def of_parts(parts: Column) -> Column:
         known = F.size(
             F.filter(parts, lambda t: within(F.replace(F.lower(t), F.lit("-"), F.lit(" ")), fixed.CITY_SLUGS))
         )
@@ -112,13 +121,20 @@ def _first_index(lines: Column, pattern: str, limit: int) -> Column:
 def _section(lines: Column, start: Column, stops) -> Column:
     """Lines after ``start`` up to the first for which ``stops`` holds."""
     rest = F.slice(lines, F.coalesce(start, F.lit(0)) + 1, F.greatest(F.size(lines), F.lit(1)))
-    stop = F.array_position(F.transform(rest, stops), F.lit(True)).cast("int")
-    return F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
+
+    def cut(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, stops), F.lit(True)).cast("int")
+        return let(stop, lambda at: F.when(at > 0, F.slice(rest, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(rest))
+
+    return let(rest, cut)
 
 
 def description(lines: Column) -> Column:
     """Text between the description heading and the next heading, up to the length limit."""
-    start = _first_index(lines, fixed.DESCRIPTION_HEADING, 400)
+    return let(_first_index(lines, fixed.DESCRIPTION_HEADING, 400), lambda start: _description_at(lines, start))
+
+
+def _description_at(lines: Column, start: Column) -> Column:
     body = _section(lines, start, lambda s: found(plain(s), fixed.STOP_HEADING))
     kept = F.filter(body, lambda s: ~F.startswith(s, F.lit("![")))
     flat = replace(strip(F.array_join(kept, " ")), r"\s+", " ", False)
@@ -159,7 +175,10 @@ def experience(top: Column) -> Column:
 
 
 def key_skills(lines: Column) -> Column:
-    start = _first_index(lines, fixed.SKILLS_HEADING, 300)
+    return let(_first_index(lines, fixed.SKILLS_HEADING, 300), lambda start: _key_skills_at(lines, start))
+
+
+def _key_skills_at(lines: Column, start: Column) -> Column:
     body = _section(
         lines, start, lambda s: found(plain(s), fixed.SKILLS_STOP) | F.startswith(s, F.lit("["))
     )
@@ -179,9 +198,14 @@ def apply_url(page: Column) -> Column:
 
 def rendered_fields(page: Column, url: Column) -> Column:
     """All fields of one rendered page as a struct; NULL for an expired or empty page."""
-    lines = lines_of(page)
-    top = top_of(lines)
-    fields = F.struct(
+    def of_lines(lines: Column) -> Column:
+        return let(top_of(lines), lambda top: F.when(F.size(lines) > 0, _fields(page, url, lines, top)))
+
+    return F.when(~is_expired(page), let(lines_of(page), of_lines))
+
+
+def _fields(page: Column, url: Column, lines: Column, top: Column) -> Column:
+    return F.struct(
         title(lines, url).alias("title"),
         company(lines, url).alias("company"),
         location(lines, url).alias("location"),
@@ -192,6 +216,3 @@ def rendered_fields(page: Column, url: Column) -> Column:
         listed(top).alias("listed"),
         apply_url(page).alias("apply_url"),
     )
-    return F.when(~is_expired(page) & (F.size(lines) > 0), fields)
-
-
