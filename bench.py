@@ -14,7 +14,7 @@ from worklens.session import local_session  # noqa: E402
 
 HEADLINE = [
     "normalized_postings", "filter_report", "top_postings", "full_ranking", "fuzzy_dedup", "fuzzy_dedup_per_batch",
-    "best_for_many_profiles", "seen_upsert", "new_or_seen", "saved_upsert", "breaker_state", "keyword_hits",
+    "seen_upsert", "new_or_seen", "saved_upsert", "breaker_state", "keyword_hits",
     "company_by_domain", "posting_page_fields", "city_in_free_text",
 ]
 

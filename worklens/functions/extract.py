@@ -66,23 +66,30 @@ def title_from_slug(url: Column) -> Column:
     return F.coalesce(spoken(posting), strip(replace(spoken(listing), r"\s+In\s+\w.*", "", False)), F.lit(""))
 
 
-def _text_company(snippet: Column, pattern: str, group: int = 1, longest: int | None = None) -> Column:
-    """Company named by a pattern, when it is no stop word. The body is scanned once."""
+def _guarded(snippet: Column, pattern: str, needs: str) -> Column:
+    """Trimmed first capture. The patterns rescan long runs of letters from every
+    start, so they run only where the part they cannot do without occurs."""
+    return strip(F.when(found(snippet, needs), capture(snippet, pattern)))
 
-    def checked(name: Column) -> Column:
-        head = F.lower(F.get(split(name, r"\s+", False), F.lit(0)))
-        ok = (F.length(name) >= 3) & ~within(head, fixed.STOP_WORDS)
-        if longest:
-            ok = ok & (F.length(name) <= longest)
-        return F.when(ok, name)
 
-    return let(strip(capture(snippet, pattern, group)), checked)
+def _name_in(snippet: Column, index: int) -> Column:
+    name = _guarded(snippet, fixed.COMPANY_BY_TEXT[index], fixed.COMPANY_BY_TEXT_NEEDS[index])
+    return let(name, _usable_name)
+
+
+def _usable_name(name: Column) -> Column:
+    head = F.lower(F.get(split(name, r"\s+", False), F.lit(0)))
+    return F.when((F.length(name) >= 3) & ~within(head, fixed.STOP_WORDS), name)
+
+
+def _phrase_in(snippet: Column, index: int) -> Column:
+    return _guarded(snippet, fixed.LOCATION_BY_TEXT[index], fixed.LOCATION_BY_TEXT_NEEDS[index])
 
 
 def company_from_text(url: Column, snippet: Column, title: Column) -> Column:
     s = text(snippet)
     return F.coalesce(
-        *[_text_company(s, p) for p in fixed.COMPANY_BY_TEXT],
+        *[_name_in(s, i) for i in range(len(fixed.COMPANY_BY_TEXT))],
         strip(capture(text(title), fixed.COMPANY_BY_TITLE)),
         urls.company_from_domain(url),
     )
@@ -91,7 +98,7 @@ def company_from_text(url: Column, snippet: Column, title: Column) -> Column:
 def portal_company(url: Column, snippet: Column, title: Column, cleaned: Column) -> Column:
     s = text(snippet)
     return F.coalesce(
-        *[_text_company(s, p) for p in fixed.COMPANY_BY_TEXT],
+        *[_name_in(s, i) for i in range(len(fixed.COMPANY_BY_TEXT))],
         strip(capture(text(title), fixed.COMPANY_BY_TITLE)),
         strip(
             title_case(
@@ -113,9 +120,10 @@ def site_company(body: Column, parts: Column) -> Column:
     second = F.when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1))))
     head = F.lower(F.get(split(second, r"\s+", False), F.lit(0)))
     usable = (F.length(second) >= 3) & ~within(head, fixed.STOP_WORDS)
-    return F.coalesce(
-        _text_company(text(body), pattern, 2, 50), F.when(usable, second), F.lit("Unknown")
+    named = let(
+        strip(capture(text(body), pattern, 2)), lambda n: F.when(F.length(n) <= 50, _usable_name(n))
     )
+    return F.coalesce(named, F.when(usable, second), F.lit("Unknown"))
 
 
 def location_from_text(everything: Column, snippet: Column) -> Column:
@@ -123,12 +131,12 @@ def location_from_text(everything: Column, snippet: Column) -> Column:
     s = text(snippet)
     trusted = lambda phrase: F.when((F.length(phrase) < 40) & (city_in_text(phrase) != ""), phrase)
     tries = [let(city_in_text(everything), filled)]
-    tries += [let(strip(capture(s, pattern)), trusted) for pattern in fixed.LOCATION_BY_TEXT]
+    tries += [let(_phrase_in(s, i), trusted) for i in range(len(fixed.LOCATION_BY_TEXT))]
     return F.coalesce(*tries, F.lit("Remote / Unspecified"))
 
 
 def portal_location(snippet: Column, asked: Column) -> Column:
     s = text(snippet)
     short = lambda phrase: F.when(F.length(phrase) < 30, phrase)
-    tries = [let(strip(capture(s, pattern)), short) for pattern in fixed.LOCATION_BY_TEXT]
+    tries = [let(_phrase_in(s, i), short) for i in range(len(fixed.LOCATION_BY_TEXT))]
     return F.coalesce(*tries, filled(asked), F.lit("India"))

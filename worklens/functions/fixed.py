@@ -308,12 +308,16 @@ COMPANY_BY_TEXT = [
     r"(?:at|by|via)\s+([A-Z][A-Za-z0-9&. ]+?)(?:\s+[-–]|\s+(?:is|has|in)\s+|$|\.)",
     r"([A-Z][A-Za-z0-9&. ]+?)\s+(?:is\s+)?(?:hiring|seeking|looking)",
 ]
+#: What each of the two needs in the text; a scan for it spares most texts the costly pattern.
+COMPANY_BY_TEXT_NEEDS = [r"(?:at|by|via)\s", r"\s(?:hiring|seeking|looking)"]
 COMPANY_BY_TITLE = r"^([A-Z][A-Za-z0-9\s&.]+?)\s+(?:is\s+)?hiring\s+"
 LOCATION_BY_TEXT = [
     r"in\s+([A-Z][a-zA-Z\s]+(?:,\s*[A-Z]{2})?)",
     r"([A-Z][a-zA-Z\s]+(?:,\s*[A-Z]{2}))(?:\s+[.…]|\s*$)",
 ]
 
+LOCATION_BY_TEXT_NEEDS = [r"in\s", r",\s*[A-Z]{2}(?:\s+[.…]|\s*$)"]
+
 DEAD_BODY_MARKERS = [
     "page not found",
     "job not found",

@@ -114,11 +114,15 @@ def _stated_age_above(low: Column, days: int, as_of: Column) -> Column:
     # An out-of-range day rolls over into the next month, as calendars do here.
     posted = F.date_add(F.make_date(year, month, F.lit(1)), day - 1)
     age = (as_of.cast("double") - F.unix_date(posted).cast("double") * DAY) / DAY
-    flags = [F.coalesce(x, F.lit(False)) for x in stated + [age > days]]
-    out = flags[0]
-    for x in flags[1:]:
-        out = out | x
-    return out
+    def any_of(flags: list[Column]) -> Column:
+        out = F.lit(False)
+        for flag in flags:
+            out = out | F.coalesce(flag, F.lit(False))
+        return out
+
+    # One scan each tells whether the patterns have anything to find.
+    spoken = F.when(F.contains(low, F.lit("ago")), any_of(stated)).otherwise(F.lit(False))
+    return spoken | F.when(low.rlike(dated), any_of([age > days])).otherwise(F.lit(False))
 
 
 def is_relative(raw: Column) -> Column:
