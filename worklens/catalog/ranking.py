@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..operators import rank, score
 from ..plans import search
 from . import shapes
-from .filtering import CANDIDATE, MARKED, OPTIONS, marked, sql_has_skill, word_bounded
+from .filtering import CANDIDATE, MARKED, OPTIONS, sql_has_skill, word_bounded
 from .normalizing import sql_title_level
 from .registry import query
 from .shapes import AS_OF, as_of, sql_list, table, with_
@@ -90,8 +90,9 @@ def scored(spark, sf_dir):
 
 def all_scored(spark, sf_dir):
     """Scores without the filter: every posting of the table."""
-    rows = marked(spark, sf_dir)
-    return score.score(rows, CANDIDATE.columns(spark), as_of()).withColumn("profile_id", F.col("posting_id") % 4)
+    bound = CANDIDATE.columns(spark)
+    rows = search.marked(shapes.postings(spark, sf_dir), CANDIDATE, OPTIONS, as_of(), bound)
+    return score.score(rows, bound, as_of()).withColumn("profile_id", F.col("posting_id") % 4)
 
 
 ALL_SCORED = SCORED.replace("FROM tagged t WHERE drop_stage = 0", "FROM tagged t")

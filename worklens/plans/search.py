@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters, rank, score
-from ..operators.filters import FilterOptions, Profile
+from ..operators.filters import FilterOptions, Profile, ProfileColumns
 from ..operators.normalize import conform, normalize
 
 
-def marked(postings: DataFrame, profile: Profile, options: FilterOptions, as_of: Column) -> DataFrame:
+def marked(
+    postings: DataFrame, profile: Profile, options: FilterOptions, as_of: Column, bound: ProfileColumns | None = None
+) -> DataFrame:
     """Normalized postings with their filter marks: the base of the rows and of the report."""
-    bound = profile.columns(postings.sparkSession)
+    bound = bound or profile.columns(postings.sparkSession)
     return filters.mark_stages(normalize(conform(postings), as_of), bound, options, as_of)
 
 
 def scored(postings: DataFrame, profile: Profile, options: FilterOptions, as_of: Column) -> DataFrame:
     """Kept postings with score and reasons. Row-wise end to end, batch or stream."""
-    rows = filters.kept(marked(postings, profile, options, as_of))
-    return score.score(rows, profile.columns(postings.sparkSession), as_of)
+    bound = profile.columns(postings.sparkSession)
+    rows = filters.kept(marked(postings, profile, options, as_of, bound))
+    return score.score(rows, bound, as_of)
 
 
 def top_postings(
