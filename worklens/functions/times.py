@@ -49,12 +49,14 @@ def absolute_epoch(raw: Column) -> Column:
     cleaned = F.replace(
         replace(strip(raw), r"^(?:posted|published|updated|date)\s*:?\s*"), F.lit("Z"), F.lit("+00:00")
     )
-    return F.coalesce(
-        *[
-            F.when(cleaned.rlike(shape), F.unix_seconds(F.try_to_timestamp(cleaned, F.lit(pattern))))
-            for shape, pattern in DATE_SHAPES
-        ]
-    )
+    return F.coalesce(*[F.when(cleaned.rlike(shape), utc_seconds(cleaned, pattern)) for shape, pattern in DATE_SHAPES])
+
+
+def utc_seconds(c: Column, pattern: str) -> Column:
+    """Epoch of a text; one without a zone is UTC, whatever the session's zone is."""
+    if "X" not in pattern:
+        c, pattern = F.concat(c, F.lit(" +00:00")), pattern + " XXX"
+    return F.unix_seconds(F.try_to_timestamp(c, F.lit(pattern)))
 
 
 def listed_epoch(
@@ -73,7 +75,10 @@ def iso_older_than(iso: Column, days: int, as_of: Column) -> Column:
     readable = cleaned.rlike(
         r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?([+-]\d\d:\d\d)?)?$"
     )
-    at = F.when(readable, F.unix_micros(cleaned.try_cast("timestamp")))
+    zoned = F.when(cleaned.rlike(r":.*[+-]\d\d:\d\d$"), cleaned).when(
+        F.contains(cleaned, F.lit(":")), F.concat(cleaned, F.lit("+00:00"))
+    ).otherwise(F.concat(cleaned, F.lit("T00:00:00+00:00")))
+    at = F.when(readable, F.unix_micros(zoned.try_cast("timestamp")))
     return F.coalesce((as_of.cast("double") - at / 1e6) / DAY > days, F.lit(False))
 
 
