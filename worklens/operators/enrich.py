@@ -28,10 +28,11 @@ def _merged(df: DataFrame, keys: list[str], prefix: str, hit: Column, failure: s
 def professional_details(postings: DataFrame, details: DataFrame) -> DataFrame:
     """Details by canonical url for the network postings; salary is never taken."""
     asked = (F.col("source") == "LinkedIn") & F.contains(F.col("url"), F.lit("linkedin.com/jobs"))
-    d = details.select(
-        urls.canonical_job_url(F.col("url")).alias("_key"), F.lit(True).alias("_hit"),
-        *[F.col(k).alias("d_" + k) for k in PROFESSIONAL_KEYS],
+    # Several landed urls may share one canonical form: one detail row per key.
+    d = details.groupBy(urls.canonical_job_url(F.col("url")).alias("_key")).agg(
+        F.max(F.struct(*PROFESSIONAL_KEYS)).alias("_d")
     )
+    d = d.select("_key", F.lit(True).alias("_hit"), *[F.col(f"_d.{k}").alias("d_" + k) for k in PROFESSIONAL_KEYS])
     keyed = postings.withColumn("_asked", asked).withColumn(
         "_key", F.when(F.col("_asked"), urls.canonical_job_url(F.col("url")))
     )
@@ -70,7 +71,7 @@ def rendered_fallback(ranked: DataFrame, rendered: DataFrame, n: int = 10, top_n
     )
     r = rendered.select(
         urls.canonical_job_url(F.col("url")).alias("_key"), strip(text(F.col("page"))).alias("_page")
-    ).filter(F.col("_page") != "")
+    ).filter(F.col("_page") != "").groupBy("_key").agg(F.max("_page").alias("_page"))
     keyed = ranked.withColumn("_key", F.when(asked, urls.canonical_job_url(F.col("url"))))
     mine = keyed.filter(F.col("_key").isNotNull()).join(r, "_key", "left")
     hit = F.col("_page").isNotNull()
