@@ -1,9 +1,12 @@
-"""Session settings and the two guards every job uses: checkpoints and broadcast size."""
+"""Session settings, shipping of the package, and the two guards every job uses: checkpoints and broadcast size."""
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +31,38 @@ def local_session(name: str = "worklens", cores: str | int = "*") -> SparkSessio
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package as a zip, unless they find it by themselves; once per application.
+
+    Pandas and Arrow functions are pickled by reference, so their workers must be able to import the package.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_worklens_shipped", None) == context.applicationId:
+        return
+    top = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="worklens-") as folder:
+        archive = Path(folder, "worklens-package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(top.rglob("*.py")):
+                out.write(path, path.relative_to(top.parent))
+            pipeline = importlib.util.find_spec("corpus_pipeline")
+            if pipeline and pipeline.origin:
+                out.write(pipeline.origin, "corpus_pipeline.py")
+        context.addPyFile(str(archive))
+    context._worklens_shipped = context.applicationId
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage, so a lost executor costs no recomputed chain.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is set, as in tests, a scratch folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is set, a local
+    master, whose tasks all run on this machine, gets a scratch folder; anything else is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="worklens-"))
     return df.checkpoint(eager=True)
 
