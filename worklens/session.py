@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -40,15 +42,17 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_worklens_shipped", None) == context.applicationId:
         return
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory(prefix="worklens-") as folder:
-        archive = Path(folder, "worklens-package.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for path in sorted(top.rglob("*.py")):
-                out.write(path, path.relative_to(top.parent))
-            pipeline = importlib.util.find_spec("corpus_pipeline")
-            if pipeline and pipeline.origin:
-                out.write(pipeline.origin, "corpus_pipeline.py")
-        context.addPyFile(str(archive))
+    # The driver serves the archive from its place, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="worklens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "worklens-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+        pipeline = importlib.util.find_spec("corpus_pipeline")
+        if pipeline and pipeline.origin:
+            out.write(pipeline.origin, "corpus_pipeline.py")
+    context.addPyFile(str(archive))
     context._worklens_shipped = context.applicationId
 
 
