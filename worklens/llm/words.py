@@ -52,6 +52,12 @@ class Words(NamedTuple):
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    sums: np.ndarray
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of other byte ranges, equal where the bytes are."""
+        inverse = _powers_to(len(self.data) + 1)[1]
+        return mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +79,9 @@ def chunks(column: pa.Array) -> Iterator[Words]:
 
 
 def _words(first: int, data: np.ndarray, offsets: np.ndarray) -> Words:
-    n = len(data)
+    n, none = len(data), np.zeros(0, np.int64)
     if n == 0:
-        none = np.zeros(0, np.int64)
-        return Words(first, data, none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64))
+        return Words(first, data, none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64), np.zeros(1, np.uint64))
     inside = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -88,8 +93,7 @@ def _words(first: int, data: np.ndarray, offsets: np.ndarray) -> Words:
     after[-1] = True
     after[:-1] = ~inside[1:]
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
-    power, inverse = _powers_to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(first, data, hashes, starts, ends, np.searchsorted(starts, offsets))
+    np.cumsum(_BYTE[data] * _powers_to(n + 1)[0][:n], out=sums[1:])
+    part = Words(first, data, none.astype(np.uint64), starts, ends, np.searchsorted(starts, offsets), sums)
+    return part._replace(hashes=part.hash(starts, ends))
