@@ -61,6 +61,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is set, a local
     master, whose tasks all run on this machine, gets a scratch folder; anything else is an error.
+
+    A checkpointed plan keeps the constraints inferred for it, which in a loop of joins
+    multiply from round to round until planning takes minutes; so none are inferred here.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -68,7 +71,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="worklens-"))
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
