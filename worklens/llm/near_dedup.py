@@ -1,10 +1,10 @@
 """MinHash near duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
 
 Rows with equal shingle sets collapse first, so a group of copies costs one
-row. In every bucket the members are compared with one centre only (a star);
-centres differ by band. Candidates are confirmed on full sets. Stars go on, with
-new centres, over members that are still in different components of a bucket,
-until a round over all bands links nothing more.
+row. In every bucket the members are compared with one centre only (a star), first
+with the member that meets most others over all bands. Candidates are confirmed on full sets. Stars go on,
+with centres by chance, over members that are still in different components of a
+bucket, until a round over all bands links nothing more.
 """
 
 from __future__ import annotations
@@ -142,8 +142,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     nodes = signed.dropDuplicates(["doc_id"]).join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     buckets = checkpoint(nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("bands").alias("band", "bucket")))
     # Only buckets of two or more can link anything.
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = checkpoint(buckets.join(checkpoint(shared), "bucket"))
+    # The text that copies were made from meets more of them than they meet each other: it is the best centre.
+    met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    buckets = checkpoint(buckets.drop("n").join(met, "node"))
     sets = checkpoint(sets_of(named.dropDuplicates(["doc_id"]).join(checkpoint(buckets.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi"), words))
     links = compared = labels = None
     turn = 0
@@ -151,9 +154,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         turn += 1
         members = buckets if turn > 1 else buckets.where(F.col("band") < FIRST)
         members = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = checkpoint(members.select("bucket", "node", "n_shingles", "label"))
+        members = checkpoint(members.select("bucket", "node", "n_shingles", "met", "label"))
+        order = -F.col("met") if turn < 3 else F.xxhash64("node", "bucket", F.lit(turn))
         centres = members.groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), F.col("node").alias("centre"), F.col("n_shingles").alias("size"), F.col("label").alias("of"))).alias("c"),
+            F.min(F.struct(order.alias("o"), F.col("node").alias("centre"), F.col("n_shingles").alias("size"), F.col("label").alias("of"))).alias("c"),
             F.min("label").alias("lowest"), F.max("label").alias("highest"),
         ).where("lowest < highest").select("bucket", "c.centre", "c.size", "c.of")
         star = members.join(checkpoint(centres), "bucket").where((F.col("label") != F.col("of")) & (100 * F.least("n_shingles", "size") >= percent * F.greatest("n_shingles", "size")))
