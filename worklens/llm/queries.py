@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm import decontaminate, near_dedup, packing, quality, secrets, sharding, toxicity
+from worklens.llm import decontaminate, near_dedup, packing, quality, secrets, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(topk.integer_vectors(_table(spark, sf_dir, "embeddings")), k=20, every=20)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,7 +73,16 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM w d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_balanced_shards, op4_pairwise_quality, op6_toxicity, op8_decontaminate, op9_linked_secrets, op10_best_fit)
+    f.__name__: f for f in (op1_minhash_near_dedup, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op8_decontaminate, op9_linked_secrets, op10_best_fit)
 }
-ORACLE = {"op1_minhash_near_dedup": _OP1}
+ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5}
