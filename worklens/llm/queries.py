@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm import decontaminate, near_dedup, packing, quality, secrets, sharding, topk, toxicity
+from worklens.llm import decontaminate, edit_counts, near_dedup, packing, quality, secrets, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets a tag in its middle, its source in front, and loses its last characters."""
+    n = F.length("text")
+    edit = lambda start, end, text: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"))
+    edits = F.array(
+        edit(F.expr("length(text) div 2"), F.expr("length(text) div 2 + 40"), F.concat_ws(":", F.lit(" ["), "lang", "source")),
+        edit(F.lit(0), F.lit(0), F.concat(F.coalesce("source", F.lit("")), F.lit(" "))),
+        edit(n - 25, n, F.lit("")),
+    )
+    return edit_counts.counted(_table(spark, sf_dir, "documents").withColumn("edits", edits))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +95,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 QUERIES = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op8_decontaminate, op9_linked_secrets, op10_best_fit)
+    f.__name__: f for f in (op1_minhash_near_dedup, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op7_edited_counts, op8_decontaminate, op9_linked_secrets, op10_best_fit)
 }
 ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5}
