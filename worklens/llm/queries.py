@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm import decontaminate, edit_counts, near_dedup, packing, quality, secrets, sharding, topk, toxicity
+from worklens.llm import decontaminate, edit_counts, lm, near_dedup, packing, quality, secrets, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -95,6 +99,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 QUERIES = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op7_edited_counts, op8_decontaminate, op9_linked_secrets, op10_best_fit)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_attention_scores, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op7_edited_counts, op8_decontaminate, op9_linked_secrets, op10_best_fit)
 }
 ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5}
