@@ -56,21 +56,27 @@ def ship(spark: SparkSession) -> None:
     context._worklens_shipped = context.applicationId
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so a lost executor costs no recomputed chain.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is set, a local
-    master, whose tasks all run on this machine, gets a scratch folder; anything else is an error.
-
-    A checkpointed plan keeps the constraints inferred for it, which in a loop of joins
-    multiply from round to round until planning takes minutes; so none are inferred here.
+    Where none is set, a local master, whose tasks all run on this machine, gets a scratch folder; anything else is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="worklens-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage, so a lost executor costs no recomputed chain.
+
+    A checkpointed plan keeps the constraints inferred for it, which in a loop of joins
+    multiply from round to round until planning takes minutes; so none are inferred here.
+    """
+    shared_folder(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(key)
     conf.set(key, "false")
