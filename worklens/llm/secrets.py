@@ -118,17 +118,19 @@ def written(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``secret_spans`` replaced by ``mask`` in text (overlapping spans by one); all rows and columns stay."""
-    found = secret_spans(docs.select("doc_id", "text"), scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    found = small(checkpoint(found.dropDuplicates(["_id", "_mark"])), 50_000)
-    joined = docs.join(found, F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_mark") == F.xxhash64(F.coalesce(docs["text"], F.lit("")))), "left")
-    text = F.col("text")
+    """``docs`` with every span of ``secret_spans`` replaced by ``mask`` in text (touching or overlapping spans by one); all rows and columns stay."""
+    found = secret_spans(docs.select("doc_id", "text"), scope).where(F.size("spans") > 0)
+    found = small(checkpoint(found.select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"])), 50_000)
+    # The row travels as one struct, so no column of it can clash with those of the join.
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    joined = rows.join(found.withColumnRenamed("doc_id", "of"), rows["doc_id"].eqNullSafe(F.col("of")) & (rows["mark"] == found["mark"]), "left")
+    text = F.col("doc.text")
 
     def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        return F.when(s["end"] <= done["at"], done).otherwise(
-            F.struct(s["end"].alias("at"), F.when((s["start"] < done["at"]) & (done["at"] > 0), done["out"]).otherwise(F.concat(done["out"], gap, F.lit(mask))).alias("out"))
-        )
+        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
+        out = F.when((s["start"] <= done["at"]) & (done["at"] > 0), done["out"]).otherwise(F.concat(done["out"], gap, F.lit(mask)))
+        return F.struct(F.greatest(s["end"], done["at"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    hidden = F.when(F.col("spans").isNotNull(), clean).otherwise(text)
+    return joined.select(*[hidden.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
