@@ -152,10 +152,9 @@ def board_rows(spark, sf_dir):
 
 @query(
     "recovered_titles",
-    """WITH r AS (SELECT p_partkey AS k, p_partkey // 200 AS payload_id, p_partkey % 6 = 0 AS bare, p_name, p_brand FROM part),
-      n AS (SELECT *, CASE WHEN bare THEN row_number() OVER (PARTITION BY payload_id, bare ORDER BY k) END AS no FROM r)
-      SELECT payload_id, k AS position_no, CASE WHEN bare AND no <= 8 AND k % 4 < 3 THEN 'Detail ' || k WHEN bare THEN ' ' ELSE p_name END AS title,
-        CASE WHEN k % 5 > 0 THEN 'Pune' WHEN bare AND no <= 8 AND k % 4 < 3 THEN 'Delhi' ELSE '' END AS location FROM n""",
+    """WITH r AS (SELECT p_partkey AS k, p_partkey // 200 AS payload_id, p_partkey % 6 = 0 AS bare, p_name, p_brand FROM part)
+      SELECT payload_id, k AS position_no, CASE WHEN bare AND k % 4 < 3 THEN 'Detail ' || k WHEN bare THEN ' ' ELSE p_name END AS title,
+        CASE WHEN k % 5 > 0 THEN 'Pune' WHEN bare AND k % 4 < 3 THEN 'Delhi' ELSE '' END AS location FROM r""",
 )
 def recovered_titles(spark, sf_dir):
     k = F.col("p_partkey")
@@ -195,30 +194,85 @@ def text_block_rows(spark, sf_dir):
     return payloads.text_blocks(p).drop("position_no")
 
 
+def feed_payloads(spark, sf_dir):
+    """Part rows as feeds of 40 entries in three formats, dates in several zones; every seventh feed is broken."""
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    link = F.concat(F.lit("https://f/"), n)
+    dated = pick(["Wed, 03 Jan 2024 10:00:00 GMT", "Wed, 03 Jan 2024 15:30:00 +0530", "Wed, 03 Jan 2024 05:00:00 EST", "no date"], k)
+    creator = F.when(k % 5 == 0, F.concat(F.lit("<dc:creator>"), "p_brand", F.lit("</dc:creator>"))).otherwise("")
+    item = F.concat(
+        F.lit("<item><title>"), "p_name", F.lit("</title><link>"), link, F.lit("</link><description>"), "p_type", F.lit("</description>"), creator,
+        F.lit("<pubDate>"), dated, F.lit("</pubDate></item>"),
+    )
+    entry = F.concat(
+        F.lit('<entry><title type="text">'), "p_name", F.lit('</title><link rel="self" href="https://self/"/><link href="'), link, F.lit('"/><summary>'), "p_type",
+        F.lit("</summary><updated>"), pick(["2024-01-03T10:00:00Z", "2024-01-03T15:30:00+05:30", "never"], k), F.lit("</updated></entry>"),
+    )
+    feed_no = F.floor(k % 500 / 40)
+    rows = table(spark, sf_dir, "part").select(
+        F.floor(k / 500).cast("bigint").alias("run_id"), feed_no.cast("bigint").alias("feed_no"), k.alias("k"), F.when(feed_no % 3 == 1, entry).otherwise(item).alias("i")
+    )
+    grouped = rows.groupBy("run_id", "feed_no").agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("l"))
+    body, no = F.array_join(F.transform("l", lambda x: x["i"]), ""), F.col("feed_no").cast("string")
+    head = F.concat(F.lit("<title>Feed "), no, F.lit("</title>"))
+    xml = (
+        F.when((F.col("run_id") + F.col("feed_no")) % 7 == 6, F.concat(F.lit("<html>not a feed "), no, F.lit("</html>")))
+        .when(F.col("feed_no") % 3 == 0, F.concat(F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'), head, body, F.lit("</channel></rss>")))
+        .when(F.col("feed_no") % 3 == 1, F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">'), head, body, F.lit("</feed>")))
+        .otherwise(F.concat(F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'), head, F.lit("</channel>"), body, F.lit("</rdf:RDF>")))
+    )
+    return grouped.select("run_id", "feed_no", xml.alias("payload"))
+
+
 @query(
     "feed_rows",
-    """WITH e AS (SELECT p_partkey // 500 AS run_id, (p_partkey % 500) // 40 AS feed_no, (p_partkey % 500) % 40 AS pos, * FROM part),
-      m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY feed_no, pos) AS n FROM e
-        WHERE feed_no < 10 AND pos < 30 AND (contains(lower(p_name || ' ' || p_type), 'small') OR contains(lower(p_name || ' ' || p_type), 'economy')))
-      SELECT run_id, feed_no, pos::INT AS position_no, p_name AS title, 'Feed ' || feed_no AS company, 'https://f/' || p_partkey AS url,
-        epoch(TIMESTAMP '2024-01-03 10:00:00')::BIGINT AS listed_epoch FROM m WHERE n <= 60""",
+    """WITH e AS (SELECT p_partkey // 500 AS run_id, (p_partkey % 500) // 40 AS feed_no, p_partkey AS k, * FROM part),
+      p AS (SELECT *, (row_number() OVER (PARTITION BY run_id, feed_no ORDER BY k) - 1)::INT AS position_no FROM e)
+      SELECT run_id, feed_no, position_no, p_name AS title, CASE WHEN feed_no % 3 <> 1 AND k % 5 = 0 THEN p_brand ELSE 'Feed ' || feed_no END AS company, 'Pune' AS location,
+        p_type AS description, 'https://f/' || k AS url, 'RSS' AS source,
+        CASE WHEN feed_no % 3 = 1 THEN ['2024-01-03T10:00:00Z', '2024-01-03T15:30:00+05:30', 'never'][k % 3 + 1]
+          ELSE ['Wed, 03 Jan 2024 10:00:00 GMT', 'Wed, 03 Jan 2024 15:30:00 +0530', 'Wed, 03 Jan 2024 05:00:00 EST', 'no date'][k % 4 + 1] END AS listed,
+        CASE WHEN CASE WHEN feed_no % 3 = 1 THEN k % 3 < 2 ELSE k % 4 < 3 END THEN epoch(TIMESTAMP '2024-01-03 10:00:00')::BIGINT END AS listed_epoch,
+        'rss' AS backend, 'partial' AS data_quality
+      FROM p WHERE (run_id + feed_no) % 7 <> 6 AND (contains(lower(p_name || ' ' || p_type), 'small') OR contains(lower(p_name || ' ' || p_type), 'economy'))""",
 )
 def feed_rows(spark, sf_dir):
+    return payloads.feed(feed_payloads(spark, sf_dir), F.lit("small economy"), F.lit("Pune"))
+
+
+@query(
+    "feed_errors",
+    """SELECT DISTINCT p_partkey // 500 AS run_id, (p_partkey % 500) // 40 AS feed_no, 'unparseable feed (no recognized feed format)' AS error
+      FROM part WHERE (p_partkey // 500 + (p_partkey % 500) // 40) % 7 = 6""",
+)
+def feed_errors(spark, sf_dir):
+    return payloads.feed_errors(feed_payloads(spark, sf_dir))
+
+
+@query(
+    "nested_envelope_rows",
+    """SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 4 = 3 THEN ' | block' ELSE '' END AS title, 'https://j/' || p_partkey AS url,
+        CASE WHEN p_partkey % 4 < 3 THEN '2024-01-05' END AS "publishedDate", CASE WHEN p_partkey % 4 < 3 THEN p_brand END AS author,
+        CASE WHEN p_partkey % 4 < 3 THEN p_type END AS text, CASE WHEN p_partkey % 4 < 3 THEN 0.5::DOUBLE END AS score
+      FROM part WHERE p_partkey % 9 > 0""",
+)
+def nested_envelope_rows(spark, sf_dir):
+    """Search envelopes: bare, nested, written as JSON inside a text, rendered as blocks; every ninth is an error or nested beyond all depth."""
     k = F.col("p_partkey")
-    item = F.concat(
-        F.lit("<item><title>"), "p_name", F.lit("</title><link>https://f/"), k.cast("string"), F.lit("</link><description>"), "p_type",
-        F.lit("</description><pubDate>Wed, 03 Jan 2024 10:00:00 GMT</pubDate></item>"),
+    hit = F.struct(
+        F.col("p_name").alias("title"), F.concat(F.lit("https://j/"), k.cast("string")).alias("url"), F.lit("2024-01-05").alias("publishedDate"),
+        F.col("p_brand").alias("author"), F.col("p_type").alias("text"), F.lit(0.5).alias("score"),
     )
-    rows = table(spark, sf_dir, "part").select(
-        F.floor(k / 500).cast("bigint").alias("run_id"), F.floor(k % 500 / 40).cast("bigint").alias("feed_no"), k.alias("k"), item.alias("i")
-    )
-    grouped = rows.groupBy("run_id", "feed_no").agg(F.array_sort(F.collect_list(F.struct("k", "i"))).alias("l"))
-    xml = F.concat(
-        F.lit('<rss version="2.0"><channel><title>Feed '), F.col("feed_no").cast("string"), F.lit("</title>"),
-        F.array_join(F.transform("l", lambda x: x["i"]), ""), F.lit("</channel></rss>"),
+    bare = F.to_json(F.struct(F.lit("r").alias("requestId"), F.array(hit).alias("results")))
+    content = lambda t: F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content")))
+    block = F.concat(F.lit("Title: "), "p_name", F.lit(" | block\nURL: https://j/"), k.cast("string"))
+    deep = F.concat(F.repeat(F.lit('{"a":'), F.lit(3000)), F.lit("1"), F.repeat(F.lit("}"), F.lit(3000)))
+    payload = (
+        F.when(k % 18 == 0, deep).when(k % 9 == 0, '{"success":false,"error":"limit"}').when(k % 4 == 0, F.concat(F.lit("\x1b[32m[INFO] fetched\x1b[0m "), bare))
+        .when(k % 4 == 1, F.concat(F.lit('{"data":{"inner":'), bare, F.lit("}}"))).when(k % 4 == 2, content(bare)).otherwise(content(block))
     )
-    out = payloads.feed(grouped.select("run_id", "feed_no", xml.alias("payload")), F.lit("small economy"), F.lit("Pune"))
-    return out.select("run_id", "feed_no", "position_no", "title", "company", "url", "listed_epoch")
+    rows = payloads.semantic_results(table(spark, sf_dir, "part").select(k.alias("k"), payload.alias("payload")))
+    return rows.select("k", "title", "url", "publishedDate", "author", "text", "score")
 
 
 @query(
@@ -236,10 +290,12 @@ def search_card_rows(spark, sf_dir):
         F.lit('</a></h4><span class="job-search-card__location">Pune</span><a class="base-card__full-link" href="https://in.linkedin.com/jobs/view/x-'),
         n, F.lit('?position=1">go</a></div></li><li><p>no title</p></li></ul>'),
     )
+    named = F.when(k % 5 == 0, F.col("p_name")).otherwise(F.concat(F.lit('<span title="t">'), "p_name", F.lit("</span>")))
+    link = F.when(k % 5 == 0, '<a href="/rc/clk?jk=a').otherwise('<a class="jcs-JobTitle" href="/rc/clk?jk=a')
     two = F.concat(
-        F.lit('<div class="job_seen_beacon"><h3 class="jobTitle"><a class="jcs-JobTitle" href="/rc/clk?jk=a'), s, F.lit('&from=x"><span title="t">'), "p_name",
-        F.lit('</span></a></h3><span data-testid="company-name">'), "p_brand", F.lit("</span>"),
-        F.when(k % 2 == 0, '<div data-testid="text-location">Pune</div>').otherwise(""),
+        F.lit('<div class="job_seen_beacon">'), F.when(k % 3 == 1, '<span title="badge">Urgent</span>').otherwise(""), F.lit('<h3 class="jobTitle">'), link, s, F.lit('&from=x">'), named,
+        F.lit('</a></h3><span data-testid="company-name">'), "p_brand", F.lit("</span>"),
+        F.when(k % 4 == 0, '<span title="New">New</span></p></b>').otherwise(""), F.when(k % 2 == 0, '<div data-testid="text-location">Pune</div>').otherwise(""),
         F.when(k % 3 > 0, '<div data-testid="x-salary">₹10</div>').otherwise(""), F.lit('<div class="job-snippet"><br>'), "p_type", F.lit("</div></div>"),
     )
     part = table(spark, sf_dir, "part")
@@ -273,18 +329,15 @@ gated AS (SELECT * FROM hit_rows WHERE title <> '' AND NOT ({SQL_HOMEPAGE}) AND
   AND {sql_relevant('title', ['devops', 'engineer', 'pune'])} AND NOT {sql_snippet_old('body', 7)})"""
 
 
-def _sql_hits(cleaned: str, enough: int) -> str:
+def _sql_hits(cleaned: str) -> str:
     return HIT_ROWS + f""",
 pre AS (SELECT *, {_BOARD} AS board FROM gated),
 cleaned AS (SELECT run_id, site_no, hit_id, {cleaned} AS title, href, body FROM pre),
 named AS (SELECT * FROM cleaned WHERE title <> '' AND NOT {SQL_SEARCH_PAGE}),
-counts AS (SELECT run_id, site_no, count(*) AS n FROM named GROUP BY ALL),
-upto AS (SELECT *, COALESCE(sum(n) OVER (PARTITION BY run_id ORDER BY site_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts),
-taken AS (SELECT named.* FROM named JOIN upto USING (run_id, site_no) WHERE before < {enough}
-  QUALIFY row_number() OVER (PARTITION BY run_id, href ORDER BY hit_id) = 1)"""
+taken AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY run_id, href ORDER BY hit_id) = 1)"""
 
 
-@query("keyword_hits", with_(_sql_hits(sql_first(_WEB), 10), body="SELECT run_id, hit_id, title, href AS url, substr(body, 1, 1000) AS description FROM taken"))
+@query("keyword_hits", with_(_sql_hits(sql_first(_WEB)), body="SELECT run_id, hit_id, title, href AS url, body AS description FROM taken"))
 def keyword_hits(spark, sf_dir):
     rows = web.web_keyword(hit_rows(spark, sf_dir), F.lit("DevOps Engineer"), F.lit("Pune"), 7, as_of(), ["run_id"])
     return rows.select("run_id", "hit_id", "title", "url", "description")
@@ -323,7 +376,7 @@ def company_by_domain(spark, sf_dir):
 
 @query(
     "board_hits",
-    with_(COMPANIES, _sql_hits(sql_first("board"), 20), body=r"""SELECT run_id, hit_id, title, href AS url, o.company FROM taken
+    with_(COMPANIES, _sql_hits(sql_first("board")), body=r"""SELECT run_id, hit_id, title, href AS url, o.company FROM taken
       LEFT JOIN owners o ON o.host = regexp_replace(lower(regexp_extract(href, '^https?://([^/]+)', 1)), '^www\.', '')"""),
 )
 def board_hits(spark, sf_dir):
@@ -432,11 +485,13 @@ def posting_pages(spark, sf_dir):
     )
     state = F.to_json(
         F.struct(F.array(F.struct(F.lit(1).alias("x"))).alias("list"), F.struct(F.array(F.struct(
-            F.lit("Data Engineer").alias("jobTitle"), body.alias("jobDescription"), F.lit("Acme").alias("companyName"), F.lit("Hyderabad").alias("location"),
-            F.lit("3").alias("minExperience"), F.lit("6").alias("maxExperience"), F.array(F.lit("Spark"), F.lit("SQL")).alias("keySkills"),
+            F.lit("Data Engineer").alias("jobTitle"), body.alias("jobDescription"), F.lit("Acme").alias("companyName"),
+            F.struct(F.struct(F.lit("Hyderabad").alias("addressLocality"), F.lit("TS").alias("addressRegion")).alias("address")).alias("location"),
+            F.when(k % 2 == 0, 3).otherwise(0).alias("minExperience"), F.lit(6).alias("maxExperience"), F.array(F.lit("Spark"), F.lit("SQL")).alias("keySkills"),
             F.lit("2024-01-07").alias("createdDate"))).alias("jobs")).alias("props"))
     )
-    ld_page = F.concat(F.lit('<html><script type="application/ld+json">{"@type":"Org"}</script><script type="application/ld+json">'), ld, F.lit("</script></html>"))
+    kind = pick(['"application/ld+json"', "'application/ld+json'", "application/ld+json"], F.floor(k / 3).cast("bigint"))
+    ld_page = F.concat(F.lit('<html><script type="application/ld+json">{"@type":"Org"}</script><script type='), kind, F.lit(">"), ld, F.lit("</script></html>"))
     state_page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script></html>"))
     text_pages = rendered_pages(spark, sf_dir)
     return table(spark, sf_dir, "pages").join(text_pages.select("page_id", F.col("url").alias("job_url"), "page"), "page_id").select(
@@ -465,7 +520,7 @@ def posting_page_fields(spark, sf_dir):
 
 @query(
     "page_merge",
-    """WITH t AS (SELECT page_id AS k, page_id // 20 AS batch, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) <= 8 AS asked FROM pages)
+    """WITH t AS (SELECT page_id AS k, page_id // 20 AS batch, true AS asked FROM pages)
       SELECT k AS posting_id, CASE WHEN NOT asked OR k % 5 = 4 THEN 'snippet title' WHEN k % 3 = 0 THEN 'Python Developer' WHEN k % 3 = 1 THEN 'Data Engineer'
           ELSE 'Data Analyst' END AS title, CASE WHEN asked AND k % 5 < 4 THEN 'full' ELSE 'snippet' END AS data_quality,
         CASE WHEN asked AND k % 5 = 4 THEN 'job page fetch/parse failed' END AS enrich_error
@@ -539,8 +594,7 @@ def board_details(spark, sf_dir):
 
 @query(
     "rendered_fallback",
-    with_(POSTINGS, """r AS (SELECT *, row_number() OVER (PARTITION BY posting_id % 4 ORDER BY posting_id) AS rank FROM postings),
-        m AS (SELECT r.*, posting_id % 3 = 0 AND rank <= 10 AND l.doc_id IS NOT NULL AS hit FROM r LEFT JOIN labels l ON l.doc_id = r.posting_id)""",
+    with_(POSTINGS, """ m AS (SELECT r.*, posting_id % 3 = 0 AND l.doc_id IS NOT NULL AS hit FROM postings r LEFT JOIN labels l ON l.doc_id = r.posting_id)""",
         body="""SELECT posting_id, CASE WHEN hit THEN 'page ' || posting_id ELSE description END AS description,
           CASE WHEN hit THEN 'partial' ELSE data_quality END AS data_quality FROM m"""),
 )

@@ -89,7 +89,7 @@ def title_case(c: Column) -> Column:
     spaced = F.regexp_replace(F.lower(c), r"(?<!\p{L})(\p{L})", "\u0001$1")
     parts = F.split(spaced, "\u0001")
     raised = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
-    return F.concat(F.element_at(parts, 1), F.array_join(F.slice(raised, 2, 100000), ""))
+    return F.concat(F.element_at(parts, 1), F.array_join(F.slice(raised, F.lit(2), F.greatest(F.size(raised) - 1, F.lit(0))), ""))
 
 
 def java_escape(value: str) -> str:

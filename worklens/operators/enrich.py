@@ -25,95 +25,96 @@ def _merged(df: DataFrame, keys: list[str], prefix: str, hit: Column, failure: s
     return df.withColumns(out)
 
 
+def latest(rows: DataFrame, key: str | Column, fields: list[str], landed: str = "landed_at") -> DataFrame:
+    """(key, fields) of the newest row of each key by ``landed`` (where the table has it; then by the fields)."""
+    order = [landed] if landed in rows.columns else []
+    named = key if isinstance(key, Column) else F.col(key)
+    best = rows.groupBy(named.alias("_key")).agg(F.max(F.struct(*order, *[f for f in fields if f not in order])).alias("_best"))
+    return best.select("_key", *[F.col(f"_best.{f}").alias(f) for f in fields])
+
+
+def _keyed(postings: DataFrame, asked: Column, key: Column) -> DataFrame:
+    """Add ``_asked`` and ``_key``. Rows that ask for nothing get keys that meet nothing and spread over all tasks."""
+    plain = [c for c, kind in postings.dtypes if kind in ("string", "bigint", "int")]
+    nowhere = F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string"))
+    df = postings.withColumn("_asked", F.coalesce(asked, F.lit(False)))
+    return df.withColumn("_key", F.when(F.col("_asked"), F.coalesce(key, nowhere)).otherwise(nowhere))
+
+
+def _joined(df: DataFrame, details: DataFrame, keys: list[str]) -> DataFrame:
+    found = details.select("_key", F.lit(True).alias("_hit"), *[F.col(k).alias("d_" + k) for k in keys])
+    return df.join(found, "_key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+
+
+def _bare(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.drop("_key", "_hit", "_asked", *["d_" + k for k in keys])
+
+
 def professional_details(postings: DataFrame, details: DataFrame) -> DataFrame:
-    """Details by canonical url for the network postings; salary is never taken."""
+    """The newest details by canonical url for the network postings; salary is never taken."""
     asked = (F.col("source") == "LinkedIn") & F.contains(F.col("url"), F.lit("linkedin.com/jobs"))
     # Several landed urls may share one canonical form: one detail row per key.
-    d = details.groupBy(urls.canonical_job_url(F.col("url")).alias("_key")).agg(
-        F.max(F.struct(*PROFESSIONAL_KEYS)).alias("_d")
-    )
-    d = d.select("_key", F.lit(True).alias("_hit"), *[F.col(f"_d.{k}").alias("d_" + k) for k in PROFESSIONAL_KEYS])
-    keyed = postings.withColumn("_asked", asked).withColumn(
-        "_key", F.when(F.col("_asked"), urls.canonical_job_url(F.col("url")))
-    )
-    mine = keyed.filter("_asked").join(d, "_key", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    mine = _merged(mine, PROFESSIONAL_KEYS, "d_", hit, "job-detail failed")
-    mine = mine.withColumn(
-        "apply_url",
-        F.when(hit & (F.col("apply_url") != ""), urls.stable_apply_url(F.col("url"), F.col("apply_url"))).otherwise(
-            F.col("apply_url")
-        ),
-    )
-    mine = mine.drop("_key", "_hit", "_asked", *["d_" + k for k in PROFESSIONAL_KEYS])
-    # Other postings never enter the shuffle of this join.
-    return mine.unionByName(keyed.filter("NOT _asked").drop("_key", "_asked"), allowMissingColumns=True)
+    newest = latest(details, urls.canonical_job_url(F.col("url")), PROFESSIONAL_KEYS)
+    df = _joined(_keyed(postings, asked, F.when(asked, urls.canonical_job_url(F.col("url")))), newest, PROFESSIONAL_KEYS)
+    df = _merged(df, PROFESSIONAL_KEYS, "d_", F.col("_hit"), "job-detail failed")
+    stable = urls.stable_apply_url(F.col("url"), F.col("apply_url"))
+    return _bare(df.withColumn("apply_url", F.when(F.col("_hit") & (F.col("apply_url") != ""), stable).otherwise(F.col("apply_url"))), PROFESSIONAL_KEYS)
 
 
 def board_details(postings: DataFrame, details: DataFrame) -> DataFrame:
-    """Details by job key for the board postings, salary included."""
-    keyed = postings.withColumn("_asked", (F.col("source") == "Indeed") & (text(F.col("job_key")) != ""))
-    d = details.select("job_key", F.lit(True).alias("_hit"), *[F.col(k).alias("d_" + k) for k in BOARD_KEYS])
-    mine = keyed.filter("_asked").join(d, "job_key", "left")
-    mine = _merged(mine, BOARD_KEYS, "d_", F.coalesce("_hit", F.lit(False)), "job detail failed")
-    mine = mine.drop("_hit", "_asked", *["d_" + k for k in BOARD_KEYS])
-    return mine.unionByName(keyed.filter("NOT _asked").drop("_asked"), allowMissingColumns=True)
+    """The newest details by job key for the board postings, salary included."""
+    asked = (F.col("source") == "Indeed") & (text(F.col("job_key")) != "")
+    df = _joined(_keyed(postings, asked, F.col("job_key")), latest(details, "job_key", BOARD_KEYS), BOARD_KEYS)
+    return _bare(_merged(df, BOARD_KEYS, "d_", F.col("_hit"), "job detail failed"), BOARD_KEYS)
 
 
-def rendered_fallback(ranked: DataFrame, rendered: DataFrame, n: int = 10, top_n: int = 30) -> DataFrame:
-    """Rendered page text for the network postings among the first rows of each ranking.
-
-    ``ranked`` has ``rank``; the cap of ``n`` rows is the operator's own limit.
-    """
-    asked = (
-        (F.col("source") == "LinkedIn") & F.contains(F.col("url"), F.lit("linkedin.com/jobs"))
-        & (F.col("rank") <= min(n, top_n))
-    )
-    r = rendered.select(
-        urls.canonical_job_url(F.col("url")).alias("_key"), strip(text(F.col("page"))).alias("_page")
-    ).filter(F.col("_page") != "").groupBy("_key").agg(F.max("_page").alias("_page"))
-    keyed = ranked.withColumn("_key", F.when(asked, urls.canonical_job_url(F.col("url"))))
-    mine = keyed.filter(F.col("_key").isNotNull()).join(r, "_key", "left")
-    hit = F.col("_page").isNotNull()
-    mine = mine.withColumns(
+def rendered_fallback(ranked: DataFrame, rendered: DataFrame, n: int | None = None) -> DataFrame:
+    """Rendered page text for the network postings; ``n`` limits it to the first ranks (``ranked`` has ``rank``)."""
+    asked = (F.col("source") == "LinkedIn") & F.contains(F.col("url"), F.lit("linkedin.com/jobs"))
+    asked = asked if n is None else asked & (F.col("rank") <= n)
+    written = rendered.withColumn("page", strip(text(F.col("page")))).filter(F.col("page") != "")
+    newest = latest(written, urls.canonical_job_url(F.col("url")), ["page"])
+    df = _joined(_keyed(ranked, asked, F.when(asked, urls.canonical_job_url(F.col("url")))), newest, ["page"])
+    hit = F.col("_hit")
+    df = df.withColumns(
         {
-            "description": F.when(hit, F.substring("_page", 1, 3000)).otherwise(F.col("description")),
+            "description": F.when(hit, F.col("d_page")).otherwise(F.col("description")),
             "data_quality": F.when(hit, "partial").otherwise(F.col("data_quality")),
             "enrich_source": F.when(hit, "rendered"),
         }
-    ).drop("_page", "_key")
-    return mine.unionByName(keyed.filter(F.col("_key").isNull()).drop("_key"), allowMissingColumns=True)
+    )
+    return _bare(df, ["page"])
 
 
-def page_fields(postings: DataFrame, fields: DataFrame, by: list[str], order: str = "posting_id", most: int = 8) -> DataFrame:
-    """Merge parsed page fields into the first ``most`` portal postings of each batch.
+def page_fields(postings: DataFrame, fields: DataFrame, by: list[str], order: str = "posting_id", most: int | None = None) -> DataFrame:
+    """Merge the newest parsed page fields into the portal postings, or the first ``most`` of each batch.
 
     ``fields`` holds url, expired, and a ``page`` struct (NULL when the parse
     failed). Page values win, a title only when usable; expired rows go.
     """
     portal = urls.is_portal_posting(F.col("url"))
-    targets = first_n(postings.filter(portal).select(*by, order), most, by, [F.asc(order)]).select(
-        *by, order, F.lit(True).alias("_target")
-    )
-    df = postings.join(targets, [*by, order], "left")
-    asked = df.filter("_target").join(
-        fields.select("url", "expired", F.col("page").alias("_page")), "url", "left"
-    ).filter(~F.coalesce("expired", F.lit(False)))
-    hit = F.col("_page").isNotNull()
-    out = {}
+    if most is None:
+        df = postings.withColumn("_target", F.coalesce(portal, F.lit(False)))
+    else:
+        first = first_n(postings.filter(portal).select(*by, order), most, by, [F.asc(order)]).select(*by, order, F.lit(True).alias("_target"))
+        df = postings.join(first, [*by, order], "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
+    newest = latest(fields.filter(F.col("url").isNotNull()), "url", ["expired", "page"])
+    df = _joined(_keyed(df, F.col("_target"), F.col("url")), newest, ["expired", "page"])
+    df = df.filter(~(F.col("_target") & F.coalesce("d_expired", F.lit(False))))
+    target, hit = F.col("_target"), F.col("d_page").isNotNull()
+    body = filled(F.col("d_page.description"))
+    out = {
+        "data_quality": F.when(~hit, "snippet").when(body.isNotNull(), "full").otherwise("partial"), "enrich_source": F.when(hit, "job-page"),
+        "backend": F.when(hit, "job-page").otherwise(F.col("backend")), "enrich_error": F.when(~hit, "job page fetch/parse failed"),
+        "description": F.coalesce(body, F.col("description")),
+    }
     for k in PAGE_KEYS:
-        value = filled(F.col(f"_page.{k}"))
-        if k == "title":
-            value = F.when(pages.is_usable_title(value), value)
+        value = filled(F.col(f"d_page.{k}"))
+        value = F.when(pages.is_usable_title(value), value) if k == "title" else value
         out[k] = F.coalesce(value, F.col(k)) if k in postings.columns else value
-    body = filled(F.col("_page.description"))
-    out["description"] = F.coalesce(F.substring(body, 1, pages.MAX_DESCRIPTION), F.col("description"))
-    out["data_quality"] = F.when(~hit, "snippet").when(body.isNotNull(), "full").otherwise("partial")
-    out["enrich_source"] = F.when(hit, "job-page")
-    out["backend"] = F.when(hit, "job-page").otherwise(F.col("backend"))
-    out["enrich_error"] = F.when(~hit, "job page fetch/parse failed")
-    asked = asked.withColumns(out).drop("_page", "expired", "_target")
-    return asked.unionByName(df.filter(F.col("_target").isNull()).drop("_target"), allowMissingColumns=True)
+    kept = lambda k: F.col(k) if k in postings.columns else F.lit(None)
+    df = df.withColumns({k: F.when(target, v).otherwise(kept(k)) for k, v in out.items()})
+    return _bare(df, ["expired", "page"]).drop("_target")
 
 
 def batch_quality(postings: DataFrame, by: list[str]) -> DataFrame:
@@ -127,10 +128,9 @@ def batch_quality(postings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def live_only(postings: DataFrame, crawl: DataFrame) -> DataFrame:
-    """Drop postings whose crawl result shows them dead; a url without a result counts as alive."""
-    dead = crawl.filter(
-        ~is_alive(F.col("url"), F.col("status"), F.col("final_url"), F.col("body"))
-    ).select("url").distinct()
+    """Drop postings whose newest crawl result shows them dead; a url without a result counts as alive."""
+    newest = latest(crawl, "url", ["status", "final_url", "body"])
+    dead = newest.filter(~is_alive(F.col("_key"), F.col("status"), F.col("final_url"), F.col("body"))).select(F.col("_key").alias("url"))
     return postings.join(dead, "url", "left_anti")
 
 

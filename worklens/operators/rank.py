@@ -106,25 +106,27 @@ def stretch(df: DataFrame, by: list[str], score: str = "score", normalize: bool
     )
 
 
-def override(df: DataFrame, scores: DataFrame, by: list[str], n: int = 30) -> DataFrame:
-    """Replace the heuristic score by an external one for the top n eligible rows that have one.
+def override(df: DataFrame, scores: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
+    """Replace the heuristic score by the newest external one of eligible rows, or of the top ``n`` of them.
 
-    ``scores`` holds ``by`` + ``posting_id``, ``external_score``,
-    ``external_reasons``. Re-ranking on the new score is up to the caller.
+    ``scores`` holds ``by`` + ``posting_id``, ``external_score``, ``external_reasons`` (and
+    ``landed_at``, if a row can have several). Re-ranking on the new score is up to the caller.
     """
-    df = checkpoint(df.withColumn("_ok", scorer_eligible(F.col("data_quality"), F.col("description"))).drop("description"))
-    chosen = top_n(
-        df.filter("_ok").select(*by, "posting_id", "score"), n, by
-    ).select(*by, "posting_id")
-    chosen = chosen.join(scores, [*by, "posting_id"])
-    out = df.join(chosen, [*by, "posting_id"], "left")
-    has = F.col("external_score").isNotNull()
+    keys = [*by, "posting_id"]
+    eligible = scorer_eligible(F.col("data_quality"), F.col("description"))
+    order = ["landed_at"] if "landed_at" in scores.columns else []
+    newest = scores.groupBy(*keys).agg(F.max(F.struct(*order, "external_score", "external_reasons")).alias("_x"))
+    if n is None:
+        out = df.join(newest, keys, "left").withColumn("_x", F.when(eligible, F.col("_x")))
+    else:
+        narrow = checkpoint(df.filter(eligible).select(*keys, "score"))
+        out = df.join(top_n(narrow, n, by).select(*keys).join(newest, keys), keys, "left")
+    has = F.col("_x.external_score").isNotNull()
     return out.withColumns(
         {
-            "score": F.when(has, F.col("external_score")).otherwise(F.col("score")),
-            "reasons": F.when(has, F.coalesce("external_reasons", F.array().cast("array<string>"))).otherwise(
-                F.col("reasons")
-            ),
+            "score": F.when(has, F.col("_x.external_score")).otherwise(F.col("score")),
+            "reasons": F.when(has, F.coalesce("_x.external_reasons", F.array().cast("array<string>"))).otherwise(F.col("reasons")),
             "overridden": has,
         }
-    ).drop("external_score", "external_reasons", "_ok")
+    ).drop("_x")
+

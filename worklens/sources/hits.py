@@ -10,12 +10,14 @@ from ..functions.base import filled, first_filled, replace, split, strip, text
 from ..operators import dedup, enrich
 
 
-def _stop_after(df: DataFrame, by: list[str], enough: int) -> DataFrame:
-    """Keep the site queries up to the one that brings a run to ``enough`` rows.
+def _stop_after(df: DataFrame, by: list[str], enough: int | None) -> DataFrame:
+    """Keep the site queries up to the one that brings a run to ``enough`` rows; all by default.
 
     Rows are counted per site query first; the running sum is over a run's few
     site queries, never over its rows.
     """
+    if enough is None:
+        return df
     counts = df.groupBy(*by, "site_no").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("site_no").rowsBetween(Window.unboundedPreceding, -1)
     open_ = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < enough)
@@ -33,7 +35,7 @@ def _gated(hits: DataFrame, query: Column, location: Column, days: int | None, a
 
 def web_keyword(
     hits: DataFrame, query: Column, location: Column, days: int | None, as_of: Column, by: list[str],
-    enough: int = 10, order: str = "hit_id",
+    enough: int | None = None, order: str = "hit_id",
 ) -> DataFrame:
     """Keyword hits: by (the run), site_no, order, title, href, body."""
     df = _gated(hits, query, location, days, as_of)
@@ -42,7 +44,7 @@ def web_keyword(
         *by, "site_no", order, extract.clean_web_title(F.col("title")).alias("title"),
         extract.company_from_text(F.col("href"), F.col("body"), F.col("title")).alias("company"),
         extract.location_from_text(everything, F.col("body")).alias("location"),
-        F.substring("body", 1, 1000).alias("description"), F.col("href").alias("url"), F.lit("Web Search").alias("source"),
+        F.col("body").alias("description"), F.col("href").alias("url"), F.lit("Web Search").alias("source"),
         F.lit("ddgs").alias("backend"), F.lit("snippet").alias("data_quality"),
     )
     df = df.filter((F.col("title") != "") & ~gates.is_search_page(F.col("title"), F.col("url")))
@@ -52,7 +54,7 @@ def web_keyword(
 
 def career_boards(
     hits: DataFrame, companies: DataFrame, query: Column, location: Column, days: int | None, as_of: Column,
-    by: list[str], enough: int = 20, order: str = "hit_id",
+    by: list[str], enough: int | None = None, order: str = "hit_id",
 ) -> DataFrame:
     """Career-board hits; the company comes from the domain dimension (ord, company, domain)."""
     df = _gated(hits, query, location, days, as_of)
@@ -60,7 +62,7 @@ def career_boards(
     df = df.select(
         *by, "site_no", order, extract.clean_board_title(F.col("title")).alias("title"),
         extract.location_from_text(everything, F.col("body")).alias("location"),
-        F.substring("body", 1, 1000).alias("description"), F.col("href").alias("url"), F.lit("Career Sites").alias("source"),
+        F.col("body").alias("description"), F.col("href").alias("url"), F.lit("Career Sites").alias("source"),
         F.lit("ddgs").alias("backend"), F.lit("snippet").alias("data_quality"),
     )
     df = df.filter((F.col("title") != "") & ~gates.is_search_page(F.col("title"), F.col("url")))
@@ -86,7 +88,7 @@ def web_semantic(
     return df.select(
         *by, order, "title",
         F.coalesce(filled(urls.company_from_host(u)), filled(strip(text(F.col("author")))), extract.company_from_text(u, s, t)).alias("company"),
-        extract.location_from_text(F.concat_ws(" ", t, u, s), s).alias("location"), F.substring(s, 1, 1000).alias("description"),
+        extract.location_from_text(F.concat_ws(" ", t, u, s), s).alias("location"), s.alias("description"),
         "url", F.lit("Web Search").alias("source"), F.substring(text(F.col("publishedDate")), 1, 10).alias("listed"),
         F.col("score").cast("double").alias("score"), F.lit("exa").alias("backend"), F.lit("partial").alias("data_quality"),
     )
@@ -108,7 +110,7 @@ def portal(hits: DataFrame, asked_location: Column, by: list[str], order: str =
     return df.select(
         *by, order, first_filled(F.col("_title"), t).alias("title"),
         extract.portal_company(u, b, t, F.col("_title")).alias("company"), extract.portal_location(b, asked_location).alias("location"),
-        F.substring(b, 1, 1000).alias("description"), u.alias("url"), F.lit("Naukri").alias("source"),
+        b.alias("description"), u.alias("url"), F.lit("Naukri").alias("source"),
         F.lit("ddgs").alias("backend"), F.lit("snippet").alias("data_quality"),
     )
 
@@ -123,6 +125,6 @@ def site_restricted(hits: DataFrame, asked_location: Column, by: list[str], orde
     place = F.when(n >= 3, F.array_join(F.slice(parts, F.lit(3), F.greatest(n, F.lit(1))), " - ")).when(n == 2, F.get(parts, F.lit(1)))
     return df.select(
         *by, order, F.get(parts, F.lit(0)).alias("title"), extract.site_company(b, parts).alias("company"),
-        first_filled(place, asked_location, F.lit("India")).alias("location"), F.substring(b, 1, 1000).alias("description"),
+        first_filled(place, asked_location, F.lit("India")).alias("location"), b.alias("description"),
         F.col("href").alias("url"), F.lit("Indeed").alias("source"), F.lit("ddgs").alias("backend"), F.lit("snippet").alias("data_quality"),
     )
