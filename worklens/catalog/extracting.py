@@ -287,7 +287,7 @@ def _sql_page() -> str:
         CASE WHEN k % 9 <> 8 THEN CASE WHEN contains(slug, 'fresher') THEN 'Fresher' ELSE {sql_list(["8-13 Years", "Fresher", "4 Years", ""])}[(k % 4 + 1)::INT] END END AS experience,
         CASE WHEN k % 9 <> 8 THEN 'Python, Django, AWS' END AS keyskills,
         CASE WHEN k % 9 <> 8 THEN {sql_list(["2 days ago", "Jan 5, 2024", "today", ""])}[(k % 4 + 1)::INT] END AS listed,
-        CASE WHEN k % 9 <> 8 THEN substr(body, 1, 3000) END AS description,
+        CASE WHEN k % 9 <> 8 THEN body END AS description,
         CASE WHEN k % 9 <> 8 THEN 'https://www.naukri.com/job-listings-' || slug || '-' || (k + 100000) || '?src=apply' END AS apply_url FROM p"""
 
 
@@ -381,7 +381,7 @@ def scorer_verdicts(spark, sf_dir):
       '- Headline: ' || p_headline || chr(10) || '- Skills: ' || COALESCE(nullif(array_to_string(p_skills, ', '), ''), 'None specified') || chr(10) ||
       '- Experience: ' || COALESCE(nullif(p_experience, ''), 'Not specified') || ' years' || chr(10) || '- Summary: ' || chr(10) ||
       '- Preferred Location: ' || p_location || chr(10) || '- Title: ' || title || chr(10) || '- Company: ' || company || chr(10) ||
-      '- Location: ' || location || chr(10) || '- Salary: ' || salary || chr(10) || '- Description: ' || substr(description, 1, 1000) AS prompt_facts
+      '- Location: ' || location || chr(10) || '- Salary: ' || salary || chr(10) || '- Description: ' || description AS prompt_facts
       FROM postings JOIN profiles ON profile_id = posting_id"""),
 )
 def prompt_rows(spark, sf_dir):
@@ -429,10 +429,8 @@ repos AS (SELECT p_partkey % 40 AS profile_id, p_partkey // 40 AS repo_no, {sql_
         REPOS, "langs(language, skill) AS (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in fixed.LANGUAGE_SKILLS.items()) + ")",
         f"""named AS (SELECT profile_id, repo_no, 0 AS pos, skill FROM repos JOIN langs ON lower(repos.language) = langs.language
           UNION ALL SELECT profile_id, repo_no, i, topics[i] FROM repos, (SELECT unnest([1, 2]) AS i) WHERE list_contains({sql_list(fixed.TOPIC_SKILLS)}, topics[i])),
-        first_seen AS (SELECT profile_id, skill, min(repo_no * 10 + pos) AS place FROM named GROUP BY ALL),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY place) AS n FROM first_seen),
-        cut AS (SELECT *, max(CASE WHEN n = 8 THEN place // 10 END) OVER (PARTITION BY profile_id) AS last FROM numbered)""",
-        body="SELECT profile_id, string_agg(skill, ',' ORDER BY place) AS skills FROM cut WHERE last IS NULL OR place // 10 <= last GROUP BY profile_id",
+        first_seen AS (SELECT profile_id, skill, min(repo_no * 10 + pos) AS place FROM named GROUP BY ALL)""",
+        body="SELECT profile_id, string_agg(skill, ',' ORDER BY place) AS skills FROM first_seen GROUP BY profile_id",
     ),
 )
 def repository_skills(spark, sf_dir):
@@ -442,8 +440,7 @@ def repository_skills(spark, sf_dir):
 
 @query(
     "top_repositories",
-    with_(REPOS, body="""SELECT profile_id, repo_no, row_number() OVER (PARTITION BY profile_id ORDER BY stars DESC, repo_no) AS star_rank
-      FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY repo_no) AS n FROM repos) WHERE n <= 100 QUALIFY star_rank <= 20"""),
+    with_(REPOS, body="""SELECT profile_id, repo_no, row_number() OVER (PARTITION BY profile_id ORDER BY stars DESC, repo_no) AS star_rank FROM repos"""),
 )
 def top_repositories(spark, sf_dir):
     return profiles.top_repositories(repositories(spark, sf_dir)).select("profile_id", "repo_no", "star_rank")

@@ -208,8 +208,7 @@ def external_scores(spark, sf_dir):
 
 @query(
     "scorer_override",
-    with_(ALL_SCORED, f"""chosen AS (SELECT posting_id FROM (SELECT posting_id,
-        row_number() OVER (PARTITION BY posting_id % 4 ORDER BY score DESC, posting_id) AS r FROM scored WHERE {_ELIGIBLE}) WHERE r <= 30),
+    with_(ALL_SCORED, f"""chosen AS (SELECT posting_id FROM scored WHERE {_ELIGIBLE}),
       ext AS (SELECT doc_id AS posting_id, (quality * 40 + doc_id % 50)::DOUBLE AS external_score FROM labels JOIN chosen ON doc_id = posting_id),
       merged AS (SELECT s.posting_id, s.posting_id % 4 AS profile_id, COALESCE(e.external_score, s.score) AS score,
         e.external_score IS NOT NULL AS overridden FROM scored s LEFT JOIN ext e USING (posting_id))""",

@@ -507,7 +507,7 @@ def posting_pages(spark, sf_dir):
         CASE k % 3 WHEN 0 THEN 'INR ' || (k % 40) WHEN 1 THEN '' END AS salary,
         CASE k % 3 WHEN 0 THEN 'Python, AWS' WHEN 1 THEN 'Spark, SQL' ELSE CASE WHEN k % 9 <> 8 THEN 'Python, Django, AWS' END END AS keyskills,
         CASE k % 3 WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2024-01-07' END AS listed,
-        CASE WHEN k % 3 < 2 THEN trim(body) WHEN k % 9 <> 8 THEN substr(trim(body), 1, 3000) END AS description FROM p""",
+        CASE WHEN k % 3 < 2 THEN trim(body) WHEN k % 9 <> 8 THEN trim(body) END AS description FROM p""",
 )
 def posting_page_fields(spark, sf_dir):
     p = payloads.posting_page(posting_pages(spark, sf_dir))

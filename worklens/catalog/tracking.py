@@ -168,7 +168,7 @@ def status_changes(spark, sf_dir):
 @query(
     "saved_view",
     with_(SAVED, body=f"""SELECT url, title, company, source, salary_int, listed_epoch,
-      CASE WHEN salary <> '' THEN substr(salary, 1, 12) WHEN salary_int > 0 THEN salary_int || ' LPA' ELSE '' END AS salary_cell,
+      CASE WHEN salary <> '' THEN salary WHEN salary_int > 0 THEN salary_int || ' LPA' ELSE '' END AS salary_cell,
       CASE WHEN COALESCE(listed_epoch, 0) = 0 THEN '' WHEN floor(({AS_OF} - listed_epoch) / 86400.0) <= 0 THEN 'today'
         ELSE floor(({AS_OF} - listed_epoch) / 86400.0)::INT || 'd' END AS posted_cell
       FROM saved WHERE status <> 'dismissed'"""),
@@ -356,12 +356,12 @@ def backend_choice(spark, sf_dir):
 def run_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(
         F.floor(F.col("item_id") / 6).cast("bigint").alias("run_id"), (F.col("item_id") % 6 + 1).alias("query_no"),
-        F.substring_index("text", " ", 3).alias("query"), pick(["Pune", "", "Remote"], F.col("item_id")).alias("location"),
+        F.col("text").alias("query"), pick(["Pune", "", "Remote"], F.col("item_id")).alias("location"),
     )
 
 
 RUN_QUERIES = f"""
-run_queries AS (SELECT item_id // 6 AS run_id, item_id % 6 + 1 AS query_no, array_to_string(string_split(text, ' ')[1:3], ' ') AS query,
+run_queries AS (SELECT item_id // 6 AS run_id, item_id % 6 + 1 AS query_no, text AS query,
   {sql_pick(['Pune', '', 'Remote'], 'item_id')} AS location FROM benchmark)"""
 _SOURCES = ["LinkedIn", "Indeed", "Naukri", "RemoteOK", "Web Search", "Career Sites"]
 
@@ -370,16 +370,16 @@ _SOURCES = ["LinkedIn", "Indeed", "Naukri", "RemoteOK", "Web Search", "Career Si
     "query_plan",
     with_(RUN_QUERIES, f"s(source) AS (SELECT unnest({sql_list(_SOURCES)}))",
         body="""SELECT run_id, query_no, query, location, source, source = 'Indeed' AND query_no = 1 AS recover_titles
-          FROM run_queries, s WHERE query_no <= CASE source WHEN 'Career Sites' THEN 2 WHEN 'Web Search' THEN 3 WHEN 'Naukri' THEN 3 ELSE 999 END"""),
+          FROM run_queries, s"""),
 )
 def query_plan(spark, sf_dir):
-    return runs.query_plan(run_queries(spark, sf_dir), _SOURCES, semantic=False)
+    return runs.query_plan(run_queries(spark, sf_dir), _SOURCES)
 
 
 @query(
     "site_query_plan",
     with_(RUN_QUERIES, "q AS (SELECT run_id, query_no, query || ' ' || location AS base FROM run_queries)",
-        "hosts AS (SELECT array_agg(d ORDER BY d) AS ds FROM (SELECT DISTINCT 'careers.' || lower(replace(s_name, '#', '-')) || '.com' AS d FROM supplier ORDER BY d LIMIT 3))",
+        "hosts AS (SELECT array_agg(d ORDER BY d) AS ds FROM (SELECT DISTINCT 'careers.' || lower(replace(s_name, '#', '-')) || '.com' AS d FROM supplier ORDER BY d))",
         f"""web AS (SELECT run_id, query_no, 'web' AS plan, unnest(list_transform({sql_list(fixed.POSTING_HOSTS)},
             lambda h: 'site:' || h || ' ' || base) || [base || ' career']) AS site_query FROM q),
           boards AS (SELECT run_id, query_no, 'boards' AS plan, unnest(list_transform({sql_list(fixed.BOARD_HOSTS)} || ds,

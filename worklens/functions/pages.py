@@ -9,8 +9,6 @@ from . import fixed, urls
 from .base import capture, found, let, replace, strip, text, title_case, within
 from .extract import clean_portal_title, title_from_slug
 
-MAX_DESCRIPTION = 3000
-
 
 def plain(line: Column) -> Column:
     """Line without heading marks and emphasis."""
@@ -112,9 +110,9 @@ def location(lines: Column, url: Column) -> Column:
     return F.coalesce(F.get(places, F.lit(0)), urls.locations_from_slug(url))
 
 
-def _first_index(lines: Column, pattern: str, limit: int) -> Column:
-    """1-based place of the first heading line among the first ``limit``, NULL when none."""
-    flags = F.transform(F.slice(lines, 1, limit), lambda s: found(plain(s), pattern))
+def _first_index(lines: Column, pattern: str) -> Column:
+    """1-based place of the first heading line, NULL when none."""
+    flags = F.transform(lines, lambda s: found(plain(s), pattern))
     return F.nullif(F.array_position(flags, F.lit(True)).cast("int"), F.lit(0))
 
 
@@ -130,15 +128,15 @@ def _section(lines: Column, start: Column, stops) -> Column:
 
 
 def description(lines: Column) -> Column:
-    """Text between the description heading and the next heading, up to the length limit."""
-    return let(_first_index(lines, fixed.DESCRIPTION_HEADING, 400), lambda start: _description_at(lines, start))
+    """Text between the description heading and the next heading, whole."""
+    return let(_first_index(lines, fixed.DESCRIPTION_HEADING), lambda start: _description_at(lines, start))
 
 
 def _description_at(lines: Column, start: Column) -> Column:
     body = _section(lines, start, lambda s: found(plain(s), fixed.STOP_HEADING))
     kept = F.filter(body, lambda s: ~F.startswith(s, F.lit("![")))
     flat = replace(strip(F.array_join(kept, " ")), r"\s+", " ", False)
-    return F.when(start.isNull(), "").otherwise(F.substring(flat, 1, MAX_DESCRIPTION))
+    return F.when(start.isNull(), "").otherwise(flat)
 
 
 def salary(top: Column) -> Column:
@@ -175,7 +173,7 @@ def experience(top: Column) -> Column:
 
 
 def key_skills(lines: Column) -> Column:
-    return let(_first_index(lines, fixed.SKILLS_HEADING, 300), lambda start: _key_skills_at(lines, start))
+    return let(_first_index(lines, fixed.SKILLS_HEADING), lambda start: _key_skills_at(lines, start))
 
 
 def _key_skills_at(lines: Column, start: Column) -> Column:
@@ -183,8 +181,8 @@ def _key_skills_at(lines: Column, start: Column) -> Column:
         lines, start, lambda s: found(plain(s), fixed.SKILLS_STOP) | F.startswith(s, F.lit("["))
     )
     kept = F.filter(body, lambda s: ~s.rlike(r"^(\*|-|!\[)"))
-    names = F.slice(F.filter(F.transform(kept, plain), lambda s: s != ""), 1, 31)
-    return F.when(start.isNull(), "").otherwise(F.substring(F.array_join(names, ", "), 1, 500))
+    names = F.filter(F.transform(kept, plain), lambda s: s != "")
+    return F.when(start.isNull(), "").otherwise(F.array_join(names, ", "))
 
 
 def listed(top: Column) -> Column:

@@ -10,10 +10,10 @@ from ..functions.base import capture, filled, lookup, split, strip, text, within
 from .rank import first_n
 
 
-def repository_skills(repos: DataFrame, enough: int = 8) -> DataFrame:
+def repository_skills(repos: DataFrame, enough: int | None = None) -> DataFrame:
     """Skills per profile: language first, then listed topics, repository by repository.
 
-    Reading stops after the repository that brings the count to ``enough``.
+    With ``enough``, reading stops after the repository that brings the count to it.
     Each distinct skill is reduced to its first place by partial aggregation;
     what is left per profile is bounded by the fixed skill tables.
     ``repos`` holds profile_id, repo_no, language, topics.
@@ -24,8 +24,10 @@ def repository_skills(repos: DataFrame, enough: int = 8) -> DataFrame:
     flat = repos.select("profile_id", "repo_no", F.posexplode(named).alias("at", "skill"))
     first = flat.groupBy("profile_id", "skill").agg(F.min(F.struct("repo_no", "at")).alias("place"))
     lists = first.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("place", "skill"))).alias("found"))
-    last = F.get(F.col("found"), F.lit(enough - 1))["place"]["repo_no"]
-    kept = F.filter("found", lambda x: last.isNull() | (x["place"]["repo_no"] <= last))
+    kept = F.col("found")
+    if enough is not None:
+        last = F.get(F.col("found"), F.lit(enough - 1))["place"]["repo_no"]
+        kept = F.filter("found", lambda x: last.isNull() | (x["place"]["repo_no"] <= last))
     return lists.select("profile_id", F.transform(kept, lambda x: x["skill"]).alias("suggested"))
 
 
@@ -35,10 +37,10 @@ def add_skills(skills: Column, more: Column) -> Column:
     return F.concat(skills, F.filter(more, lambda s: ~F.array_contains(have, s)))
 
 
-def top_repositories(repos: DataFrame, newest: int = 100, most: int = 20) -> DataFrame:
-    """The ``most`` starred among the ``newest`` repositories of each profile."""
-    recent = first_n(repos, newest, ["profile_id"], [F.asc("repo_no")], "_n").drop("_n")
-    return first_n(recent, most, ["profile_id"], [F.desc("stars"), F.asc("repo_no")], "star_rank")
+def top_repositories(repos: DataFrame, newest: int | None = None, most: int | None = None) -> DataFrame:
+    """Repositories of each profile by stars, with ``star_rank``; ``newest`` and ``most`` limit them to the newest and to the best."""
+    recent = repos if newest is None else first_n(repos, newest, ["profile_id"], [F.asc("repo_no")], "_n").drop("_n")
+    return first_n(recent, 2**31 - 1 if most is None else most, ["profile_id"], [F.desc("stars"), F.asc("repo_no")], "star_rank")
 
 
 def profile_from_hit(title: Column, snippet: Column, handle: Column) -> Column:

@@ -84,15 +84,13 @@ def first_backend(batches: DataFrame, preference: list[str], override: str | Non
     return usable.join(best, ["source", "query", "_place"], "left_semi").drop("_place")
 
 
-def query_plan(queries: DataFrame, sources: list[str], caps: dict[str, int] | None = None, semantic: bool = True) -> DataFrame:
-    """(query, source) tasks: every source runs its first ``cap`` queries of a run.
+def query_plan(queries: DataFrame, sources: list[str], caps: dict[str, int] | None = None) -> DataFrame:
+    """(query, source) tasks: every source runs all queries of a run, or its first ones by ``caps`` (such as ``fixed.QUERY_CAPS``).
 
     ``queries`` holds run_id, query_no (from 1), query. Sources are a handful of
     constants, so they are exploded in place and nothing is joined.
     """
-    limits = dict(fixed.QUERY_CAPS if caps is None else caps)
-    if not semantic and limits.get("Web Search", 0) > fixed.KEYWORD_WEB_CAP:
-        limits["Web Search"] = fixed.KEYWORD_WEB_CAP
+    limits = caps or {}
     tasks = F.array(
         *[F.struct(F.lit(s).alias("source"), F.lit(limits.get(s, 2**31 - 1)).alias("cap")) for s in sources]
     )
@@ -108,15 +106,19 @@ def web_site_queries(queries: DataFrame) -> DataFrame:
     return queries.select("*", F.posexplode(F.array(*sites)).alias("site_no", "site_query"))
 
 
-def board_site_queries(queries: DataFrame, domains: DataFrame, most: int = 8) -> DataFrame:
-    """Five board hosts, then the career domains in order, ``most`` in all per query.
+def board_site_queries(queries: DataFrame, domains: DataFrame, most: int | None = None) -> DataFrame:
+    """Five board hosts, then the career domains in order, ``most`` in all (by default every one) per query.
 
-    At most ``most`` names are fetched, by a sort-and-limit over the dimension.
+    Each query is asked of each host, so the hosts travel in shares: a share of them meets every query by its number.
     """
-    room = max(0, most - len(fixed.BOARD_HOSTS))
-    rows = domains.select("domain").distinct().orderBy("domain").limit(room).collect() if room else []
-    hosts = (fixed.BOARD_HOSTS + [r["domain"] for r in rows])[:most]
+    career = domains.select("domain").distinct()
+    career = career if most is None else career.orderBy("domain").limit(max(0, most - len(fixed.BOARD_HOSTS)))
+    boards = fixed.BOARD_HOSTS if most is None else fixed.BOARD_HOSTS[:most]
+    shares = 16
+    hosts = career.select(F.col("domain").alias("host"), F.pmod(F.xxhash64("domain"), F.lit(shares)).cast("int").alias("_share"))
     base = F.concat_ws(" ", F.col("query"), F.col("location"))
-    return queries.select(
-        "*", F.posexplode(F.array(*[F.concat(F.lit(f"site:{h} "), base) for h in hosts])).alias("site_no", "site_query")
-    )
+    asked = queries.withColumn("_base", base)
+    fixed_part = asked.withColumn("host", F.explode(F.array(*[F.lit(h) for h in boards]).cast("array<string>")))
+    spread = asked.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).join(hosts, "_share").drop("_share")
+    both = fixed_part.unionByName(spread)
+    return both.withColumn("site_query", F.concat(F.lit("site:"), "host", F.lit(" "), "_base")).drop("_base", "host")

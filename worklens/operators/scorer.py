@@ -62,7 +62,7 @@ def parse_score(answer: Column) -> Column:
     def read(v: Column) -> Column:
         numeric = _kind(v, "$.score").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
         value = F.least(F.lit(100.0), F.greatest(F.lit(0.0), _get(v, "$.score", "double")))
-        reasons = F.slice(F.coalesce(_texts(v, "$.reasons"), F.array().cast("array<string>")), 1, 8)
+        reasons = F.coalesce(_texts(v, "$.reasons"), F.array().cast("array<string>"))
         return F.when(_is_object(v) & numeric, F.struct(tenths(value).alias("score"), reasons.alias("reasons")))
 
     return let(tolerant_json(answer), read)
@@ -82,12 +82,12 @@ def parse_verdict(answer: Column) -> Column:
     return let(tolerant_json(answer), read)
 
 
-def parse_list(answer: Column, key: str, most: int = 5) -> Column:
-    """Trimmed non-empty text items under ``key``, NULL when there is no such list."""
+def parse_list(answer: Column, key: str, most: int | None = None) -> Column:
+    """Trimmed non-empty text items under ``key`` (the first ``most``), NULL when there is no such list."""
 
     def read(v: Column) -> Column:
         items = F.filter(F.transform(_texts(v, f"$.{key}"), strip), lambda s: s != "")
-        return F.when(_is_object(v) & (F.size(_get(v, f"$.{key}", "array<variant>")) > 0), F.slice(items, 1, most))
+        return F.when(_is_object(v) & (F.size(_get(v, f"$.{key}", "array<variant>")) > 0), items if most is None else F.slice(items, 1, most))
 
     return let(tolerant_json(answer), read)
 
@@ -109,21 +109,18 @@ def parse_profile(answer: Column) -> Column:
 
 
 def prompt_rows(df: DataFrame) -> DataFrame:
-    """Add ``prompt_facts``: the profile and posting values a scorer is asked about.
-
-    Summary and description are cut to the lengths the question allows for.
-    """
+    """Add ``prompt_facts``: the profile and posting values a scorer is asked about, whole."""
     title = F.coalesce(filled(F.col("p_title")), F.col("p_headline"), F.lit(""))
     lines = [
         ("Current Title", title),
         ("Headline", F.coalesce(filled(F.col("p_headline")), title)),
         ("Skills", F.coalesce(filled(F.array_join("p_skills", ", ")), F.lit("None specified"))),
         ("Experience", F.concat(F.coalesce(filled(F.col("p_experience")), F.lit("Not specified")), F.lit(" years"))),
-        ("Summary", F.substring(text(F.col("p_summary")), 1, 500)),
+        ("Summary", text(F.col("p_summary"))),
         ("Preferred Location", text(F.col("p_location"))),
         ("Title", F.col("title")), ("Company", F.col("company")), ("Location", F.col("location")),
         ("Salary", text(F.col("salary"))),
-        ("Description", F.substring(text(F.col("description")), 1, 1000)),
+        ("Description", text(F.col("description"))),
     ]
     return df.withColumn(
         "prompt_facts", F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), value) for name, value in lines])

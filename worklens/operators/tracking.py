@@ -24,21 +24,22 @@ SAVED_COLUMNS = [
 
 
 def with_seen(postings: DataFrame, seen: DataFrame) -> DataFrame:
-    """Add ``is_seen``. Rows without a url are always new and never enter the shuffle."""
-    key = strip(text(F.col("url")))
+    """Add ``is_seen``. Rows without a url are always new."""
     known = seen.select(F.col("url").alias("_url"), F.lit(True).alias("_known"))
-    keyed = postings.withColumn("_url", key)
-    bare = keyed.filter(F.col("_url") == "").withColumn("is_seen", F.lit(False))
-    rest = keyed.filter(F.col("_url") != "").join(known, "_url", "left")
-    rest = rest.withColumn("is_seen", F.coalesce(F.col("_known"), F.lit(False))).drop("_known")
-    return rest.unionByName(bare).drop("_url")
+    joined = postings.withColumn("_url", _spread(postings, strip(text(F.col("url"))))).join(known, "_url", "left")
+    return joined.withColumn("is_seen", F.coalesce("_known", F.lit(False))).drop("_known", "_url")
+
+
+def _spread(df: DataFrame, key: Column) -> Column:
+    """``key``, or where it is empty a value that meets no other row and spreads over all tasks."""
+    plain = [c for c, kind in df.dtypes if kind in ("string", "bigint", "int")]
+    return F.when(key != "", key).otherwise(F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string")))
 
 
 def sightings(batch: DataFrame, order: str = "posting_id") -> DataFrame:
     """One row per url of a batch: first and last time, number of rows, texts of the first row."""
     first = F.struct(
-        F.substring("title", 1, 500).alias("title"), F.substring("company", 1, 200).alias("company"),
-        F.substring("source", 1, 100).alias("source"),
+        "title", "company", "source"
     )
     keyed = batch.withColumn("url", strip(text(F.col("url")))).filter(F.col("url") != "")
     out = keyed.groupBy("url").agg(
@@ -109,16 +110,15 @@ def saved_view(saved: DataFrame) -> DataFrame:
 
 def with_saved(postings: DataFrame, saved: DataFrame) -> DataFrame:
     """Add ``is_saved``: the url is in the saved table and not dismissed."""
-    live = saved.filter(F.col("status") != "dismissed").select("url", F.lit(True).alias("_saved"))
-    return postings.join(live, "url", "left").withColumn(
-        "is_saved", F.coalesce("_saved", F.lit(False)) & (F.col("url") != "")
-    ).drop("_saved")
+    live = saved.filter(F.col("status") != "dismissed").select(F.col("url").alias("_url"), F.lit(True).alias("_saved"))
+    joined = postings.withColumn("_url", _spread(postings, text(F.col("url")))).join(live, "_url", "left")
+    return joined.withColumn("is_saved", F.coalesce("_saved", F.lit(False))).drop("_saved", "_url")
 
 
 def salary_cell(salary: Column, salary_int: Column) -> Column:
     shown = filled(strip(text(salary)))
     return F.coalesce(
-        F.substring(shown, 1, 12),
+        shown,
         F.when(salary_int > 0, F.concat(salary_int.cast("string"), F.lit(" LPA"))),
         F.lit(""),
     )
