@@ -64,8 +64,8 @@ def test_stream_equals_batch(spark, tmp_path):
     new = spark.read.parquet(str(tmp_path / "out" / "new"))
     got = {(r["posting_id"], r["score"]) for r in new.collect()}
     assert got <= want and len(want) > 0
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "seen").iterdir() if "=" in p.name)
-    seen = spark.read.parquet(str(tmp_path / "out" / "seen" / f"version={last}"))
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "current").iterdir() if "=" in p.name)
+    seen = streams.seen_now(spark, str(tmp_path / "out"), last)
     urls = {r["url"] for r in seen.collect()}
     assert urls == {r["url"] for r in search.scored(batch, CANDIDATE, OPTIONS, now()).select("url").collect() if r["url"].strip()}
     assert {r["url"] for r in new.collect()} == urls

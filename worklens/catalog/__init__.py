@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["normalizing", "filtering", "ranking", "tracking", "extracting", "deduplication", "sourcing", "matching"]
+FAMILIES = ["normalizing", "filtering", "ranking", "tracking", "extracting", "deduplication", "sourcing", "matching", "streams"]
 
 
 def load():

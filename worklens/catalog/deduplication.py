@@ -76,9 +76,45 @@ def name_similarity(spark, sf_dir):
     )
 
 
-@query("fuzzy_dedup")
+_LCS_RATIO = """
+    steps(a, b, i, dp) AS (
+      SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda j: 0) FROM todo
+      UNION ALL
+      SELECT a, b, i + 1, [0] || list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+        lambda k: GREATEST(dp[k + 1], CASE WHEN substr(b, k, 1) = substr(a, i + 1, 1) THEN dp[k] + 1 ELSE 0 END))))
+      FROM steps WHERE i < length(a)),
+    lcs AS (SELECT a, b, dp[-1] AS n FROM steps WHERE i = length(a))"""
+
+
+@query(
+    "fuzzy_dedup",
+    f"""WITH RECURSIVE {POSTINGS.strip()},
+    keyed AS (SELECT posting_id, title, company, array_to_string(list_sort(string_split({_KEY.format(x='title')}, ' ')), ' ') AS t,
+        array_to_string(list_sort(string_split({_KEY.format(x='company')}, ' ')), ' ') AS c FROM postings),
+    nodes AS (SELECT t, c, min(posting_id) AS id FROM keyed GROUP BY ALL),
+    ts AS (SELECT DISTINCT t FROM nodes), cs AS (SELECT DISTINCT c FROM nodes),
+    cut AS (SELECT x.c AS c1, y.c AS c2, list_distinct(string_split(x.c, ' ')) AS p, list_distinct(string_split(y.c, ' ')) AS q FROM cs x, cs y),
+    sets AS (SELECT c1, c2, array_to_string(list_sort(list_filter(p, lambda w: list_contains(q, w))), ' ') AS common,
+        array_to_string(list_sort(list_filter(p, lambda w: NOT list_contains(q, w))), ' ') AS r1,
+        array_to_string(list_sort(list_filter(q, lambda w: NOT list_contains(p, w))), ' ') AS r2 FROM cut),
+    todo AS (SELECT x.t AS a, y.t AS b FROM ts x, ts y UNION SELECT r1, r2 FROM sets), {_LCS_RATIO.strip()},
+    titles AS (SELECT x.t AS t1, y.t AS t2 FROM ts x, ts y JOIN lcs ON lcs.a = x.t AND lcs.b = y.t
+      WHERE length(x.t) + length(y.t) = 0 OR 200.0 * n / (length(x.t) + length(y.t)) >= 82),
+    measured AS (SELECT s.*, l.n, length(common) + CASE WHEN common <> '' THEN 1 ELSE 0 END AS base FROM sets s JOIN lcs l ON l.a = r1 AND l.b = r2),
+    names AS (SELECT c1, c2 FROM measured WHERE CASE WHEN c1 = '' AND c2 = '' THEN 100.0 WHEN c1 = '' OR c2 = '' THEN 0.0
+        WHEN common <> '' AND (r1 = '' OR r2 = '') THEN 100.0
+        ELSE GREATEST(100.0 - 100.0 * (length(r1) + length(r2) - 2 * n) / (2 * base + length(r1) + length(r2)),
+          CASE WHEN common <> '' THEN 100.0 - 100.0 * (1 + length(r1)) / (length(common) + base + length(r1)) ELSE 0 END,
+          CASE WHEN common <> '' THEN 100.0 - 100.0 * (1 + length(r2)) / (length(common) + base + length(r2)) ELSE 0 END) END >= 88),
+    before AS (SELECT late.id, list(early.id) AS ids FROM nodes late JOIN titles ON t1 = late.t JOIN names ON c1 = late.c
+      JOIN nodes early ON early.t = t2 AND early.c = c2 AND early.id < late.id GROUP BY late.id),
+    ordered AS (SELECT row_number() OVER (ORDER BY id) AS i, id, COALESCE(ids, []) AS ids FROM nodes LEFT JOIN before USING (id)),
+    greedy(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+      SELECT o.i, CASE WHEN list_has_any(g.kept, o.ids) THEN g.kept ELSE list_append(g.kept, o.id) END FROM greedy g JOIN ordered o ON o.i = g.i + 1)
+    SELECT posting_id, title, company FROM postings WHERE list_contains((SELECT arg_max(kept, i) FROM greedy), posting_id)""",
+)
 def fuzzy_dedup(spark, sf_dir):
-    """Survivors over all postings; checked against brute force in the tests."""
+    """Survivors over all postings."""
     return dedup.fuzzy(shapes.postings(spark, sf_dir)).select("posting_id", "title", "company")
 
 

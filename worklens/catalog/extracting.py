@@ -391,7 +391,12 @@ def prompt_rows(spark, sf_dir):
     return scorer.prompt_rows(pairs).select("profile_id", "posting_id", "prompt_facts")
 
 
-@query("plugged_scorer")
+@query(
+    "plugged_scorer",
+    with_(POSTINGS, PROFILES, body="""SELECT profile_id, posting_id, least(10 * (length(s) - length(replace(s, 'Engineer', ''))) / 8, 100)::DOUBLE AS score
+      FROM (SELECT *, COALESCE(nullif(p_title, ''), p_headline) || ' ' || p_headline || ' ' || array_to_string(p_skills, ' ') || ' ' || p_location || ' ' || title || ' '
+        || company || ' ' || location || ' ' || salary || ' ' || description AS s FROM postings JOIN profiles ON profile_id = posting_id)"""),
+)
 def plugged_scorer(spark, sf_dir):
     """A user scorer over Arrow batches: here the share of engineering words in the prompt."""
 

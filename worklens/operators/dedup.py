@@ -21,10 +21,9 @@ of connected rows would be wrong. The plan:
    spread over many tasks and no pair is lost. A pair is looked at under its
    smallest shared key only, behind a length test; the ratio runs on Arrow
    batches.
-6. Rounds: an undecided row that is the first of its whole neighbourhood stays,
-   its neighbours go. The first of a neighbourhood is a minimum taken over
-   similar titles, then over similar companies: two joins with a partial
-   minimum each. Every round ends in a checkpoint.
+6. Similar nodes become a narrow edge list. Rounds over it: a node that nothing
+   undecided stands before stays, its neighbours go; settled nodes and their
+   edges leave the list, until it is empty. Every round ends in a checkpoint.
 """
 
 from __future__ import annotations
@@ -40,14 +39,13 @@ from ..functions.words import match_key
 from ..session import checkpoint, small
 
 BLOCK = 2000
-MAX_ROUNDS = 1000
 
 
 def first_by(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """First row per key. The row itself is the aggregate, reduced per task before the shuffle."""
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    grouped = df.select(F.struct(*df.columns).alias("_row"), *named).groupBy(*[f"_k{i}" for i in range(len(keys))])
-    return grouped.agg(F.min_by("_row", F.col(f"_row.{order}")).alias("_row")).select("_row.*")
+    """Row of the smallest ``order`` per key. Only a key's hash and number are aggregated; the rows follow by both."""
+    keyed = df.withColumn("_key", F.xxhash64(*keys))
+    first = keyed.groupBy("_key").agg(F.min(order).alias(order))
+    return keyed.join(first, ["_key", order], "left_semi").select(*df.columns)
 
 
 def exact_url(df: DataFrame, order: str = "posting_id") -> DataFrame:
@@ -152,8 +150,11 @@ def _word_bigrams(c: Column) -> Column:
     )
 
 
-def _by_words(names: DataFrame) -> DataFrame:
-    """Pairs where one name's rarest words, just over 3/14 of its length, meet any word of the other."""
+def _by_words(names: DataFrame, block: int) -> DataFrame:
+    """Pairs where one name's rarest words, just over 3/14 of its length, meet any word of the other.
+
+    A word of more than ``block`` names is split: its holders are dealt into chunks, and each probe visits all of them.
+    """
     flat = names.select("s", F.explode(F.array_distinct(F.split("s", " "))).alias("w"))
     rarity = flat.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     own = flat.join(rarity, "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
@@ -163,7 +164,10 @@ def _by_words(names: DataFrame) -> DataFrame:
     )
     probe = F.filter("ws", lambda x, i: (i == 0) | (passed(i) <= F.length("s") * 3.0 / 14.0))
     probes = own.select(F.col("s").alias("a"), F.explode(F.transform(probe, lambda x: x["w"])).alias("w"))
-    met = probes.join(flat.select(F.col("s").alias("b"), "w"), "w").filter(F.col("a") != F.col("b"))
+    chunks = rarity.select("w", F.ceil(F.col("n") / block).cast("int").alias("of"))
+    holders = flat.join(chunks, "w").select(F.col("s").alias("b"), "w", F.pmod(F.xxhash64("s"), F.col("of")).cast("int").alias("chunk"))
+    probes = probes.join(chunks, "w").select("a", "w", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("chunk"))
+    met = probes.join(holders, ["w", "chunk"]).filter(F.col("a") != F.col("b"))
     return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
 
 
@@ -181,27 +185,35 @@ def similar_names(names: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity.company_ratio(x, y) >= threshold for x, y in zip(a, b)], dtype="bool")
 
-    met = _meeting(keyed, threshold, block).unionByName(_by_words(real)).distinct()
+    met = _meeting(keyed, threshold, block).unionByName(_by_words(real, block)).distinct()
     return _both_ways(checkpoint(met.filter(similar("x", "y"))), own)
 
 
-def greedy_kept(nodes: DataFrame, scope: list[str], titles: DataFrame, companies: DataFrame) -> DataFrame:
-    """Ids the greedy rule keeps; ``titles`` and ``companies`` are the symmetric similar pairs."""
+def similar_nodes(nodes: DataFrame, scope: list[str], titles: DataFrame, companies: DataFrame) -> DataFrame:
+    """Edges (early, late) between nodes of a scope with similar titles and similar companies, early < late."""
     by_title = titles.select(F.col("s").alias("t"), F.col("s2").alias("t2"))
     by_company = companies.select(F.col("s").alias("c"), F.col("s2").alias("c2"))
-    left, kept = nodes, None
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            return kept if kept is not None else nodes.select("id")
-        first = left.join(by_title, "t").groupBy(*scope, "t2", "c").agg(F.min("id").alias("m"))
-        first = first.join(by_company, "c").groupBy(*scope, "t2", "c2").agg(F.min("m").alias("m"))
-        first = first.select(*scope, F.col("t2").alias("t"), F.col("c2").alias("c"), F.col("m").alias("id"))
-        stay = checkpoint(left.join(first, [*scope, "t", "c", "id"], "left_semi"))
-        kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
-        near = stay.join(by_title, "t").select(*scope, "t2", "c").distinct()
-        near = near.join(by_company, "c").select(*scope, F.col("t2").alias("t"), F.col("c2").alias("c")).distinct()
-        left = checkpoint(left.join(near, [*scope, "t", "c"], "left_anti"))
-    raise RuntimeError(f"duplicate resolution did not settle in {MAX_ROUNDS} rounds")
+    there = nodes.select(*scope, F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("id").alias("early"))
+    # Neighbours are spelled out only as far as strings of real nodes go.
+    reach = nodes.join(by_title, "t").join(nodes.select(*scope, F.col("t").alias("t2")).distinct(), [*scope, "t2"], "left_semi")
+    return reach.join(by_company, "c").join(there, [*scope, "t2", "c2"]).filter("early < id").select("early", F.col("id").alias("late"))
+
+
+def greedy_removed(edges: DataFrame) -> DataFrame | None:
+    """Ids that the greedy rule removes, None without edges: a node goes when an earlier kept one is its neighbour.
+
+    A round settles the nodes that nothing undecided stands before: they stay, and
+    their neighbours go with all edges of theirs. Nodes without an edge never take part.
+    """
+    edges, gone = checkpoint(edges), None
+    while not edges.isEmpty():
+        held = edges.select(F.col("late").alias("early")).distinct()
+        free = edges.select("early").distinct().join(held, "early", "left_anti")
+        removed = checkpoint(edges.join(free, "early", "left_semi").select(F.col("late").alias("id")).distinct())
+        gone = removed if gone is None else gone.unionByName(removed)
+        late, early = removed.withColumnRenamed("id", "late"), removed.withColumnRenamed("id", "early")
+        edges = checkpoint(edges.join(late, "late", "left_anti").join(early, "early", "left_anti").join(free, "early", "left_anti"))
+    return gone
 
 
 def fuzzy(
@@ -218,8 +230,9 @@ def fuzzy(
     nodes = checkpoint(keys.groupBy(*scope, "t", "c").agg(F.min("id").alias("id")))
     titles = similar_titles(nodes.select(F.col("t").alias("s")).distinct(), title_at_least, block=block)
     companies = similar_names(nodes.select(F.col("c").alias("s")).distinct(), company_at_least, block)
-    kept = greedy_kept(nodes, scope, titles, companies)
-    return df.join(kept.withColumnRenamed("id", order), order, "left_semi")
+    removed = greedy_removed(similar_nodes(nodes, scope, titles, companies))
+    kept = nodes if removed is None else nodes.join(removed, "id", "left_anti")
+    return df.join(kept.select(F.col("id").alias(order)), order, "left_semi")
 
 
 def fuzzy_queries(df: DataFrame, scope: list[str], query: str = "query", order: str = "query_no") -> DataFrame:
@@ -229,5 +242,6 @@ def fuzzy_queries(df: DataFrame, scope: list[str], query: str = "query", order:
     nodes = checkpoint(keys.groupBy(*scope, "t", "c").agg(F.min("id").alias("id")))
     titles = similar_titles(nodes.select(F.col("t").alias("s")).distinct(), fixed.QUERY_SIMILARITY, strict=True)
     one = nodes.select(F.col("c").alias("s"), F.col("c").alias("s2")).distinct()
-    kept = greedy_kept(nodes, scope, titles, one).select("id.*")
+    removed = greedy_removed(similar_nodes(nodes, scope, titles, one))
+    kept = (nodes if removed is None else nodes.join(removed, "id", "left_anti")).select("id.*")
     return df.join(kept, [*scope, order], "left_semi")

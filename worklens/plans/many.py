@@ -85,24 +85,13 @@ def evidence(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     sure = likely.join(postings.select("posting_id", F.lower(body).alias("low")), "posting_id")
     sure = sure.filter(F.exists("forms", lambda v: F.contains(F.col("low"), v["plain"]) & F.rlike(F.col("low"), v["pattern"])))
     out = sure.select("posting_id", "feature")
-    if not odd.isEmpty():
-        # Skills of signs alone have no run to meet on; their few forms are tested as constants.
-        rows = odd.limit(1001).collect()
-        if len(rows) > 1000:
-            raise ValueError("more than 1000 skills without a letter or digit")
-        tests = F.array(
-            *[
-                F.when(
-                    F.exists(
-                        F.array(*[F.struct(F.lit(v["plain"]).alias("p"), F.lit(v["pattern"]).alias("r")) for v in r["forms"]]),
-                        lambda v: F.contains(F.lower(body), v["p"]) & F.rlike(F.lower(body), v["r"]),
-                    ),
-                    r["feature"],
-                )
-                for r in rows
-            ]
-        )
-        out = out.unionByName(postings.select("posting_id", F.explode(F.array_compact(tests)).alias("feature"))).distinct()
+    # Skills of signs alone have no run to meet on; they meet on their first character instead.
+    by_sign = odd.select(F.explode(F.array_distinct(F.transform("forms", lambda v: F.substring(v["plain"], 1, 1)))).alias("sign"), "feature", "forms")
+    signs = F.filter(F.array_distinct(F.split(F.lower(body), "")), lambda c: ~c.rlike("[a-z0-9]"))
+    met = postings.select("posting_id", F.explode(signs).alias("sign")).join(small(by_sign), "sign").dropDuplicates(["posting_id", "feature"])
+    met = met.join(postings.select("posting_id", F.lower(body).alias("low")), "posting_id")
+    met = met.filter(F.exists("forms", lambda v: F.contains(F.col("low"), v["plain"]) & F.rlike(F.col("low"), v["pattern"])))
+    out = out.unionByName(met.select("posting_id", "feature")).distinct()
     wanted = small(profiles.select(F.explode("p_title_tokens").alias("w")).distinct())
     titles = postings.select("posting_id", F.explode(_title_words()).alias("w")).join(wanted, "w", "left_semi")
     return out.unionByName(titles.select("posting_id", F.concat(F.lit("t:"), F.col("w")).alias("feature")))

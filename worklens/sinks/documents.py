@@ -33,17 +33,32 @@ def header(run: DataFrame, command: str = "search") -> DataFrame:
     fields = {
         "generated_at": "string", "query": "string", "location": "string", "days": "int", "ai_used": "boolean",
         "ai_budget_used": "bigint", "filter_summary": "string", "filter_note": "string", "found_count": "bigint",
-        "enriched_count": "bigint", "verdict_count": "bigint",
+        "enriched_count": "bigint", "verdict_count": "bigint", "source_counts": "map<string,bigint>",
+        "source_errors": "map<string,array<string>>", "filter_notes": "array<string>",
     }
     out = [F.lit(command).alias("command")]
     for name, kind in fields.items():
         c = F.col(name).cast(kind) if name in run.columns else F.lit(None).cast(kind)
-        blank = {"string": "", "boolean": False, "bigint": 0}.get(kind)
-        out.append((c if blank is None else F.coalesce(c, F.lit(blank))).alias(name))
+        blank = {"string": F.lit(""), "boolean": F.lit(False), "bigint": F.lit(0), "array<string>": F.array().cast("array<string>")}.get(kind)
+        blank = F.from_json(F.lit("{}"), kind) if kind.startswith("map") else blank
+        out.append((c if blank is None else F.coalesce(c, blank)).alias(name))
     extra = [c for c in run.columns if c not in fields]
     return run.select(*extra, *out)
 
 
+def with_sources(run: DataFrame, counts: DataFrame, errors: DataFrame) -> DataFrame:
+    """Add source_counts and source_errors to runs from (run_id, source, n_rows) and (run_id, source, error); sources of a run are few."""
+    n = counts.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n_rows")))).alias("source_counts"))
+    listed = errors.groupBy("run_id", "source").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+    bad = listed.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "errors")))).alias("source_errors"))
+    return run.join(n, "run_id", "left").join(bad, "run_id", "left")
+
+
+def new_jobs(flagged: DataFrame, columns: list[str]) -> DataFrame:
+    """The new postings of a watch run as ranked JSON lines; a document nests them as its jobs."""
+    return job_lines(flagged.filter(~F.col("is_seen")), columns)
+
+
 def watch_header(run: DataFrame, flagged: DataFrame, seen_after: DataFrame) -> DataFrame:
     """Header of a watch run: new and seen rows of the run, size of the seen table, urls marked."""
     counts = flagged.agg(F.count_if(~F.col("is_seen")).alias("new_count"), F.count_if("is_seen").alias("seen_count"))
@@ -68,6 +83,6 @@ def document(head: DataFrame, lines: DataFrame, n: int, key: str = "run_id") ->
 
 
 def write(lines: DataFrame, head: DataFrame, path: str) -> None:
-    """Write lines and header as JSON, partitioned by run."""
-    lines.write.mode("append").partitionBy("run_id").json(f"{path}/jobs")
-    head.write.mode("append").partitionBy("run_id").json(f"{path}/header")
+    """Write lines and header as JSON, partitioned by run; a run that is written again replaces its own files only."""
+    for rows, name in ((lines, "jobs"), (head, "header")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/{name}")

@@ -8,7 +8,7 @@ the batch number, so a batch that is run again overwrites its own output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,28 +44,50 @@ def seen_counts(sightings: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of the seen table; a batch touches those of its urls.
+BUCKETS = 64
+
+
+def seen_now(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The seen table of a watch folder after batch ``number``."""
+    versions = spark.read.parquet(f"{folder}/current/batch={number}").collect()
+    paths = [f"{folder}/seen/version={r.version}/bucket={r.bucket}" for r in versions]
+    return spark.read.schema(tracking.SEEN_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], tracking.SEEN_SCHEMA)
+
+
 def watch(
     postings: DataFrame, profile: Profile, options: FilterOptions, folder: str, checkpoint_at: str,
     as_of: Column | None = None, mark: bool = True, initial: DataFrame | None = None,
 ) -> StreamingQuery:
     """Emit only postings whose url was not seen before, then mark all ranked ones.
 
-    Batch n reads the seen snapshot of batch n-1 and writes its own, both named
-    by the batch number: running a batch again gives the same files.
+    The seen table lies in BUCKETS by hash of the url. A batch reads and writes
+    only the buckets of its own urls, under its number; ``current`` lists the last
+    number of each bucket. So the cost of a batch follows its urls, not the history,
+    and a batch that runs again writes the same files (with ``as_of`` given or taken
+    from a column of the rows, not from the clock).
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number == 0:
-            seen = spark.createDataFrame([], tracking.SEEN_SCHEMA) if initial is None else initial
-        else:
-            seen = spark.read.schema(tracking.SEEN_SCHEMA).parquet(f"{folder}/seen/version={number - 1}")
         time = now() if as_of is None else as_of
-        rows = checkpoint(search.scored(batch, profile, options, time).drop("description"))
-        fresh = tracking.with_seen(rows, seen).filter(~F.col("is_seen")).drop("is_seen")
+        rows = checkpoint(search.scored(batch, profile, options, time).withColumn("seen_at", time))
+        own = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(strip(text(F.col("url")))), F.lit(BUCKETS)).cast("int"))
+        versions = {r.bucket: r.version for r in spark.read.parquet(f"{folder}/current/batch={number - 1}").collect()} if number else {}
+        touched = {r.bucket for r in own(rows).select("bucket").distinct().collect()}  # at most BUCKETS numbers
+        if number == 0 and initial is not None:
+            seen, touched = initial, set(range(BUCKETS))
+        else:
+            paths = [f"{folder}/seen/version={versions[b]}/bucket={b}" for b in sorted(touched & versions.keys())]
+            seen = spark.read.schema(tracking.SEEN_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], tracking.SEEN_SCHEMA)
+        fresh = tracking.with_seen(rows, seen).filter(~F.col("is_seen")).drop("is_seen", "seen_at")
         fresh.write.mode("overwrite").parquet(f"{folder}/new/batch={number}")
-        after = tracking.upsert_seen(seen, rows.withColumn("seen_at", time)).drop("is_new") if mark else seen
-        after.write.mode("overwrite").parquet(f"{folder}/seen/version={number}")
+        if mark or number == 0:
+            after = tracking.upsert_seen(seen, rows).drop("is_new") if mark else seen
+            target = f"{folder}/seen/version={number}"
+            own(after).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            versions |= {r.bucket: number for r in spark.read.parquet(target).select("bucket").distinct().collect()} if not after.isEmpty() else {}
+        spark.createDataFrame(sorted(versions.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current/batch={number}")
 
     return postings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_at).trigger(availableNow=True).start()
 
@@ -104,6 +126,12 @@ def merge_breaker(before: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def last_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The state that the last batch of a breaker wrote."""
+    number = spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/version={number}")
+
+
 def breaker(source_runs: DataFrame, folder: str, checkpoint_at: str) -> StreamingQuery:
     """Keep the breaker state of a stream of runs; a source is open while its cooldown lies ahead."""
 
