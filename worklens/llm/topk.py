@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from worklens.session import checkpoint
 
 BLOCK = 256
+_LAST = (1 << 63) - 1
 #: Rows per shard and queries per slice; a task holds one of each.
 SHARD, SLICE = 4096, 1024
 
@@ -61,14 +62,14 @@ class Shard:
         self.low = np.stack([m.min(0) for _, m in self.blocks])
         self.largest = largest
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per query its best (ids, scores) here, at most ``k``, of those that reach ``kth``; rows of the query's own id are passed over."""
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query its best (ids, scores) here, at most ``k``, of those before (``kth``, ``kth_id``) by falling score and rising id; rows of the query's own id are passed over."""
         q = _exact(queries, self.largest)
         bounds = _exact(np.maximum(queries, 0), self.largest) @ _exact(self.high, self.largest).T + _exact(np.minimum(queries, 0), self.largest) @ _exact(self.low, self.largest).T
         bounds = bounds.astype(np.float64) if bounds.dtype != object else bounds
         order = np.argsort(-bounds, axis=1, kind="stable")
         best = [(np.zeros(0, np.int64), np.zeros(0, bounds.dtype))] * len(ids)
-        kth = kth.astype(bounds.dtype)
+        kth, kth_id = kth.astype(bounds.dtype), kth_id.copy()
         blocks = [_exact(m, self.largest) for _, m in self.blocks]
         for turn in range(len(self.blocks)):
             mine = order[:, turn]
@@ -80,13 +81,13 @@ class Shard:
                 scores = (q[some] @ blocks[b].T).astype(bounds.dtype)
                 there = self.blocks[b][0]
                 for i, row in zip(some, scores, strict=True):
-                    good = np.flatnonzero((row >= kth[i]) & (there != ids[i]))
+                    good = np.flatnonzero(((row > kth[i]) | (row == kth[i]) & (there <= kth_id[i])) & (there != ids[i]))
                     if len(good):
                         d, s = np.concatenate([best[i][0], there[good]]), np.concatenate([best[i][1], row[good]])
                         top = np.lexsort((d, -s))[:k]
                         best[i] = d[top], s[top]
-                        if len(top) == k:
-                            kth[i] = max(kth[i], s[top[-1]])
+                        if len(top) == k and (s[top[-1]] > kth[i] or d[top[-1]] < kth_id[i]):
+                            kth[i], kth_id[i] = s[top[-1]], d[top[-1]]
         return best
 
 
@@ -120,11 +121,12 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 ids, rows = opened(row["ids"], row["rows"])
                 asked = np.flatnonzero(ids % every == 0)
                 if len(asked):
-                    found = Shard(ids, rows, largest).search(ids[asked], rows[asked], k, np.full(len(asked), -np.inf))
-                    kth = [int(s[-1]) if len(s) == k else None for _, s in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked]), pa.array([r.tobytes() for r in rows[asked]], pa.binary()), pa.array(kth, pa.int64())], ["query_id", "query", "kth"])
+                    found = Shard(ids, rows, largest).search(ids[asked], rows[asked], k, np.full(len(asked), -np.inf), np.full(len(asked), _LAST))
+                    last = [(int(s[-1]), int(d[-1])) if len(s) == k else (None, _LAST) for d, s in found]
+                    kth, kth_id = pa.array([x for x, _ in last], pa.int64()), pa.array([x for _, x in last], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked]), pa.array([r.tobytes() for r in rows[asked]], pa.binary()), kth, kth_id], ["query_id", "query", "kth", "kth_id"])
 
-    queries = checkpoint(stored.mapInArrow(at_home, "query_id long, query binary, kth long"))
+    queries = checkpoint(stored.mapInArrow(at_home, "query_id long, query binary, kth long, kth_id long"))
     slices = max(1, -(-queries.count() // SLICE))
     places = sorted(r[0] for r in stored.select("place").collect())  # one number per SHARD rows
     # Every slice of the stated queries meets every shard: the queries go out once per shard, the shards once per slice.
@@ -138,7 +140,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             asking = np.asarray(some["query_id"], np.int64)
             vectors = np.stack([np.frombuffer(q, np.int64) for q in some["query"].to_pylist()])
             kth = np.array([-np.inf if x is None else x for x in some["kth"].to_pylist()])
-            for i, (d, s) in zip(asking, Shard(ids, rows, largest).search(asking, vectors, k, kth), strict=True):
+            for i, (d, s) in zip(asking, Shard(ids, rows, largest).search(asking, vectors, k, kth, np.asarray(some["kth_id"], np.int64)), strict=True):
                 out_q.append(np.full(len(d), i))
                 out_v.append(d)
                 out_s.append(s)
