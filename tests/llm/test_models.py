@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_rows
 from worklens.llm import edit_counts, lm, quality, tokens, toxicity
-from worklens.llm.attention import CLASS, Pairs, Scorer, Trainer, fresh
+from worklens.llm.attention import CLASS, SPAN, Pairs, Scorer, Trainer, fresh
 
 SF = "/root/testdata/sf0.01"
 
@@ -76,7 +76,7 @@ def test_attention_gradients():
     size, random_ = 2 * CLASS, np.random.default_rng(3)
     pairs = Pairs(np.full((size, size), 1 / size))
     p = {k: v.astype(np.float64) + random_.normal(0, 0.2, v.shape) for k, v in fresh(size).items()}
-    windows = random_.integers(0, size, (4, 33))
+    windows = random_.integers(0, size, (4, SPAN + 1))
     trainer = Trainer(p, pairs, 0.0)
     trainer.first = {k: np.zeros(v.shape) for k, v in p.items()}
     trainer.step(windows)
