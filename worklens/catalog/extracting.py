@@ -23,9 +23,8 @@ def sql_replace(x: str, pattern: str, by: str = "", flags: str = "gi") -> str:
     return f"regexp_replace({x}, {q(pattern)}, {q(by)}, '{flags}')"
 
 
-_BOARD = sql_replace(sql_replace("title", r"\s*[-–|]\s*(?:LinkedIn|Indeed|Glassdoor|Monster|ZipRecruiter).*"),
-                     r"\s*[-–|]\s*(?:Hiring|Job|Opening|Vacancy).*")
-_LEAD = r"^\s*[A-Z][A-Za-z0-9&.]+\s+(?:is\s+)?hiring\s+"
+_BOARD = sql_replace(sql_replace("title", fixed.BOARD_SUFFIX), fixed.NOISE_SUFFIX)
+_LEAD = fixed.HIRING_LEAD
 
 
 def sql_first(x: str) -> str:
@@ -41,12 +40,7 @@ _WEB = (
 
 def _portal() -> str:
     out = "title"
-    for pattern, ignore, trim in [
-        (r"\s*[-–|]\s*Naukri\.?com.*", 1, 0), (r"\s*[-–|]\s*(?:Hiring|Job|Opening|Vacancy).*", 1, 0), (r"\s*[-–]\s*\d+.*", 0, 0),
-        (r"Apply\s+To\s*\d*", 1, 1), (r"^\d+\s+", 0, 0), (r"\s+-\s+\d+.*", 0, 0), (r"\s*\d+\s*(?:Job|Vacanc)", 1, 0),
-        (r"\s*[-–|]\s*(?:naukri\s*(?:job|opening).*)", 1, 0), (r"\s+Jobs\s+(?:In\s+)?.*", 1, 1), (r"\s+-\s+.*", 0, 1),
-        (r"^(?:How to|Career in|Internship In|Careers in)\s+.*", 1, 1),
-    ]:
+    for pattern, ignore, trim in fixed.PORTAL_TITLE_REWRITES:
         out = sql_replace(out, pattern, "", "gi" if ignore else "g")
         out = f"trim({out})" if trim else out
     return f"trim({out}, ' ,-–')"

@@ -71,13 +71,8 @@ def sql_listed(raw: str) -> str:
 
 def sql_salary(column: str) -> str:
     t = f"replace({column}, ',', '')"
-    cur, num, dash = r"(?:₹|rs\.?|inr)", r"([\d.]+)", "(?:-|–|to)"
-    unit = rf"{cur}?\s*{num}\s*{dash}\s*{num}\s*(lpa|lakhs?|lacs?)\b"
-    one = rf"{cur}?\s*{num}\s*(lpa|lakh|lacs?|l)\b"
-    crore = rf"{cur}?\s*{num}\s*{dash}?\s*{num}?\s*(cr|crores?)\b"
-    amount = rf"{cur}\s*{num}\s*{dash}\s*{cur}?\s*{num}"
-    thousand = rf"{cur}?\s*{num}\s*{dash}?\s*{num}?\s*(k|thousand)\b"
-    month = r"per\s*month|monthly|/month|/mo\b|\bmonths?\b|\bpm\b"
+    unit, one, crore = fixed.SALARY_UNIT_RANGE, fixed.SALARY_UNIT_SINGLE, fixed.SALARY_CRORE
+    amount, thousand, month = fixed.SALARY_AMOUNT_RANGE, fixed.SALARY_THOUSANDS, fixed.SALARY_MONTHLY
 
     def has(p: str) -> str:
         return f"regexp_matches({t}, '{p}', 'i')"
@@ -91,7 +86,7 @@ def sql_salary(column: str) -> str:
 
     monthly = f"CASE WHEN {has(month)} THEN 12 ELSE 1 END"
     return f"""CASE
-    WHEN {has(r'not\s+disclosed|confidential|negotiable')} THEN NULL
+    WHEN {has(fixed.SALARY_UNDISCLOSED)} THEN NULL
     WHEN {has(unit)} THEN {whole(grab(unit, 2))}
     WHEN {has(one)} THEN {whole(grab(one, 1))}
     WHEN {has(crore)} THEN {whole(grab(crore, 2, 1) + ' * 100')}

@@ -9,47 +9,26 @@ from . import fixed, urls
 from .base import capture, filled, found, let, replace, split, strip, text, title_case, within
 from .places import city_in_text
 
-BOARD_SUFFIX = r"\s*[-–|]\s*(?:LinkedIn|Indeed|Glassdoor|Monster|ZipRecruiter).*"
-NOISE_SUFFIX = r"\s*[-–|]\s*(?:Hiring|Job|Opening|Vacancy).*"
-HIRING_LEAD = r"^\s*[A-Z][A-Za-z0-9&.]+\s+(?:is\s+)?hiring\s+"
-
-
 def _first_segment(title: Column) -> Column:
     first = strip(F.get(split(title, r"\s*[-–|]\s*"), F.lit(0)))
     return F.coalesce(filled(first), strip(title))
 
 
 def clean_board_title(title: Column) -> Column:
-    return _first_segment(replace(replace(text(title), BOARD_SUFFIX), NOISE_SUFFIX))
+    return _first_segment(replace(replace(text(title), fixed.BOARD_SUFFIX), fixed.NOISE_SUFFIX))
 
 
 def clean_web_title(title: Column) -> Column:
     """As the board form, with "X is hiring" cut off the front and a place off the end."""
-    t = replace(replace(text(title), BOARD_SUFFIX), NOISE_SUFFIX)
-    role = strip(replace(t, HIRING_LEAD))
-    role = strip(replace(role, r"\s+in\s+[A-Z][a-zA-Z\s,]*$", "", False))
-    return _first_segment(F.when(found(t, HIRING_LEAD), role).otherwise(t))
-
-
-#: Ordered rewrites of a portal title: (pattern, ignore case, trim after).
-PORTAL_TITLE_REWRITES = [
-    (r"\s*[-–|]\s*Naukri\.?com.*", True, False),
-    (NOISE_SUFFIX, True, False),
-    (r"\s*[-–]\s*\d+.*", False, False),
-    (r"Apply\s+To\s*\d*", True, True),
-    (r"^\d+\s+", False, False),
-    (r"\s+-\s+\d+.*", False, False),
-    (r"\s*\d+\s*(?:Job|Vacanc)", True, False),
-    (r"\s*[-–|]\s*(?:naukri\s*(?:job|opening).*)", True, False),
-    (r"\s+Jobs\s+(?:In\s+)?.*", True, True),
-    (r"\s+-\s+.*", False, True),
-    (r"^(?:How to|Career in|Internship In|Careers in)\s+.*", True, True),
-]
+    t = replace(replace(text(title), fixed.BOARD_SUFFIX), fixed.NOISE_SUFFIX)
+    role = strip(replace(t, fixed.HIRING_LEAD))
+    role = strip(replace(role, fixed.PLACE_AT_END, "", False))
+    return _first_segment(F.when(found(t, fixed.HIRING_LEAD), role).otherwise(t))
 
 
 def clean_portal_title(title: Column) -> Column:
     out = text(title)
-    for pattern, ignore_case, trim in PORTAL_TITLE_REWRITES:
+    for pattern, ignore_case, trim in fixed.PORTAL_TITLE_REWRITES:
         out = replace(out, pattern, "", ignore_case)
         if trim:
             out = strip(out)
@@ -57,7 +36,7 @@ def clean_portal_title(title: Column) -> Column:
 
 
 def title_from_slug(url: Column) -> Column:
-    posting = capture(url, r"/job-listings-([^/]+?)-(\d)", 1, False)
+    posting = capture(url, fixed.PORTAL_SLUG_TITLE, 1, False)
     listing = capture(url, r"naukri\.com/([^/]+?)(?:-jobs|$)", 1, False)
 
     def spoken(slug: Column) -> Column:
@@ -103,25 +82,24 @@ def portal_company(url: Column, snippet: Column, title: Column, cleaned: Column)
         strip(
             title_case(
                 F.replace(
-                    capture(url, r"/job-listings-[^/]+?-([a-z]+(?:-[a-z]+)*)-\d", 1, False),
+                    capture(url, fixed.PORTAL_SLUG_COMPANY, 1, False),
                     F.lit("-"),
                     F.lit(" "),
                 )
             )
         ),
-        strip(capture(cleaned, r"[-–]\s*([A-Z][A-Za-z0-9\s&.]+?)\s*$", 1, False)),
+        strip(capture(cleaned, fixed.PORTAL_TITLE_COMPANY, 1, False)),
         F.lit("Naukri"),
     )
 
 
 def site_company(body: Column, parts: Column) -> Column:
     """Company of a site-restricted hit: body text, else the second of three title parts."""
-    pattern = r"\b(at|by|via)\s+([A-Z][A-Za-z0-9&. ]+?)(?:\s+[-–]|\s+(?:is|has|in)\s+|\.|$)"
     second = F.when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1))))
     head = F.lower(F.get(split(second, r"\s+", False), F.lit(0)))
     usable = (F.length(second) >= 3) & ~within(head, fixed.STOP_WORDS)
     named = let(
-        strip(capture(text(body), pattern, 2)), lambda n: F.when(F.length(n) <= 50, _usable_name(n))
+        strip(capture(text(body), fixed.SITE_COMPANY, 2)), lambda n: F.when(F.length(n) <= 50, _usable_name(n))
     )
     return F.coalesce(named, F.when(usable, second), F.lit("Unknown"))
 

@@ -7,94 +7,91 @@ every operator reads them from here.
 
 # --- fixed values: places -------------------------------------------------
 
-#: "written form: city", in matching order.
+#: (written form, city), in matching order.
 CITY_SYNONYMS = [
-    tuple(part.strip() for part in line.split(":"))
-    for line in """
-    pune: Pune
-    poonaw: Pune
-    bengaluru: Bengaluru
-    bangalore: Bengaluru
-    blr: Bengaluru
-    hyderabad: Hyderabad
-    secunderabad: Hyderabad
-    hyd: Hyderabad
-    mumbai: Mumbai
-    bombay: Mumbai
-    chennai: Chennai
-    madras: Chennai
-    kolkata: Kolkata
-    calcutta: Kolkata
-    delhi: Delhi
-    new delhi: Delhi
-    delhi ncr: Delhi
-    ncr: Delhi
-    gurgaon: Gurugram
-    gurugram: Gurugram
-    noida: Noida
-    ghaziabad: Ghaziabad
-    faridabad: Faridabad
-    kochi: Kochi
-    cochin: Kochi
-    thiruvananthapuram: Thiruvananthapuram
-    trivandrum: Thiruvananthapuram
-    mysuru: Mysuru
-    mysore: Mysuru
-    visakhapatnam: Visakhapatnam
-    vizag: Visakhapatnam
-    vijayawada: Vijayawada
-    jaipur: Jaipur
-    udaipur: Udaipur
-    jodhpur: Jodhpur
-    lucknow: Lucknow
-    kanpur: Kanpur
-    agra: Agra
-    ahmedabad: Ahmedabad
-    surat: Surat
-    vadodara: Vadodara
-    baroda: Vadodara
-    indore: Indore
-    bhopal: Bhopal
-    nagpur: Nagpur
-    nashik: Nashik
-    chandigarh: Chandigarh
-    amritsar: Amritsar
-    ludhiana: Ludhiana
-    dehradun: Dehradun
-    shimla: Shimla
-    srinagar: Srinagar
-    jammu: Jammu
-    goa: Goa
-    panaji: Panaji
-    patna: Patna
-    ranchi: Ranchi
-    jamshedpur: Jamshedpur
-    bhubaneswar: Bhubaneswar
-    guwahati: Guwahati
-    siliguri: Siliguri
-    raipur: Raipur
-    coimbatore: Coimbatore
-    madurai: Madurai
-    salem: Salem
-    trichy: Trichy
-    tiruchirappalli: Trichy
-    mangaluru: Mangaluru
-    mangalore: Mangaluru
-    kozhikode: Kozhikode
-    calicut: Kozhikode
-    remote: Remote
-    work from home: Remote
-    work-from-home: Remote
-    wfh: Remote
-    anywhere: Remote
-    telecommute: Remote
-    virtual: Remote
-    india: India
-    pan india: India
-    pan-india: India
-    all india: India
-    anywhere in india: India
-    """.strip().splitlines()
+    ("pune", "Pune"),
+    ("poonaw", "Pune"),
+    ("bengaluru", "Bengaluru"),
+    ("bangalore", "Bengaluru"),
+    ("blr", "Bengaluru"),
+    ("hyderabad", "Hyderabad"),
+    ("secunderabad", "Hyderabad"),
+    ("hyd", "Hyderabad"),
+    ("mumbai", "Mumbai"),
+    ("bombay", "Mumbai"),
+    ("chennai", "Chennai"),
+    ("madras", "Chennai"),
+    ("kolkata", "Kolkata"),
+    ("calcutta", "Kolkata"),
+    ("delhi", "Delhi"),
+    ("new delhi", "Delhi"),
+    ("delhi ncr", "Delhi"),
+    ("ncr", "Delhi"),
+    ("gurgaon", "Gurugram"),
+    ("gurugram", "Gurugram"),
+    ("noida", "Noida"),
+    ("ghaziabad", "Ghaziabad"),
+    ("faridabad", "Faridabad"),
+    ("kochi", "Kochi"),
+    ("cochin", "Kochi"),
+    ("thiruvananthapuram", "Thiruvananthapuram"),
+    ("trivandrum", "Thiruvananthapuram"),
+    ("mysuru", "Mysuru"),
+    ("mysore", "Mysuru"),
+    ("visakhapatnam", "Visakhapatnam"),
+    ("vizag", "Visakhapatnam"),
+    ("vijayawada", "Vijayawada"),
+    ("jaipur", "Jaipur"),
+    ("udaipur", "Udaipur"),
+    ("jodhpur", "Jodhpur"),
+    ("lucknow", "Lucknow"),
+    ("kanpur", "Kanpur"),
+    ("agra", "Agra"),
+    ("ahmedabad", "Ahmedabad"),
+    ("surat", "Surat"),
+    ("vadodara", "Vadodara"),
+    ("baroda", "Vadodara"),
+    ("indore", "Indore"),
+    ("bhopal", "Bhopal"),
+    ("nagpur", "Nagpur"),
+    ("nashik", "Nashik"),
+    ("chandigarh", "Chandigarh"),
+    ("amritsar", "Amritsar"),
+    ("ludhiana", "Ludhiana"),
+    ("dehradun", "Dehradun"),
+    ("shimla", "Shimla"),
+    ("srinagar", "Srinagar"),
+    ("jammu", "Jammu"),
+    ("goa", "Goa"),
+    ("panaji", "Panaji"),
+    ("patna", "Patna"),
+    ("ranchi", "Ranchi"),
+    ("jamshedpur", "Jamshedpur"),
+    ("bhubaneswar", "Bhubaneswar"),
+    ("guwahati", "Guwahati"),
+    ("siliguri", "Siliguri"),
+    ("raipur", "Raipur"),
+    ("coimbatore", "Coimbatore"),
+    ("madurai", "Madurai"),
+    ("salem", "Salem"),
+    ("trichy", "Trichy"),
+    ("tiruchirappalli", "Trichy"),
+    ("mangaluru", "Mangaluru"),
+    ("mangalore", "Mangaluru"),
+    ("kozhikode", "Kozhikode"),
+    ("calicut", "Kozhikode"),
+    ("remote", "Remote"),
+    ("work from home", "Remote"),
+    ("work-from-home", "Remote"),
+    ("wfh", "Remote"),
+    ("anywhere", "Remote"),
+    ("telecommute", "Remote"),
+    ("virtual", "Remote"),
+    ("india", "India"),
+    ("pan india", "India"),
+    ("pan-india", "India"),
+    ("all india", "India"),
+    ("anywhere in india", "India"),
 ]
 
 #: Places that only count when no real city is named.
@@ -103,50 +100,46 @@ GENERIC_PLACES = ["India", "Remote"]
 #: Written forms not trusted outside a location field.
 FREE_TEXT_EXCLUDED = ["ncr", "salem", "virtual"]
 
-#: "region: cities", in lookup order (the first region holding a city wins).
+#: (region, cities), in lookup order (the first region holding a city wins).
 REGION_CITIES = [
-    (line.split(":")[0].strip(), [c.strip() for c in line.split(":")[1].split(",")])
-    for line in """
-    Maharashtra: pune, mumbai, nashik, nagpur, aurangabad, kolhapur, solapur, navi mumbai, thane
-    Karnataka: bengaluru, bangalore, mysuru, mysore, hubli, dharwad, mangaluru, mangalore, belgaum, hubballi
-    Telangana: hyderabad, secunderabad
-    Tamil Nadu: chennai, coimbatore, madurai, salem, trichy, vellore, erode, tirupur
-    Kerala: kochi, cochin, thiruvananthapuram, trivandrum, kozhikode, calicut
-    West Bengal: kolkata, siliguri
-    Delhi NCR: delhi, new delhi, gurgaon, gurugram, noida, ghaziabad, faridabad
-    Gujarat: ahmedabad, surat, vadodara, baroda, rajkot
-    Rajasthan: jaipur, udaipur, jodhpur
-    Uttar Pradesh: noida, lucknow, kanpur, agra, varanasi
-    Madhya Pradesh: indore, bhopal, jabalpur, gwalior
-    Punjab: amritsar, ludhiana, jalandhar
-    Chandigarh: chandigarh, mohali, panchkula
-    Bihar: patna
-    Odisha: bhubaneswar, cuttack
-    Jharkhand: ranchi, jamshedpur
-    Assam: guwahati
-    Uttarakhand: dehradun
-    Himachal Pradesh: shimla
-    Jammu & Kashmir: srinagar, jammu
-    Andhra Pradesh: visakhapatnam, vijayawada, guntur, nellore, kakinada
-    Goa: goa, panaji
-    Chhattisgarh: raipur
-    Remote: remote, anywhere, wfh, work from home, telecommute
-    """.strip().splitlines()
+    ("Maharashtra", ["pune", "mumbai", "nashik", "nagpur", "aurangabad", "kolhapur", "solapur", "navi mumbai", "thane"]),
+    ("Karnataka", ["bengaluru", "bangalore", "mysuru", "mysore", "hubli", "dharwad", "mangaluru", "mangalore", "belgaum", "hubballi"]),
+    ("Telangana", ["hyderabad", "secunderabad"]),
+    ("Tamil Nadu", ["chennai", "coimbatore", "madurai", "salem", "trichy", "vellore", "erode", "tirupur"]),
+    ("Kerala", ["kochi", "cochin", "thiruvananthapuram", "trivandrum", "kozhikode", "calicut"]),
+    ("West Bengal", ["kolkata", "siliguri"]),
+    ("Delhi NCR", ["delhi", "new delhi", "gurgaon", "gurugram", "noida", "ghaziabad", "faridabad"]),
+    ("Gujarat", ["ahmedabad", "surat", "vadodara", "baroda", "rajkot"]),
+    ("Rajasthan", ["jaipur", "udaipur", "jodhpur"]),
+    ("Uttar Pradesh", ["noida", "lucknow", "kanpur", "agra", "varanasi"]),
+    ("Madhya Pradesh", ["indore", "bhopal", "jabalpur", "gwalior"]),
+    ("Punjab", ["amritsar", "ludhiana", "jalandhar"]),
+    ("Chandigarh", ["chandigarh", "mohali", "panchkula"]),
+    ("Bihar", ["patna"]),
+    ("Odisha", ["bhubaneswar", "cuttack"]),
+    ("Jharkhand", ["ranchi", "jamshedpur"]),
+    ("Assam", ["guwahati"]),
+    ("Uttarakhand", ["dehradun"]),
+    ("Himachal Pradesh", ["shimla"]),
+    ("Jammu & Kashmir", ["srinagar", "jammu"]),
+    ("Andhra Pradesh", ["visakhapatnam", "vijayawada", "guntur", "nellore", "kakinada"]),
+    ("Goa", ["goa", "panaji"]),
+    ("Chhattisgarh", ["raipur"]),
+    ("Remote", ["remote", "anywhere", "wfh", "work from home", "telecommute"]),
 ]
 
 #: City spellings used in portal URL slugs.
-CITY_SLUGS = """
-bengaluru bangalore hyderabad secunderabad pune mumbai navi-mumbai thane kolkata chennai delhi
-new-delhi gurgaon gurugram noida ghaziabad faridabad ahmedabad surat vadodara jaipur udaipur
-jodhpur lucknow kanpur agra varanasi prayagraj allahabad indore bhopal jabalpur gwalior nagpur
-nashik aurangabad kolhapur solapur sangli rajkot bhavnagar jamnagar kochi cochin trivandrum
-thiruvananthapuram kozhikode calicut mangalore mangaluru mysore mysuru hubli dharwad belgaum
-coimbatore madurai salem trichy tiruchirappalli vellore tirupur erode vijayawada visakhapatnam
-vizag nellore kakinada guntur raipur ranchi jamshedpur patna bhubaneswar cuttack guwahati
-siliguri dehradun haridwar roorkee amritsar ludhiana jalandhar patala chandigarh panchkula mohali
-panipat karnal ambala meerut aligarh bareilly gorakhpur shimla srinagar jammu gangtok itanagar
-shillong agartala imphal aizawl kohima panaji margao ponda remote work-from-home wfh
-""".split()
+CITY_SLUGS = [
+    "bengaluru", "bangalore", "hyderabad", "secunderabad", "pune", "mumbai", "navi-mumbai", "thane", "kolkata", "chennai", "delhi", "new-delhi",
+    "gurgaon", "gurugram", "noida", "ghaziabad", "faridabad", "ahmedabad", "surat", "vadodara", "jaipur", "udaipur", "jodhpur", "lucknow", "kanpur",
+    "agra", "varanasi", "prayagraj", "allahabad", "indore", "bhopal", "jabalpur", "gwalior", "nagpur", "nashik", "aurangabad", "kolhapur", "solapur",
+    "sangli", "rajkot", "bhavnagar", "jamnagar", "kochi", "cochin", "trivandrum", "thiruvananthapuram", "kozhikode", "calicut", "mangalore",
+    "mangaluru", "mysore", "mysuru", "hubli", "dharwad", "belgaum", "coimbatore", "madurai", "salem", "trichy", "tiruchirappalli", "vellore",
+    "tirupur", "erode", "vijayawada", "visakhapatnam", "vizag", "nellore", "kakinada", "guntur", "raipur", "ranchi", "jamshedpur", "patna",
+    "bhubaneswar", "cuttack", "guwahati", "siliguri", "dehradun", "haridwar", "roorkee", "amritsar", "ludhiana", "jalandhar", "patala", "chandigarh",
+    "panchkula", "mohali", "panipat", "karnal", "ambala", "meerut", "aligarh", "bareilly", "gorakhpur", "shimla", "srinagar", "jammu", "gangtok",
+    "itanagar", "shillong", "agartala", "imphal", "aizawl", "kohima", "panaji", "margao", "ponda", "remote", "work-from-home", "wfh",
+]
 
 REMOTE_WORDS = (
     r"\b(remote|work from home|work-from-home|wfh|telecommute|anywhere|virtual|hybrid|home based)\b"
@@ -155,24 +148,25 @@ LOCATION_SEPARATOR = r"[,;/&|]|\b(?:and|or)\b"
 
 # --- fixed values: words --------------------------------------------------
 
-STOP_WORDS = """
-a an the and or nor but for with about between through during before after above below from up
-down of in on at by to into over under again further then once here there all each every both few
-more most some any no not only own same so than too very is are was were be been being have has had
-do does did will would could should may might must shall can this that these those it its our their
-your my his her they we you he she me overview summary description role position job apply learn
-join team via
-""".split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "nor", "but", "for", "with", "about", "between", "through", "during", "before", "after", "above", "below", "from",
+    "up", "down", "of", "in", "on", "at", "by", "to", "into", "over", "under", "again", "further", "then", "once", "here", "there", "all", "each",
+    "every", "both", "few", "more", "most", "some", "any", "no", "not", "only", "own", "same", "so", "than", "too", "very", "is", "are", "was",
+    "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall",
+    "can", "this", "that", "these", "those", "it", "its", "our", "their", "your", "my", "his", "her", "they", "we", "you", "he", "she", "me",
+    "overview", "summary", "description", "role", "position", "job", "apply", "learn", "join", "team", "via",
+]
 
-TITLE_STOP_WORDS = """
-a an the and or of for to with in at on by as is are be it its our your you we us & + ii iii iv
-""".split()
+TITLE_STOP_WORDS = [
+    "a", "an", "the", "and", "or", "of", "for", "to", "with", "in", "at", "on", "by", "as", "is", "are", "be", "it", "its", "our", "your", "you",
+    "we", "us", "&", "+", "ii", "iii", "iv",
+]
 
 #: Title words per seniority level, tried in this order.
 SENIORITY_WORDS = [
-    ("entry", "junior jr intern trainee entry graduate fresher apprentice".split()),
-    ("mid", "mid midlevel intermediate ii".split()),
-    ("senior", "senior sr lead principal staff architect iii iv v".split()),
+    ("entry", ["junior", "jr", "intern", "trainee", "entry", "graduate", "fresher", "apprentice"]),
+    ("mid", ["mid", "midlevel", "intermediate", "ii"]),
+    ("senior", ["senior", "sr", "lead", "principal", "staff", "architect", "iii", "iv", "v"]),
 ]
 
 #: Skill -> written variants that count as the same skill.
@@ -215,36 +209,36 @@ LANGUAGE_SKILLS = {
     "sql": "sql",
     "jupyter notebook": "python",
 }
-TOPIC_SKILLS = """
-kubernetes k8s docker aws gcp azure terraform machine-learning deep-learning data-science react
-nodejs fastapi django flask postgresql redis graphql linux
-""".split()
+TOPIC_SKILLS = [
+    "kubernetes", "k8s", "docker", "aws", "gcp", "azure", "terraform", "machine-learning", "deep-learning", "data-science", "react", "nodejs",
+    "fastapi", "django", "flask", "postgresql", "redis", "graphql", "linux",
+]
 
-GENERIC_COMPANY_WORDS = """
-services solutions technologies technology systems labs consultancy consulting group global digital
-india infotech ventures
-""".split()
+GENERIC_COMPANY_WORDS = [
+    "services", "solutions", "technologies", "technology", "systems", "labs", "consultancy", "consulting", "group", "global", "digital", "india",
+    "infotech", "ventures",
+]
 
 SAVED_STATUSES = ["saved", "applied", "dismissed", "interview", "rejected", "offer"]
 
 # --- fixed values: host labels --------------------------------------------
 
-SKIP_DOMAIN_LABELS = """
-www ww1 ww2 in uk de fr au ca br jp app careers jobs boards career join employment recruitment
-apply search job
-""".split()
-TLD_LABELS = """
-com net org io co dev ai cloud tech in uk de fr au ca br jp sg ae eu nl se ch it es
-""".split()
-GENERIC_HOST_LABELS = """
-opportunities recruiting talent career careers jobs job boards employment apply search candidate
-hiring join openings vacancies staffing workat careerpage jobsportal hr people
-""".split()
-PLATFORM_LABELS = """
-avature myworkdayjobs workday greenhouse lever ashbyhq smartrecruiters icims taleo oraclecloud
-successfactors adp bamboohr recruitee jobvite pinpointhq workable teamtailor personio ultipro
-gethired breezy dover
-""".split()
+SKIP_DOMAIN_LABELS = [
+    "www", "ww1", "ww2", "in", "uk", "de", "fr", "au", "ca", "br", "jp", "app", "careers", "jobs", "boards", "career", "join", "employment",
+    "recruitment", "apply", "search", "job",
+]
+TLD_LABELS = [
+    "com", "net", "org", "io", "co", "dev", "ai", "cloud", "tech", "in", "uk", "de", "fr", "au", "ca", "br", "jp", "sg", "ae", "eu", "nl", "se",
+    "ch", "it", "es",
+]
+GENERIC_HOST_LABELS = [
+    "opportunities", "recruiting", "talent", "career", "careers", "jobs", "job", "boards", "employment", "apply", "search", "candidate", "hiring",
+    "join", "openings", "vacancies", "staffing", "workat", "careerpage", "jobsportal", "hr", "people",
+]
+PLATFORM_LABELS = [
+    "avature", "myworkdayjobs", "workday", "greenhouse", "lever", "ashbyhq", "smartrecruiters", "icims", "taleo", "oraclecloud", "successfactors",
+    "adp", "bamboohr", "recruitee", "jobvite", "pinpointhq", "workable", "teamtailor", "personio", "ultipro", "gethired", "breezy", "dover",
+]
 
 # --- fixed values: patterns -----------------------------------------------
 
@@ -333,15 +327,17 @@ DEAD_BODY_MARKERS = [
     "position has been filled",
     "we're sorry",
 ]
-DEAD_PATH_SEGMENTS = """
-error errors not-found notfound page-not-found pagenotfound 404 expired job-expired job-expired-page
-jobnotfound job-not-found position-not-found posting-not-found vacancy-not-found no-longer-available
-""".split()
-
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-MONTH_NAMES = (
-    "january february march april may june july august september october november december".split()
-)
+DEAD_PATH_SEGMENTS = [
+    "error", "errors", "not-found", "notfound", "page-not-found", "pagenotfound", "404", "expired", "job-expired", "job-expired-page", "jobnotfound",
+    "job-not-found", "position-not-found", "posting-not-found", "vacancy-not-found", "no-longer-available",
+]
+
+MONTHS = [
+    "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+]
+MONTH_NAMES = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
 
 # salary text
 SALARY_UNIT_RANGE = r"(?:₹|rs\.?|inr)?\s*([\d.]+)\s*(?:-|–|to)\s*([\d.]+)\s*(lpa|lakhs?|lacs?)\b"
@@ -404,6 +400,32 @@ PROFILE_ROLE = (
     r"|Engineering\s*Manager|Tech\s*Lead)"
 )
 
+# --- fixed values: titles and companies of search hits ----------------------
+
+BOARD_SUFFIX = r"\s*[-–|]\s*(?:LinkedIn|Indeed|Glassdoor|Monster|ZipRecruiter).*"
+NOISE_SUFFIX = r"\s*[-–|]\s*(?:Hiring|Job|Opening|Vacancy).*"
+HIRING_LEAD = r"^\s*[A-Z][A-Za-z0-9&.]+\s+(?:is\s+)?hiring\s+"
+PORTAL_SLUG_COMPANY = r"/job-listings-[^/]+?-([a-z]+(?:-[a-z]+)*)-\d"
+PORTAL_TITLE_COMPANY = r"[-–]\s*([A-Z][A-Za-z0-9\s&.]+?)\s*$"
+PORTAL_SLUG_TITLE = r"/job-listings-([^/]+?)-(\d)"
+PLACE_AT_END = r"\s+in\s+[A-Z][a-zA-Z\s,]*$"
+SITE_COMPANY = r"\b(at|by|via)\s+([A-Z][A-Za-z0-9&. ]+?)(?:\s+[-–]|\s+(?:is|has|in)\s+|\.|$)"
+
+#: Ordered rewrites of a portal title: (pattern, ignore case, trim after).
+PORTAL_TITLE_REWRITES = [
+    (r"\s*[-–|]\s*Naukri\.?com.*", True, False),
+    (NOISE_SUFFIX, True, False),
+    (r"\s*[-–]\s*\d+.*", False, False),
+    (r"Apply\s+To\s*\d*", True, True),
+    (r"^\d+\s+", False, False),
+    (r"\s+-\s+\d+.*", False, False),
+    (r"\s*\d+\s*(?:Job|Vacanc)", True, False),
+    (r"\s*[-–|]\s*(?:naukri\s*(?:job|opening).*)", True, False),
+    (r"\s+Jobs\s+(?:In\s+)?.*", True, True),
+    (r"\s+-\s+.*", False, True),
+    (r"^(?:How to|Career in|Internship In|Careers in)\s+.*", True, True),
+]
+
 # --- fixed values: limits and weights -------------------------------------
 
 TITLE_SIMILARITY = 82

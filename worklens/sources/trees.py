@@ -24,8 +24,10 @@ def first_value(text: str | None) -> Any:
     for kind in _OPENING.finditer(plain):
         try:
             return _reader.raw_decode(plain, kind.start())[0]
-        except (ValueError, RecursionError):
+        except ValueError:
             continue
+        except RecursionError:
+            break
     return None
 
 
