@@ -13,6 +13,9 @@ depends on a handful of features.
 * Place overlap, worth more than its class, is found by an equi-join on place
   words in the same way.
 
+* All this runs between classes: postings of equal evidence and features, and
+  profiles of equal wishes, score alike, so one of each stands for the rest.
+
 The maximum over both kinds per pair is its score; the k best per profile are
 the result. Every top-k prunes inside each task before the shuffle.
 """
@@ -168,22 +171,55 @@ def _classes(df: DataFrame, opens: list[bool]) -> DataFrame:
 CLASS = ["c_level", "c_open", "c_preference"]
 
 
+#: Profile columns that a score depends on; profiles equal in all of them are one class.
+ASKED = ["c_level", "c_open", "c_preference", "p_place_tokens", "p_title_tokens"]
+NEEDLES = ["p_skill_needles", "p_phrase_needles", "p_must_needles"]
+
+
+def _profile_classes(ready: DataFrame) -> DataFrame:
+    """(profile_id, class_id): profiles with the same wishes share the smallest id among them."""
+    wishes = F.struct(*ASKED, *[F.transform(n, lambda x: x["skill"]).alias(n) for n in NEEDLES])
+    keyed = ready.select("profile_id", F.sha2(F.to_json(wishes), 256).alias("_wish"))
+    first = keyed.groupBy("_wish").agg(F.min("profile_id").alias("class_id"))
+    return checkpoint(keyed.join(first, "_wish").select("profile_id", "class_id"))
+
+
+def _posting_classes(facts: DataFrame, features: DataFrame) -> DataFrame:
+    """(posting_id, sign_id): postings with the same evidence and features score alike for every profile and share the smallest id among them."""
+    listed = facts.groupBy("posting_id").agg(F.array_sort(F.collect_set("feature")).alias("_facts"))
+    everything = F.struct(*[c for c in features.columns if c != "posting_id"], "_facts")
+    keyed = features.join(listed, "posting_id", "left").select("posting_id", F.sha2(F.to_json(everything), 256).alias("_sign"))
+    first = keyed.groupBy("_sign").agg(F.min("posting_id").alias("sign_id"))
+    return checkpoint(keyed.join(first, "_sign").select("posting_id", "sign_id"))
+
+
 def top_matches(postings: DataFrame, profiles: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
     """(profile_id, posting_id, score, rank) of the k best postings per profile.
 
     ``postings`` is normalized; ``profiles`` holds profile_id and the p_ columns.
+    Scores are computed between classes of equal postings and of equal profiles. The k best
+    classes of postings, by score and first id, hold the k best postings; each class
+    then gives its first k postings, and each class of profiles its result to all its members.
     """
-    ready = _profile_class(prepare(profiles))
+    prepared = checkpoint(_profile_class(prepare(profiles)))
+    profile_classes = _profile_classes(prepared)
+    ready = checkpoint(prepared.join(profile_classes.filter("profile_id = class_id").select("profile_id"), "profile_id", "left_semi"))
     if "age" not in postings.columns:
         postings = postings.withColumn("age", F.lit(None).cast("string"))
 
-    # Pairs with evidence: sums of narrow rows, then the score from a few numbers.
+    # Evidence once per posting; then only the first posting of each class goes on.
     facts = checkpoint(evidence(postings, ready))
+    features = checkpoint(_features(postings, as_of))
+    posting_classes = _posting_classes(facts, features)
+    firsts_only = posting_classes.filter("posting_id = sign_id").select("posting_id")
+    facts = checkpoint(facts.join(firsts_only, "posting_id", "left_semi"))
+    features = checkpoint(features.join(firsts_only, "posting_id", "left_semi"))
+
+    # Pairs with evidence: sums of narrow rows, then the score from a few numbers.
     asked_for = small(checkpoint(profile_features(ready)))
     sums = facts.join(asked_for, "feature").groupBy("profile_id", "posting_id").agg(
         *[F.sum("n_" + n).alias("n_" + n) for n in KINDS]
     )
-    features = checkpoint(_features(postings, as_of))
     mine = ready.select(
         "profile_id", *CLASS, "p_place_tokens", F.size("p_skill_needles").alias("of_skill"), F.size("p_phrase_needles").alias("of_phrase")
     )
@@ -220,4 +256,7 @@ def top_matches(postings: DataFrame, profiles: DataFrame, as_of: Column, k: int
 
     both = with_hit.unionByName(without).unionByName(same)
     best = both.groupBy("profile_id", "posting_id").agg(F.max("score").alias("score"))
-    return rank.top_n(best, k, ["profile_id"])
+    best = rank.top_n(best, k, ["profile_id"]).select("profile_id", F.col("posting_id").alias("sign_id"), "score")
+    members = rank.first_n(posting_classes, k, ["sign_id"], [F.asc("posting_id")], "_n").drop("_n")
+    best = checkpoint(rank.top_n(best.join(members, "sign_id").drop("sign_id"), k, ["profile_id"]))
+    return profile_classes.join(best.withColumnRenamed("profile_id", "class_id"), "class_id").drop("class_id").select(*best.columns)
