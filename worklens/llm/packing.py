@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.words import SPACE, buffers
+from worklens.llm.words import SPACE, parts
 from worklens.session import checkpoint
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -32,18 +32,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            low, counts = int(offsets[0]) if len(offsets) else 0, np.zeros(max(0, len(offsets) - 1), np.int64)
-            if len(counts) and offsets[-1] > low:
-                inside = ~SPACE[data[low : offsets[-1]]]
-                first = inside.copy()
-                first[1:] &= ~inside[:-1]
-                starts = offsets[:-1] - low
-                starts = starts[starts < len(inside)]
-                first[starts] |= inside[starts]
-                found = np.concatenate([[0], np.cumsum(first)])
-                counts = found[offsets[1:] - low] - found[offsets[:-1] - low]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1, pa.int64())], ["doc_id", "n_tokens"])
+            counts = np.ones(batch.num_rows, np.int64)
+            for row, data, offsets in parts(batch.column(1)):
+                inside = ~SPACE[data]
+                begins = inside.copy()
+                begins[1:] &= ~inside[:-1]
+                first = offsets[:-1][offsets[:-1] < len(data)]
+                begins[first] = inside[first]
+                counts[row : row + len(offsets) - 1] += np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
 

@@ -98,7 +98,30 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def _sql_spans(kind: int, pattern: str, keep: str = "true") -> str:
+    """Spans as structs, from matches taken with the gap before each; ``keep`` may name m (match) and v (second group)."""
+    whole = "(?s:(.*?))(" + pattern.replace("'", "''") + ")"
+    part = lambda group: f"regexp_extract_all(text, '{whole}', {group})"
+    total = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(x))), 0)"
+    return f"""list_transform(list_filter(list_transform(range(1, len({part(2)}) + 1), lambda i: {{'m': {part(2)}[i], 'v': {part(4)}[i],
+      'a': ({total(f"{part(1)}[1:i]")} + {total(f"{part(2)}[1:i-1]")})::INT}}), lambda s: {keep}), lambda s: {{'start': s.a, 'kind': {kind}, 'end': (s.a + length(s.m))::INT}})"""
+
+
+_KIND_NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+_WRITTEN = lambda c: f"array_to_string(list_transform(list_sort({c}), lambda s: {_KIND_NAMES}[s.kind + 1] || ':' || s.start || ':' || s.\"end\"), ',')"
+_MIXED = "regexp_matches(s.m, '[a-z]') AND regexp_matches(s.m, '[A-Z]') AND regexp_matches(s.m, '[0-9][^0-9]*[0-9][^0-9]*[0-9]')"
+_OP9 = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT row, doc_id, text, {_sql_spans(0, secrets.ASSIGN, "length(s.v) >= 8")} || {_sql_spans(1, secrets.ACCESS, "length(s.m) >= 16")} || {_sql_spans(2, secrets.HEX)} AS base FROM t),
+weak AS (SELECT *, list_filter({_sql_spans(3, secrets.LOGIN)} || {_sql_spans(4, secrets.TOKEN, _MIXED)} || {_sql_spans(5, secrets.ENDPOINT)},
+  lambda w: len(list_filter(base, lambda b: b.start < w."end" AND w.start < b."end")) = 0) AS weak FROM base),
+linked AS (SELECT *, list_filter(weak, lambda w: len(list_filter(base || weak, lambda o: (w.kind IN (0, 2, 4)) <> (o.kind IN (0, 2, 4))
+  AND greatest(w.start, o.start) - least(w."end", o."end") <= {secrets.SCOPE})) > 0) AS added FROM weak)
+SELECT doc_id, len(list_filter(base, lambda s: s.kind = 0))::BIGINT AS n_assign, len(list_filter(base, lambda s: s.kind = 1))::BIGINT AS n_access,
+  len(list_filter(base, lambda s: s.kind = 2))::BIGINT AS n_hex, sha256({_WRITTEN("base")}) AS base_sha256, {_WRITTEN("base || added")} AS spans FROM linked
+"""
+
 QUERIES = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_attention_scores, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op7_edited_counts, op8_decontaminate, op9_linked_secrets, op10_best_fit)
 }
-ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5}
+ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5, "op9_linked_secrets": _OP9}

@@ -103,7 +103,7 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     secret = F.col("kind").isin(0, 2, 4)
     near = F.expr(f"sequence((start div {scope}) - 1, ((end - 1) div {scope}) + 1)")
     secrets = each.where(secret).select("row", F.col("start").alias("s0"), F.col("kind").alias("sk"), F.col("end").alias("s1"), F.explode(near).alias("bin"))
-    others = each.where(~secret).select("row", F.col("start").alias("o0"), F.col("kind").alias("ok"), F.col("end").alias("o1"), F.expr(f"start div {scope}").alias("bin"))
+    others = each.where(~secret).select("row", F.col("start").alias("o0"), F.col("kind").alias("ok"), F.col("end").alias("o1"), F.explode(F.expr(f"sequence(start div {scope}, (end - 1) div {scope})")).alias("bin"))
     linked = secrets.join(others, ["row", "bin"]).where((F.greatest("s0", "o0") - F.least("s1", "o1") <= scope) & ((F.col("sk") == 4) | (F.col("ok") > 2)))
     found = linked.select("row", F.explode(F.array(F.struct(F.col("s0").alias("start"), F.col("sk").alias("kind"), F.col("s1").alias("end")), F.struct(F.col("o0").alias("start"), F.col("ok").alias("kind"), F.col("o1").alias("end")))).alias("s"))
     added = found.where("s.kind > 2").distinct().groupBy("row").agg(F.collect_list("s").alias("added"))

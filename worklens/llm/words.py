@@ -68,16 +68,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(column: pa.Array) -> Iterator[Words]:
-    """The words of a string column, some rows at a time."""
+def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of a string column, rows of about CHUNK bytes at a time."""
     data, offsets = buffers(column)
     first, rows = 0, len(column)
     while first < rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
-        yield _words(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
 
+def chunks(column: pa.Array) -> Iterator[Words]:
+    """The words of a string column, some rows at a time."""
+    for first, data, offsets in parts(column):
+        yield _words(first, data, offsets)
+
+
 def _words(first: int, data: np.ndarray, offsets: np.ndarray) -> Words:
     n, none = len(data), np.zeros(0, np.int64)
     if n == 0:
