@@ -118,7 +118,9 @@ def test_factors_learn_what_weights_cannot(spark):
         y.append(float(a != b))
     model = toxicity.fit(rows, np.array(y), np.arange(60))
     one = lambda *t: model.bias + model.weights[list(t)].sum() + 0.5 * ((model.vectors[list(t)].sum(0) ** 2 - (model.vectors[list(t)] ** 2).sum(0)).sum())
-    assert one(1) > 0 > one(1, 2) and one(2) > 0 > one()
+    cut = np.log(0.3 / 0.7)
+    assert one(1) > cut > one(1, 2) and one(2) > cut > one()
+    assert toxicity.best_cut(np.array([0.0, 1.0, 4.0, 6.0]), np.array([0.0, 0.0, 1.0, 1.0])) == 2.5
 
 
 def test_quality_features_take_whole_texts():
