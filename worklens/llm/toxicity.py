@@ -22,7 +22,9 @@ from worklens.llm.words import Words, chunks, mix
 from worklens.session import checkpoint
 
 BUCKETS, TERMS, FACTORS = 1 << 20, 1024, 4
-PASSES, CUT = 40, 0.3
+#: Passes over the sample at least, and gradient steps at least.
+PASSES, STEPS = 40, 1500
+CUT = 0.3
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -78,9 +80,10 @@ def fit(texts: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, seed: int =
     rows = [slot[t] for t in texts]
     g_b, g_w, g_v = 1e-3, np.full(weights.shape, 1e-3), np.full(vectors.shape, 1e-3)
     batch = 256
-    for k in range(PASSES):
+    passes = max(PASSES, -(-STEPS * batch // len(rows)))
+    for k in range(passes):
         order = random.permutation(len(rows))
-        rate = 0.15 / (1 + 0.1 * k)
+        rate = 0.15 / (1 + 4 * k / passes)
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
             at = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
