@@ -15,7 +15,7 @@ from worklens.session import local_session  # noqa: E402
 HEADLINE = [
     "normalized_postings", "filter_report", "top_postings", "full_ranking", "fuzzy_dedup", "fuzzy_dedup_per_batch",
     "seen_upsert", "new_or_seen", "saved_upsert", "breaker_state", "keyword_hits",
-    "company_by_domain", "posting_page_fields", "city_in_free_text",
+    "company_by_domain", "posting_page_fields", "city_in_free_text", "seen_stream", "best_for_many_profiles",
 ]
 
 
