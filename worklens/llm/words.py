@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; longer documents are hashed alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 
@@ -68,19 +68,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of a string column, rows of about CHUNK bytes at a time."""
+def parts(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of a string column, rows of about ``size`` bytes at a time."""
     data, offsets = buffers(column)
     first, rows = 0, len(column)
     while first < rows:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
 
-def chunks(column: pa.Array) -> Iterator[Words]:
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Words]:
     """The words of a string column, some rows at a time."""
-    for first, data, offsets in parts(column):
+    for first, data, offsets in parts(column, size):
         yield _words(first, data, offsets)
 
 
