@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -90,6 +91,20 @@ def test_contaminated_texts(spark, nothing):
     assert decontaminate.contaminated(frame, benchmark.limit(0)).collect() == []
 
 
+def test_every_pattern_of_substitutions_is_found(spark):
+    items, docs = [], []
+    for n in (8, 9, 10, 11):
+        items.append((n, " ".join(f"i{n}w{k}" for k in range(n))))
+        for bad in [p for r in (0, 1, 2, 3) for p in combinations(range(n), r)]:
+            docs.append((len(docs), "before " + " ".join("x" if k in bad else f"i{n}w{k}" for k in range(n)) + " after"))
+    items.append((20, " ".join(f"long{k}" for k in range(20))))
+    for bad in combinations(range(10), 2):  # the passage is cut off at both ends
+        docs.append((len(docs), "before " + " ".join("x" if k in bad else f"long{5 + k}" for k in range(10)) + " after"))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = _brute_contaminated(docs, items)
+    assert sum(j == 20 for _, j in expected) == 45 and {(r.doc_id, r.item_id) for r in got} == expected
+
+
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEY = "Zx9Qw8Er7Ty6Ui5Op4As3D"
 

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from worklens.session import checkpoint, small
 
-MASKS = ("11011001", "11101001")
+#: Any 10 words with 2 substituted, and any 8 or 9 with 1, have a window of one of these masks that is intact.
+MASKS = ("11011", "1101001")
 OVERLAP, PERCENT = 10, 80
+#: Items of fewer words must occur whole.
+WHOLE = 8
 #: Items of fewer words are too short to be evidence.
 LEAST_WORDS = 5
 
@@ -49,16 +52,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
     One row per document and item: the alignment with most agreeing words,
     ``start`` being the word of the document that lies at the item's first word
-    (negative where the item's beginning is missing). Items of fewer words than the masks must occur
+    (negative where the item's beginning is missing). Items of fewer than WHOLE words must occur
     whole, and those of fewer than LEAST_WORDS words aren't sought. NULL and empty texts
     match nothing; rows without an id are ignored; repeated rows count once. Other columns are ignored.
     """
-    span = max(map(len, masks))
     items = benchmark.where("item_id is not null").select("item_id", hashed_words(F.col("text")).alias("h")).where(F.size("h") >= LEAST_WORDS).distinct()
     items = checkpoint(items)
-    short = [r[0] for r in items.where(F.size("h") < span).select(F.size("h")).distinct().collect()]  # fewer than a mask is long
+    short = [r[0] for r in items.where(F.size("h") < WHOLE).select(F.size("h")).distinct().collect()]  # these must occur whole
     patterns = (*masks, *["1" * n for n in sorted(short)])
-    tests = _seeds(items.where(F.size("h") >= span), masks, "item_id")
+    tests = _seeds(items.where(F.size("h") >= WHOLE), masks, "item_id")
     for k, p in enumerate(patterns[len(masks) :], len(masks)):
         tests = tests.unionByName(items.where(F.size("h") == len(p)).select("item_id", F.posexplode(_windows(p, k)).alias("at", "seed")))
     tests = small(checkpoint(tests.withColumnRenamed("at", "item_at").distinct()))
@@ -78,8 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     low, high = F.greatest(F.lit(0), -F.col("start")), F.least(F.size("g"), F.size("h") - F.col("start"))
     same = F.transform(F.sequence(low, high - 1), lambda j: (F.get("h", j + F.col("start")) == F.get("g", j)).cast("int"))
     judged = sides.where(high > low).select("doc_id", "item_id", "start", F.size("g").alias("n_words"), same.alias("same"))
-    run = F.when(F.col("n_words") < span, F.col("n_words")).otherwise(F.least(F.col("n_words"), F.lit(overlap)))
-    need = F.when(F.col("n_words") < span, F.col("n_words")).otherwise(F.ceil(run * percent / 100).cast("int"))
+    run = F.when(F.col("n_words") < WHOLE, F.col("n_words")).otherwise(F.least(F.col("n_words"), F.lit(overlap)))
+    need = F.when(F.col("n_words") < WHOLE, F.col("n_words")).otherwise(F.ceil(run * percent / 100).cast("int"))
     total = lambda i: F.aggregate(F.slice("same", i + 1, run), F.lit(0), lambda s, x: s + x)
     stands = F.exists(F.sequence(F.lit(0), F.size("same") - run), lambda i: total(i) >= need)
     judged = judged.where(F.size("same") >= run).where(stands)
