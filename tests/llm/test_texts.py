@@ -57,6 +57,17 @@ def test_near_duplicates_find_chains_and_copies(spark):
     assert set(label.values()) == {0}
 
 
+def test_near_duplicates_within_boilerplate(spark):
+    """A group 0.79 alike with one pair at 0.80, whose common buckets all have a third text as centre."""
+    shared = [f"s{k}" for k in range(440)]
+    rows = [(i, " ".join(shared + [f"p{i}x{k}" for k in range(58)])) for i in range(80)]
+    rows += [(1000 + j, " ".join(shared + [f"both{k}" for k in range(4)] + [f"q2x{j}x{k}" for k in range(54)])) for j in range(2)]
+    _, label = _components(rows, 1)
+    assert Counter(Counter(label.values()).values()) == {1: 80, 2: 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=1).collect()} == label
+
+
 def _brute_contaminated(docs, items):
     found = set()
     for i, text in docs:

@@ -4,7 +4,8 @@ Rows with equal shingle sets collapse first, so a group of copies costs one
 row. In every bucket the members are compared with one centre only (a star), first
 with the member that meets most others over all bands. Candidates are confirmed on full sets. Stars go on,
 with centres by chance, over members that are still in different components of a
-bucket, until a round over all bands links nothing more.
+bucket, until a round over all bands links nothing more. What then still shares a bucket across components
+is compared exactly, by a join on the rarest shingles of each set (a prefix filter).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BANDS, ROWS = 32, 4
 FIRST = 4
 
 _PROBES = 64
+#: Shingles are put in order of rarity by counts of so many hashed bins; the order decides only how many candidates arise.
+_BINS = 1 << 18
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,6 +128,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _bins_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) % np.uint64(_BINS)).astype(np.int64)
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` fall into each hashed bin: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_BINS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(counts, _bins_of(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bin", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_BINS, np.int64)
+    counts[found["bin"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def prefixes(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """(node, n, place, shingle, first): of each set of n shingles, rarest first, those that a pair can have as its first in common.
+
+    Two sets of n <= m shingles with ``percent`` in common share percent (n + m) / (100 + percent) shingles, so as many of the
+    smaller set (``first``) and of the larger lie at or behind the place of the first one in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, places, found, firsts = [], [], [], [], []
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(x)
+                long, short = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                rare = x[np.lexsort((x, counts[_bins_of(x)]))[:long]]
+                for length, first in ((long, False), (short, True)):
+                    nodes.append(np.full(length, node, np.int64))
+                    sizes.append(np.full(length, n, np.int64))
+                    places.append(np.arange(length))
+                    found.append(rare[:length].view(np.int64))
+                    firsts.append(np.full(length, first))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, sizes, places, found, firsts)], ["node", "n", "place", "shingle", "first"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, place long, shingle long, first boolean")
+
+
+def uncompared(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that may be alike, among members of buckets that hold several components; none that is alike is missing."""
+    placed = buckets.select("bucket", "node")
+    placed = placed.withColumn("label", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = checkpoint(placed)
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("bucket")
+    left = checkpoint(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct())
+    theirs = checkpoint(sets.join(left.select("node"), "node", "left_semi"))
+    rare = checkpoint(prefixes(theirs, percent, rarity(theirs)).join(left, "node"))
+    across = rare.groupBy("shingle").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("shingle")
+    rare = checkpoint(rare.join(across, "shingle", "left_semi"))
+    side = lambda first, x: rare.where(F.col("first") == first).select("shingle", F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("place").alias(f"{x}_place"), F.col("label").alias(f"{x}_label"))
+    fits = F.expr(f"""x_label <> y_label AND (x_n < y_n OR x_n = y_n AND x_node < y_node) AND 100 * x_n >= {percent} * y_n
+      AND {100 + percent} * least(x_n - x_place, y_n - y_place) >= {percent} * (x_n + y_n)""")
+    met = side(True, "x").join(side(False, "y"), "shingle").where(fits)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -171,6 +240,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             break
         links = new if links is None else checkpoint(links.unionByName(new))
         labels = components(links)
+    # A star compares a bucket's members with one centre only; the others among them may be alike.
+    rest = uncompared(buckets, labels, sets, percent).join(compared, ["a", "b"], "left_anti")
+    new = checkpoint(confirmed(checkpoint(rest), sets, percent)).where("linked").select("a", "b")
+    if not new.isEmpty():
+        labels = components(checkpoint(links.unionByName(new)))
     labels = labels.withColumnRenamed("label", "component")
     classed = checkpoint(classes.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id")))
     found = signed.select("doc_id", *key).join(classed, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
