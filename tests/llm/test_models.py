@@ -72,6 +72,20 @@ def test_attention_scores_each_subword_once_and_sums_to_one():
     assert np.allclose(scorer(ids, other, starts)[0][:60], of[:60])
 
 
+def test_every_scored_subword_sees_sixteen_before_it():
+    size, random_ = 3 * CLASS, np.random.default_rng(4)
+    chances = random_.random((size, size))
+    p = fresh(size)
+    for k in ("v", "c", "i"):
+        p[k] = random_.normal(0, 1, p[k].shape).astype(np.float32)
+    scorer = Scorer(p, Pairs(chances / chances.sum(1, keepdims=True)), 1)
+    ids = random_.integers(0, size, 64)
+    before, other = np.append(0, ids[:-1]), np.append(0, ids[:-1])
+    other[16] = (other[16] + 1) % size
+    a, b = (scorer(ids, x, np.array([0]))[0] for x in (before, other))
+    assert (a[16:33] != b[16:33]).all()
+
+
 def test_attention_gradients():
     size, random_ = 2 * CLASS, np.random.default_rng(3)
     pairs = Pairs(np.full((size, size), 1 / size))
