@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm import decontaminate, edit_counts, lm, near_dedup, packing, quality, secrets, sharding, topk, toxicity
+from worklens.llm import decontaminate, edit_counts, licenses, lm, near_dedup, packing, periodic, prefix_trie, quality, secrets, sharding, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,54 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.word_counts(_table(spark, sf_dir, "documents")))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.col("base")["start"]).alias("first_word"), F.array_max(F.col("base")["start"]).alias("last_word"),
+        licenses.labels_of("base").alias("base_labels"), licenses.labels_of("base", "found").alias("labels"), licenses.score_of("found").alias("score"),
+    )
+
+
+def _repeated(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+    """Texts that from one word on repeat a few of their words; where and how many follows from a hash. NULL texts stay."""
+
+    def one(text: str | None, h: int) -> str | None:
+        words = text.encode().split() if text is not None else []
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[:a] + (words[a : a + p] * (n // p + 1))[: n - a]).decode()
+
+    return pd.Series([one(t, h) for t, h in zip(texts, hashes, strict=True)], dtype=object)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by hash first gets a tail that repeats some of its words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    repeated = F.pandas_udf(_repeated, "string")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(repeated(F.when(h % 10 == 0, F.col("text")), F.coalesce(h, F.lit(0))), "text").alias("text"))
+    found = periodic.periodic_runs(docs)
+    best, line = F.col("strongest"), lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations begin with up to three turns of another one of their twenty, chosen by a hash."""
+    own = prefix_trie.paths(_table(spark, sf_dir, "conversations"))
+    heads = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("family"), F.slice("path", 1, 3).alias("head"))
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    joined = own.withColumns({"family": F.expr("conv_id - conv_id % 20"), "shared": shared}).join(heads, "family", "left")
+    rest = F.expr("slice(path, shared + 1, size(path))")
+    return prefix_trie.prefix_trie(joined.select("conv_id", F.concat(F.coalesce(F.expr("slice(head, 1, shared)"), F.expr("slice(path, 1, 0)")), rest).alias("path")))
+
+
 #: Words of a text, in SQL: A-Z as a-z, parted by blank, tab, line feed, vertical tab, form feed, return.
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -107,6 +156,54 @@ def _sql_spans(kind: int, pattern: str, keep: str = "true") -> str:
       'a': ({total(f"{part(1)}[1:i]")} + {total(f"{part(2)}[1:i-1]")})::INT}}), lambda s: {keep}), lambda s: {{'start': s.a, 'kind': {kind}, 'end': (s.a + length(s.m))::INT}})"""
 
 
+#: CRC-32 of a number's decimal digits, in SQL, over a joined ``crc_table`` of 256 entries.
+_CRC_TABLE = "range(256)"
+for _ in range(8):
+    _CRC_TABLE = f"list_transform({_CRC_TABLE}, lambda x: xor(x >> 1, 3988292384 * (x & 1)))"
+
+
+def _sql_crc(column: str) -> str:
+    digits = f"list_transform(string_split({column}::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, d: xor(c >> 8, crc_table.t[(xor(c, d) & 255) + 1])), 4294967295)"
+
+
+_OP12 = f"""
+WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, {_sql_crc("doc_id")} AS h, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents, crc_table),
+p AS (SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM d),
+r AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i:
+    words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE words END AS words FROM p),
+w AS (SELECT doc_id, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM r),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same),
+stretch AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM island GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY 1, 2, 3),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min({{'s': start, 'l': length, 'p': period}}, {{'x': -length::DOUBLE / period, 's': start, 'p': period}}) AS best FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN runs r ON r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT r.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, (1000 * best.l) // best.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM r LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_OP13 = f"""
+WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (SELECT own.*, {_sql_crc("conv_id")} % 4 AS h FROM own, crc_table),
+built AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS path FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+reach AS (SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path FROM built),
+nodes AS (SELECT path[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM reach GROUP BY 1, 2),
+inner_nodes AS (SELECT n.*, count(c.depth) AS n_children, (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.p[n.depth].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN nodes c ON c.depth = n.depth + 1 AND c.p[1:n.depth] = n.p GROUP BY ALL),
+up AS (SELECT p, n_children, saved, unnest(range(0, depth + 1)) AS above FROM inner_nodes),
+under AS (SELECT p[1:above] AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY 1)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM inner_nodes n JOIN under u ON u.p = n.p LEFT JOIN nodes a ON a.depth = n.depth - 1 AND a.p = n.p[1:n.depth - 1]
+"""
+
 _KIND_NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
 _WRITTEN = lambda c: f"array_to_string(list_transform(list_sort({c}), lambda s: {_KIND_NAMES}[s.kind + 1] || ':' || s.start || ':' || s.\"end\"), ',')"
 _MIXED = "regexp_matches(s.m, '[a-z]') AND regexp_matches(s.m, '[A-Z]') AND regexp_matches(s.m, '[0-9][^0-9]*[0-9][^0-9]*[0-9]')"
@@ -122,6 +219,7 @@ SELECT doc_id, len(list_filter(base, lambda s: s.kind = 0))::BIGINT AS n_assign,
 """
 
 QUERIES = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_attention_scores, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op7_edited_counts, op8_decontaminate, op9_linked_secrets, op10_best_fit)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_attention_scores, op3_balanced_shards, op4_pairwise_quality, op5_exact_top_k, op6_toxicity, op7_edited_counts, op8_decontaminate, op9_linked_secrets, op10_best_fit,
+        op11_license_rules, op12_periodic_runs, op13_prefix_trie)
 }
-ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5, "op9_linked_secrets": _OP9}
+ORACLE = {"op1_minhash_near_dedup": _OP1, "op5_exact_top_k": _OP5, "op9_linked_secrets": _OP9, "op12_periodic_runs": _OP12, "op13_prefix_trie": _OP13}
