@@ -1,6 +1,7 @@
 """Filter report, ranks, streams and documents."""
 
 import json
+from random import Random
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from worklens.operators import filters, rank, runs, tracking
 from worklens.operators.filters import FilterOptions, Profile
 from worklens.plans import search
 from worklens.sinks import documents
+from worklens.streaming import breaker
 from worklens.streaming import watch as streams
 
 SF = "/root/testdata/sf0.001"
@@ -84,19 +86,36 @@ def test_seen_counts_stream(spark, tmp_path):
     assert {(r["url"], r["seen_count"]) for r in spark.sql("select * from seen_now").collect()} == {("u1", 2), ("u2", 1)}
 
 
-def test_breaker_in_parts_equals_whole(spark):
-    runs_ = [("a", float(i), i, ok) for i, ok in enumerate([True, False, False, False, False])]
-    runs_ += [("b", float(i), i, ok) for i, ok in enumerate([False, False, False, True, True])]
+def test_breaker_takes_runs_in_any_order(spark, tmp_path):
+    random = Random(4)
+    ends = {"a": [True, False, False, False, False], "b": [False, False, False, True, True], "c": [random.random() < 0.3 for _ in range(60)]}
+    rows = [(source, 1e6 + 700.0 * i, i, ok) for source, oks in ends.items() for i, ok in enumerate(oks)]
     schema = "source string, ts double, run_id bigint, ok boolean"
-    whole = spark.createDataFrame(runs_, schema)
-    want = runs.breaker_state(whole, F.lit(5.0)).orderBy("source").collect()
-    assert [(r["ok_streak"], r["fail_streak"], r["is_open"]) for r in want] == [(0, 4, True), (2, 0, False)]
-    state = spark.createDataFrame([], streams.STATE_SCHEMA)
-    for part in ([r for r in runs_ if r[2] < 2], [r for r in runs_ if r[2] == 2], [r for r in runs_ if r[2] > 2]):
-        state = streams.merge_breaker(state, spark.createDataFrame(part, schema))
-    got = state.orderBy("source").collect()
-    fields = ("source", "ok_streak", "fail_streak", "last_ok", "cooldown_until")
-    assert [tuple(r[f] for f in fields) for r in got] == [tuple(r[f] for f in fields) for r in want]
+    want = {r["source"]: tuple(r)[:5] for r in runs.breaker_state(spark.createDataFrame(rows, schema), F.lit(0.0)).collect()}
+    shuffled = random.sample(rows, len(rows))
+    for number in range(3):
+        # Each start goes on from the checkpoint; nothing is counted twice.
+        spark.createDataFrame(shuffled[number::3], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"landed={number}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "landed=*"))
+        with breaker.keyed_state(spark):
+            changes = breaker.breaker_changes(stream, "1 day").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            changes.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(breaker.CHANGES).parquet(str(tmp_path / "out"))
+    assert {r["source"]: tuple(r) for r in breaker.latest_state(out).collect()} == want
+
+
+def test_breaker_closes_by_timer(spark, tmp_path):
+    """The cooldown of a source ends though none of its runs follows: the watermark goes on with other sources."""
+    schema = "source string, ts double, run_id bigint, ok boolean"
+    parts = [[("a", 100.0 * i, i, False) for i in range(1, 5)], [("b", 2000.0, 9, True)], [("b", 2300.0, 10, True)]]
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"landed={number}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "landed=*"))
+        with breaker.keyed_state(spark):
+            changes = breaker.breaker_changes(stream, "10 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            changes.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(breaker.CHANGES).parquet(str(tmp_path / "out")).where("change <> 'state'").orderBy("seq").collect()
+    assert [(r["source"], r["change"], r["at"]) for r in out] == [("a", "opened", 300.0), ("a", "closed", 2200.0)]
 
 
 def test_watch_counts(spark):

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..session import shared_folder
+from ..session import checkpoint, shared_folder
 from ..sinks import documents
-from ..streaming import watch
+from ..streaming import breaker, watch
 from . import shapes
 from .ranking import CANDIDATE, OPTIONS, SCORED
 from .registry import query
@@ -51,18 +53,60 @@ def seen_stream(spark, sf_dir):
     return out.select("url", "first_row.*", "first_seen", "last_seen", "seen_count")
 
 
-@query("breaker_stream", with_(RUNS, body=f"SELECT source, ok_streak, fail_streak, last_ok, cooldown_until, cooldown_until > {LATE} AS is_open FROM state"))
-def breaker_stream(spark, sf_dir):
-    """Breaker state after a stream of runs; batches come in the order of time."""
+def _in_parts(rows: DataFrame, part: Column, folder: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Land ``rows`` in PARTS parts by number; after each, the stream starts from its checkpoint, takes what is new and ends.
+
+    So the order of the batches follows the data, not the times of files.
+    """
+    spark = rows.sparkSession
+    numbered = checkpoint(rows.withColumn("_part", part))
+    for number in range(PARTS):
+        numbered.where(F.col("_part") == number).drop("_part").write.parquet(f"{folder}/in/landed={number}")
+        run(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/landed=*")).awaitTermination()
+
+
+#: Runs land up to so many seconds after the next part's, and the watermark waits twice as long.
+DISORDER = 3600
+
+
+def _breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the breaker over a stream of runs that is out of order by up to DISORDER seconds."""
     folder = _folder(spark)
     rows = source_runs(spark, sf_dir).drop("errors")
-    ordered = rows.withColumn("at", F.format_string("%020.3f-%020d", "ts", "run_id"))
-    parts = ordered.repartitionByRange(PARTS, "at").write
-    parts.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("at")
-    watch.breaker(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    last = watch.last_version(spark, f"{folder}/out")
-    return last.select("source", "ok_streak", "fail_streak", "last_ok", "cooldown_until", (F.col("cooldown_until") > LATE).alias("is_open"))
+    landed = F.col("ts") + F.pmod(F.xxhash64("run_id"), F.lit(DISORDER))
+    low, high = rows.agg(F.min(landed), F.max(landed)).first()
+    width = ((high or 0) - (low or 0)) / PARTS + 1
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        changes = breaker.breaker_changes(stream, f"{2 * DISORDER} seconds")
+        with breaker.keyed_state(spark):
+            return changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+    _in_parts(rows, F.floor((landed - (low or 0)) / width).cast("int"), folder, run)
+    return spark.read.schema(breaker.CHANGES).parquet(f"{folder}/out")
+
+
+@query("breaker_stream", with_(RUNS, body=f"SELECT source, ok_streak, fail_streak, last_ok, cooldown_until, cooldown_until > {LATE} AS is_open FROM state"))
+def breaker_stream(spark, sf_dir):
+    """Breaker state after a stream of runs that come out of order."""
+    return breaker.latest_state(_breaker(spark, sf_dir)).withColumn("is_open", F.col("cooldown_until") > LATE)
+
+
+@query(
+    "breaker_changes",
+    with_(RUNS, body=f"""SELECT source, change, "at" FROM (
+      SELECT source, ts, unnest(list_filter([
+          CASE WHEN ok AND before_open AND before_until > ts THEN {{'change': 'closed', 'at': ts}} END,
+          CASE WHEN before_open AND before_until <= ts THEN {{'change': 'closed', 'at': before_until}} END,
+          CASE WHEN opens AND NOT (before_open AND before_until > ts) THEN {{'change': 'opened', 'at': ts}} END,
+          CASE WHEN next_ts IS NULL AND opens AND ts + 1800 <= mark THEN {{'change': 'closed', 'at': ts + 1800}} END], lambda x: x IS NOT NULL), recursive := true)
+      FROM (SELECT *, lag(opens, 1, false) OVER v AS before_open, lag(ts, 1, 0.0) OVER v + 1800 AS before_until, lead(ts) OVER v AS next_ts
+        FROM (SELECT *, NOT ok AND fail_no >= 3 AS opens, (SELECT max(ts) FROM source_runs) - {2 * DISORDER} AS mark FROM streaks) WHERE ts <= mark
+        WINDOW v AS (PARTITION BY source ORDER BY ts, run_id)))"""),
+)
+def breaker_changes(spark, sf_dir):
+    """When sources were opened and closed, by a success or by the end of their cooldown, up to the watermark."""
+    return _breaker(spark, sf_dir).where("change <> 'state'").select("source", "change", "at")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import importlib.util
 import os
 import shutil
@@ -86,6 +87,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing will read again; in a loop, disk then holds one round and not all."""
+    for df in frames:
+        node = df._jdf.queryExecution().analyzed()
+        file = node.rdd().getCheckpointFile() if node.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan refers to any more: it does so when the driver collects its garbage.
+
+    A driver that only plans makes so little of it that this may not happen for the whole of a loop of joins.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a bounded count shows the side is small; else leave the join to AQE."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

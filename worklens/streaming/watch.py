@@ -1,4 +1,4 @@
-"""Streaming forms: score a stream, watch for new postings, keep seen counts and breaker state.
+"""Streaming forms: score a stream, watch for new postings, keep seen counts.
 
 Row-wise steps run on the stream as they are. State that only grows by sums
 and extremes is a native streaming aggregation, kept incrementally in the
@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import fixed
 from ..functions.base import strip, text
-from ..operators import runs, tracking
+from ..operators import tracking
 from ..operators.filters import FilterOptions, Profile
 from ..plans import search
 from ..session import checkpoint
@@ -90,57 +89,3 @@ def watch(
         spark.createDataFrame(sorted(versions.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current/batch={number}")
 
     return postings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_at).trigger(availableNow=True).start()
-
-
-STATE_SCHEMA = "source string, ok_streak bigint, fail_streak bigint, last_ok double, cooldown_until double"
-
-
-def merge_breaker(before: DataFrame, batch: DataFrame) -> DataFrame:
-    """Breaker state after a batch of runs, given the state before it.
-
-    A batch that holds a run of the other kind restarts a streak; otherwise the
-    streak goes on. The batch itself is reduced by the batch operator, so a
-    source with most of the runs is no hot spot.
-    """
-    new = runs.breaker_state(batch, F.lit(0.0)).drop("is_open", "cooldown_until")
-    extra = batch.groupBy("source").agg(
-        F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_bad"),
-        F.max(F.when(~F.col("ok"), F.col("ts"))).alias("last_bad"),
-    )
-    b = before.select(*[F.col(c).alias("b_" + c) if c != "source" else F.col(c) for c in before.columns])
-    j = new.join(extra, "source").join(b, "source", "full_outer")
-    old = lambda n: F.coalesce(F.col("b_" + n), F.lit(0))
-    got = lambda n: F.coalesce(F.col(n), F.lit(0))
-    ok = F.when(got("n_bad") > 0, got("ok_streak")).otherwise(old("ok_streak") + got("n_ok"))
-    bad = F.when(got("n_ok") > 0, got("fail_streak")).otherwise(old("fail_streak") + got("n_bad"))
-    j = j.withColumns({"_ok": ok.cast("bigint"), "_bad": bad.cast("bigint")})
-    until = (
-        F.when(F.col("_bad") == 0, 0.0)
-        .when((F.col("_bad") >= fixed.BREAKER_FAILURES) & (got("n_bad") > 0), F.col("last_bad") + fixed.BREAKER_COOLDOWN)
-        .when(got("n_ok") > 0, 0.0).otherwise(old("cooldown_until"))
-    )
-    return j.select(
-        "source", F.col("_ok").alias("ok_streak"), F.col("_bad").alias("fail_streak"),
-        F.when(got("n_ok") > 0, got("last_ok")).otherwise(old("last_ok")).cast("double").alias("last_ok"),
-        until.cast("double").alias("cooldown_until"),
-    )
-
-
-def last_version(spark: SparkSession, folder: str) -> DataFrame:
-    """The state that the last batch of a breaker wrote."""
-    number = spark.read.parquet(folder).agg(F.max("version")).first()[0]
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/version={number}")
-
-
-def breaker(source_runs: DataFrame, folder: str, checkpoint_at: str) -> StreamingQuery:
-    """Keep the breaker state of a stream of runs; a source is open while its cooldown lies ahead."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = (
-            spark.createDataFrame([], STATE_SCHEMA) if number == 0
-            else spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/version={number - 1}")
-        )
-        merge_breaker(before, batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return source_runs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_at).trigger(availableNow=True).start()
