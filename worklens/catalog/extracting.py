@@ -9,7 +9,7 @@ from ..operators import profiles, scorer
 from . import shapes
 from .normalizing import q
 from .registry import query
-from .shapes import POSTINGS, PROFILES, pick, sql_list, sql_pick, table, with_
+from .shapes import PAIRS, POSTINGS, PROFILES, pick, sql_list, sql_pick, table, with_
 
 RAW_TITLES = [
     "DevOps Engineer - LinkedIn", "Acme is hiring Data Engineer in Pune", "Platform Engineer | Acme - Indeed.com",
@@ -82,15 +82,19 @@ _NOT_NAME = sql_list(fixed.TLD_LABELS + fixed.GENERIC_HOST_LABELS)
 _PLATFORM = sql_list(fixed.PLATFORM_LABELS)
 
 
+#: From the labels ``l`` of a host: those that may name its company, and the name.
+_HOST_PARTS = f"""list_filter(l, lambda x: NOT list_contains({_NOT_NAME}, x) AND NOT regexp_full_match(x, 'wd[0-9]+')) AS rest,
+        list_filter(l[1:len(l) - 1], lambda x: NOT list_contains({_NOT_NAME}, x) AND NOT regexp_full_match(x, 'wd[0-9]+')
+          AND NOT list_contains({_PLATFORM}, x)) AS named"""
+_HOST_COMPANY = f"""CASE WHEN len(named) > 0 THEN {sql_title_case('named[1]')}
+        WHEN len(list_filter(rest, lambda x: NOT list_contains({_PLATFORM}, x))) = 0 THEN ''
+        ELSE {sql_title_case('rest[-1]')} END"""
+
+
 @query(
     "company_from_host",
     f"""WITH h AS (SELECT c_custkey, {_labels(sql_pick(HOSTS, 'c_custkey'))} AS l FROM customer),
-      n AS (SELECT c_custkey, l, list_filter(l, lambda x: NOT list_contains({_NOT_NAME}, x) AND NOT regexp_full_match(x, 'wd[0-9]+')) AS rest,
-        list_filter(l[1:len(l) - 1], lambda x: NOT list_contains({_NOT_NAME}, x) AND NOT regexp_full_match(x, 'wd[0-9]+')
-          AND NOT list_contains({_PLATFORM}, x)) AS named FROM h)
-      SELECT c_custkey, CASE WHEN len(named) > 0 THEN {sql_title_case('named[1]')}
-        WHEN len(list_filter(rest, lambda x: NOT list_contains({_PLATFORM}, x))) = 0 THEN ''
-        ELSE {sql_title_case('rest[-1]')} END AS company FROM n""",
+      n AS (SELECT c_custkey, l, {_HOST_PARTS} FROM h) SELECT c_custkey, {_HOST_COMPANY} AS company FROM n""",
 )
 def company_from_host(spark, sf_dir):
     k = F.col("c_custkey")
@@ -222,10 +226,10 @@ SECRETS = [
     rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '([A-Za-z][A-Za-z0-9+.\-]{{0,19}}://)[^/\s@]+@', '\1***@', 'g'),
         '(^|[^A-Za-z0-9._%+\-:/@])([^:/\s@]+:[^/\s@]+@)([A-Za-z0-9.\-\[])', '\1***@\3', 'g'),
         '([?&#](?:access[_-]?token|auth[_-]?token|token|bearer|api[_-]?key|key|password|passwd|secret|signature|sig|session(?:id)?|cookie|credential)=)[^&#\s]*', '\1***', 'gi') AS redacted
-      FROM (SELECT doc_id, lang || {sql_pick(SECRETS, 'doc_id')} AS t FROM documents)""",
+      FROM (SELECT doc_id, text || {sql_pick(SECRETS, 'doc_id')} AS t FROM documents)""",
 )
 def redacted_text(spark, sf_dir):
-    t = F.concat(F.col("lang"), pick(SECRETS, F.col("doc_id")))
+    t = F.concat(F.col("text"), pick(SECRETS, F.col("doc_id")))
     return table(spark, sf_dir, "documents").select("doc_id", urls.redact(t).alias("redacted"))
 
 
@@ -371,25 +375,23 @@ def scorer_verdicts(spark, sf_dir):
 
 @query(
     "prompt_rows",
-    with_(POSTINGS, PROFILES, body="""SELECT profile_id, posting_id, '- Current Title: ' || COALESCE(nullif(p_title, ''), p_headline) || chr(10) ||
+    with_(POSTINGS, PROFILES, PAIRS, body="""SELECT profile_id, posting_id, '- Current Title: ' || COALESCE(nullif(p_title, ''), p_headline) || chr(10) ||
       '- Headline: ' || p_headline || chr(10) || '- Skills: ' || COALESCE(nullif(array_to_string(p_skills, ', '), ''), 'None specified') || chr(10) ||
       '- Experience: ' || COALESCE(nullif(p_experience, ''), 'Not specified') || ' years' || chr(10) || '- Summary: ' || chr(10) ||
       '- Preferred Location: ' || p_location || chr(10) || '- Title: ' || title || chr(10) || '- Company: ' || company || chr(10) ||
       '- Location: ' || location || chr(10) || '- Salary: ' || salary || chr(10) || '- Description: ' || description AS prompt_facts
-      FROM postings JOIN profiles ON profile_id = posting_id"""),
+      FROM pairs JOIN postings USING (posting_id) JOIN profiles USING (profile_id)"""),
 )
 def prompt_rows(spark, sf_dir):
-    pairs = shapes.postings(spark, sf_dir).join(
-        shapes.profiles(spark, sf_dir).withColumn("p_summary", F.lit("")), F.col("posting_id") == F.col("profile_id")
-    )
+    pairs = shapes.pairs(spark, sf_dir, shapes.postings(spark, sf_dir), shapes.profiles(spark, sf_dir).withColumn("p_summary", F.lit("")))
     return scorer.prompt_rows(pairs).select("profile_id", "posting_id", "prompt_facts")
 
 
 @query(
     "plugged_scorer",
-    with_(POSTINGS, PROFILES, body="""SELECT profile_id, posting_id, least(10 * (length(s) - length(replace(s, 'Engineer', ''))) / 8, 100)::DOUBLE AS score
+    with_(POSTINGS, PROFILES, PAIRS, body="""SELECT profile_id, posting_id, least(10 * (length(s) - length(replace(s, 'Engineer', ''))) / 8, 100)::DOUBLE AS score
       FROM (SELECT *, COALESCE(nullif(p_title, ''), p_headline) || ' ' || p_headline || ' ' || array_to_string(p_skills, ' ') || ' ' || p_location || ' ' || title || ' '
-        || company || ' ' || location || ' ' || salary || ' ' || description AS s FROM postings JOIN profiles ON profile_id = posting_id)"""),
+        || company || ' ' || location || ' ' || salary || ' ' || description AS s FROM pairs JOIN postings USING (posting_id) JOIN profiles USING (profile_id))"""),
 )
 def plugged_scorer(spark, sf_dir):
     """A user scorer over Arrow batches: here the share of engineering words in the prompt."""

@@ -10,7 +10,7 @@ from ..operators.filters import FilterOptions, Profile, ProfileColumns
 from . import shapes
 from .normalizing import NORMALIZED, normalized, q
 from .registry import query
-from .shapes import AS_OF, PROFILES, as_of, pick, sql_list, sql_pick, table, with_
+from .shapes import AS_OF, PAIRS, PROFILES, as_of, pick, sql_list, sql_pick, table, with_
 
 CANDIDATE = Profile(
     title="Platform Engineer", headline="DevOps Engineer", location="Pune, Bengaluru", experience="4",
@@ -155,13 +155,13 @@ _PREFS = "prefs(place, cities, regions) AS (VALUES " + ", ".join(
 @query(
     "filter_report_by_profile",
     with_(
-        NORMALIZED, PROFILES, _PREFS, _STAGE_ROWS,
+        NORMALIZED, PROFILES, PAIRS, _PREFS, _STAGE_ROWS,
         f"""paired AS (
-          SELECT n.*, f.profile_id, f.p_min_salary, f.p_remote_preference AS pref, s.cities, s.regions,
+          SELECT n.*, pairs.profile_id, f.p_min_salary, f.p_remote_preference AS pref, s.cities, s.regions,
             CASE WHEN len(f.p_must_have_skills) = 0 THEN NULL ELSE len(list_filter(f.p_must_have_skills, lambda x:
               CASE x {' '.join("WHEN " + q(s) + " THEN " + sql_has_skill(_BODY, s) for s in shapes.SKILL_POOL)}
               ELSE false END)) END AS hits
-          FROM normalized n JOIN profiles f ON f.profile_id = n.posting_id JOIN prefs s ON s.place = f.p_location),
+          FROM pairs JOIN normalized n USING (posting_id) JOIN profiles f USING (profile_id) JOIN prefs s ON s.place = f.p_location),
         staged AS (SELECT p_remote_preference_group, drop_stage, listed_epoch, salary_int, p_min_salary FROM (
           SELECT *, pref AS p_remote_preference_group,
             {sql_stage(30, 'p_min_salary', 'hits', 'cities', 'regions', 'pref')} AS drop_stage FROM paired))""",
@@ -171,10 +171,8 @@ _PREFS = "prefs(place, cities, regions) AS (VALUES " + ", ".join(
     ),
 )
 def filter_report_by_profile(spark, sf_dir):
-    """Each posting is judged by the profile of the same key; one report per preference."""
-    pairs = normalized(spark, sf_dir).join(
-        filters.prepare(shapes.profiles(spark, sf_dir)), F.col("posting_id") == F.col("profile_id")
-    )
+    """Each posting is judged by profiles chosen by its number; one report per preference."""
+    pairs = shapes.pairs(spark, sf_dir, normalized(spark, sf_dir), filters.prepare(shapes.profiles(spark, sf_dir)))
     judged = filters.mark_stages(pairs, ProfileColumns.of(), OPTIONS, as_of())
     return filters.report(judged, ["p_remote_preference"]).select(
         "p_remote_preference", "stage", "name", "kept", "dropped"

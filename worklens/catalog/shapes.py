@@ -146,5 +146,18 @@ profiles AS (
 )"""
 
 
+def pairs(spark: SparkSession, sf_dir: str, postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every posting with one profile and every profile with one posting, by the numbers of the other table; no row is left out."""
+    n, m = table(spark, sf_dir, "customer").count(), table(spark, sf_dir, "documents").count()
+    mine = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), (F.col("doc_id") % max(n, 1)).alias("profile_id"))
+    theirs = table(spark, sf_dir, "customer").select((F.col("c_custkey") % max(m, 1)).alias("posting_id"), F.col("c_custkey").alias("profile_id"))
+    return mine.unionByName(theirs).distinct().join(postings, "posting_id").join(profiles, "profile_id")
+
+
+PAIRS = """
+pairs AS (SELECT doc_id AS posting_id, doc_id % (SELECT count(*) FROM customer) AS profile_id FROM documents
+  UNION SELECT c_custkey % (SELECT count(*) FROM documents), c_custkey FROM customer)"""
+
+
 def with_(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body

@@ -9,7 +9,9 @@ from ..operators import enrich
 from ..sources import hits as web
 from ..sources import payloads, union
 from . import shapes
-from .extracting import RAW_TITLES, SNIPPETS, _BOARD, _WEB, rendered_pages, sql_first
+from .extracting import (
+    _BOARD, _COMPANY1, _COMPANY2, _HOST_COMPANY, _HOST_PARTS, _SKIP, _WEB, RAW_TITLES, SNIPPETS, rendered_pages, sql_company, sql_first, sql_title_case,
+)
 from .filtering import (
     CRAWL, SQL_ALIVE, SQL_HOMEPAGE, SQL_SEARCH_PAGE, crawl, sql_any, sql_relevant, sql_snippet_old,
 )
@@ -164,8 +166,8 @@ def recovered_titles(spark, sf_dir):
         F.when(k % 6 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.when(k % 5 > 0, "Pune").otherwise("").alias("location"),
         F.lit("").alias("salary"),
     )
-    details = part.filter(k % 4 < 3).select(
-        k.cast("string").alias("id"), F.concat(F.lit("Detail "), k.cast("string")).alias("title"), F.lit("Delhi").alias("location"),
+    details = part.select(
+        F.when(k % 4 < 3, k.cast("string")).otherwise(F.concat(F.lit("other-"), k.cast("string"))).alias("id"), F.concat(F.lit("Detail "), k.cast("string")).alias("title"), F.lit("Delhi").alias("location"),
         F.lit("₹1").alias("salary"), F.lit("").alias("description"), F.lit("").alias("job_type"),
     )
     return payloads.recover_titles(rows, details, ["payload_id"]).select("payload_id", "position_no", "title", "location")
@@ -332,31 +334,48 @@ gated AS (SELECT * FROM hit_rows WHERE title <> '' AND NOT ({SQL_HOMEPAGE}) AND
 def _sql_hits(cleaned: str) -> str:
     return HIT_ROWS + f""",
 pre AS (SELECT *, {_BOARD} AS board FROM gated),
-cleaned AS (SELECT run_id, site_no, hit_id, {cleaned} AS title, href, body FROM pre),
+cleaned AS (SELECT run_id, site_no, hit_id, title AS raw_title, {cleaned} AS title, href, body FROM pre),
 named AS (SELECT * FROM cleaned WHERE title <> '' AND NOT {SQL_SEARCH_PAGE}),
 taken AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY run_id, href ORDER BY hit_id) = 1)"""
 
 
-@query("keyword_hits", with_(_sql_hits(sql_first(_WEB)), body="SELECT run_id, hit_id, title, href AS url, body AS description FROM taken"))
+def _sql_places(everything: str) -> str:
+    """Places of the rows of ``taken``: a known city anywhere in them."""
+    return f"spoken AS (SELECT *, {everything} AS everything FROM taken), " + CITY_KEYS + "," + sql_city_map("m", "spoken", "everything", tuple(fixed.FREE_TEXT_EXCLUDED), False)
+
+
+_PLACE = "CASE WHEN m.city <> '' THEN m.city ELSE 'Remote / Unspecified' END AS location"
+_NAMED = r"""named_by AS (SELECT *, body AS snippet, list_filter(string_split(regexp_replace(lower(regexp_extract(href, '^https?://([^/]+)', 1)), '^www[0-9]*\.', ''), '.'),
+  lambda x: NOT list_contains(""" + _SKIP + r""", x))[1] AS label FROM spoken)"""
+_COMPANY = f"""COALESCE({sql_company(_COMPANY1)}, {sql_company(_COMPANY2)},
+  nullif(trim(regexp_extract(raw_title, '^([A-Z][A-Za-z0-9\\s&.]+?)\\s+(?:is\\s+)?hiring\\s+', 1, 'i')), ''), {sql_title_case('label')}) AS company"""
+
+
+@query(
+    "keyword_hits",
+    with_(_sql_hits(sql_first(_WEB)), _sql_places("raw_title || ' ' || href || ' ' || body"), _NAMED,
+        body=f"SELECT run_id, hit_id, title, href AS url, body AS description, {_COMPANY}, {_PLACE} FROM named_by n LEFT JOIN m ON n.everything = m.raw"),
+)
 def keyword_hits(spark, sf_dir):
     rows = web.web_keyword(hit_rows(spark, sf_dir), F.lit("DevOps Engineer"), F.lit("Pune"), 7, as_of(), ["run_id"])
-    return rows.select("run_id", "hit_id", "title", "url", "description")
+    return rows.select("run_id", "hit_id", "title", "url", "description", "company", "location")
 
 
 def companies(spark, sf_dir):
     """Company dimension from the suppliers; the domains are suffixes of the page hosts by rule."""
     site = F.regexp_replace(F.regexp_extract("url", r"^https?://([^/]+)", 1), r"^www\.", "")
     k = F.col("page_id")
-    return table(spark, sf_dir, "pages").filter(k % 3 < 2).select(
+    return table(spark, sf_dir, "pages").select(
         k.alias("ord"), F.concat(F.lit("Company "), k.cast("string")).alias("company"),
-        F.when(k % 3 == 0, F.concat(F.lit("www."), site)).otherwise(F.concat(F.lit("careers."), site)).alias("domain"),
+        F.when(k % 3 == 0, F.concat(F.lit("www."), site)).when(k % 3 == 1, F.concat(F.lit("careers."), site))
+        .otherwise(F.concat(F.lit("unmet-"), k.cast("string"), F.lit(".example"))).alias("domain"),
     )
 
 
 COMPANIES = r"""
 companies AS (SELECT page_id AS ord, 'Company ' || page_id AS company,
-  CASE WHEN page_id % 3 = 0 THEN '' ELSE 'careers.' END || regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^www\.', '') AS domain
-  FROM pages WHERE page_id % 3 < 2),
+  CASE WHEN page_id % 3 = 2 THEN 'unmet-' || page_id || '.example' ELSE CASE WHEN page_id % 3 = 0 THEN '' ELSE 'careers.' END
+    || regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^www\.', '') END AS domain FROM pages),
 hosts AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '^www\.', '') AS host FROM pages),
 owners AS (SELECT host, first(company ORDER BY ord) AS company FROM hosts JOIN companies
   ON host = domain OR ends_with(host, '.' || domain) OR ends_with(domain, '.' || host) GROUP BY host)"""
@@ -376,22 +395,26 @@ def company_by_domain(spark, sf_dir):
 
 @query(
     "board_hits",
-    with_(COMPANIES, _sql_hits(sql_first("board")), body=r"""SELECT run_id, hit_id, title, href AS url, o.company FROM taken
+    with_(COMPANIES, _sql_hits(sql_first("board")), _sql_places("raw_title || ' ' || body"), body=rf"""SELECT run_id, hit_id, title, href AS url, o.company, body AS description, {_PLACE} FROM spoken LEFT JOIN m ON everything = m.raw
       LEFT JOIN owners o ON o.host = regexp_replace(lower(regexp_extract(href, '^https?://([^/]+)', 1)), '^www\.', '')"""),
 )
 def board_hits(spark, sf_dir):
     rows = web.career_boards(
         hit_rows(spark, sf_dir), companies(spark, sf_dir), F.lit("DevOps Engineer"), F.lit("Pune"), 7, as_of(), ["run_id"]
     )
-    return rows.select("run_id", "hit_id", "title", "url", "company")
+    return rows.select("run_id", "hit_id", "title", "url", "company", "description", "location")
 
 
 @query(
     "semantic_hits",
     with_(CRAWL, f"""raw AS (SELECT page_id, {sql_pick(RAW_TITLES, 'page_id')} AS title, url AS href, url, status, final_url, body,
         CASE page_id % 3 WHEN 0 THEN '2024-01-29T10:00:00Z' WHEN 1 THEN '2023-12-01' ELSE '' END AS published FROM crawl),
-      pre AS (SELECT *, {_BOARD} AS board FROM raw), named AS (SELECT * REPLACE ({sql_first(_WEB)} AS title) FROM pre)""",
-        body=f"""SELECT page_id AS hit_id, title, url, substr(published, 1, 10) AS listed FROM named WHERE title <> '' AND NOT ({SQL_HOMEPAGE})
+      pre AS (SELECT *, {_BOARD} AS board FROM raw), named AS (SELECT * REPLACE ({sql_first(_WEB)} AS title) FROM pre),
+      l AS (SELECT *, string_split(regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '^www[0-9]*\\.', ''), '.') AS l FROM named),
+      spoken AS (SELECT *, title || ' ' || url || ' ' || body AS everything, {_HOST_PARTS} FROM l)""",
+        CITY_KEYS, sql_city_map("m", "spoken", "everything", tuple(fixed.FREE_TEXT_EXCLUDED), False),
+        body=f"""SELECT page_id AS hit_id, title, url, substr(published, 1, 10) AS listed, page_id / 100 AS score, body AS description,
+          COALESCE(nullif({_HOST_COMPANY}, ''), 'N') AS company, {_PLACE} FROM spoken LEFT JOIN m ON everything = m.raw WHERE title <> '' AND NOT ({SQL_HOMEPAGE})
           AND {sql_relevant('title', ['devops', 'engineer', 'pune'])} AND NOT {sql_any('title', fixed.NON_POSTING_TITLES)}
           AND page_id % 3 <> 1 AND {SQL_ALIVE}"""),
 )
@@ -404,7 +427,7 @@ def semantic_hits(spark, sf_dir):
         F.lit("N").alias("author"), (k / 100).alias("score"),
     )
     out = web.web_semantic(rows, c.select("url", "status", "final_url", "body"), F.lit("DevOps Engineer"), F.lit("Pune"), 7, as_of(), ["run_id"])
-    return out.select("hit_id", "title", "url", "listed")
+    return out.select("hit_id", "title", "url", "listed", "score", "description", "company", "location")
 
 
 @query("live_postings", with_(CRAWL, body=f"SELECT page_id FROM crawl WHERE {SQL_ALIVE}"))
@@ -528,7 +551,8 @@ def posting_page_fields(spark, sf_dir):
 )
 def page_merge(spark, sf_dir):
     pages_ = posting_pages(spark, sf_dir)
-    parsed = payloads.posting_page(pages_.filter(F.col("page_id") % 5 < 4))
+    missed = F.when(F.col("page_id") % 5 == 4, F.concat("url", F.lit("?other"))).otherwise(F.col("url"))
+    parsed = payloads.posting_page(pages_).withColumn("url", missed)
     rows = pages_.select(
         F.col("page_id").alias("posting_id"), F.floor(F.col("page_id") / 20).alias("batch"), "url", F.lit("snippet title").alias("title"),
         F.lit("").alias("company"), F.lit("Pune").alias("location"), F.lit("s").alias("description"), F.lit("snippet").alias("data_quality"),
