@@ -24,11 +24,35 @@ def key(s):
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", s)).strip()
 
 
+def ratio(a, b):
+    size = len(a) + len(b)
+    return 100.0 if size == 0 else 200.0 * similarity.lcs(a, b) / size
+
+
+def token_sort(a, b):
+    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def token_set(a, b):
+    """Best ratio among the common words alone and with the rest of either side; 0 when a side is empty."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0 if x or y else 100.0
+    common, rest_x, rest_y = x & y, " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if common and (not rest_x or not rest_y):
+        return 100.0
+    whole = [" ".join([*sorted(common), *([rest] if rest else [])]) for rest in (rest_x, rest_y)]
+    base = " ".join(sorted(common))
+    n = len(whole[0]) + len(whole[1])
+    best = 100.0 - 100.0 * (len(rest_x) + len(rest_y) - 2 * similarity.lcs(rest_x, rest_y)) / n
+    return max(best, *(100.0 - 100.0 * (len(w) - len(base)) / (len(base) + len(w)) for w in whole)) if base else best
+
+
 def greedy(rows):
     kept = []
     for i, title, company in rows:
         t, c = key(title), key(company)
-        if not any(similarity.token_sort(t, u) >= 82 and similarity.company_ratio(c, d) >= 88 for _, u, d in kept):
+        if not any(token_sort(t, u) >= 82 and token_set(c, d) >= 88 for _, u, d in kept):
             kept.append((i, t, c))
     return [i for i, _, _ in kept]
 
@@ -96,12 +120,21 @@ def test_similar_names_share_keys():
     for _ in range(60000):
         a = " ".join(sorted(key(spelled(rng, words)).split()))
         b = " ".join(sorted(key(spelled(rng, words) if rng.random() < 0.5 else a + rng.choice("abz")).split()))
-        if similarity.ratio(a, b) >= 82 and min(len(a), len(b)) > 2:
+        if ratio(a, b) >= 82 and min(len(a), len(b)) > 2:
             titles += 1
             order = lambda t: sorted(grams(t))[: int(len(t) * 0.72 / 1.18) + 1]
             assert set(order(a)) & set(order(b)), (a, b)
-        if a and b and similarity.company_ratio(a, b) >= 88:
+        if a and b and token_set(a, b) >= 88:
             companies += 1
             met = set(pieces(a)) & set(pieces(b)) or probes(a) & set(b.split()) or probes(b) & set(a.split())
             assert met, (a, b)
     assert titles > 1000 and companies > 1000
+
+
+def test_many_pairs_at_once():
+    rng = random.Random(9)
+    text = lambda most: "".join(rng.choice("abc é") for _ in range(rng.randint(0, most)))
+    a, b = [text(rng.choice([3, 20, 64, 90])) for _ in range(400)], [text(rng.choice([3, 20, 64, 90])) for _ in range(400)]
+    assert similarity.lcs_many(a, b).tolist() == [similarity.lcs(x, y) for x, y in zip(a, b)]
+    assert similarity.token_sorts(a, b).tolist() == [token_sort(x, y) for x, y in zip(a, b)]
+    assert similarity.company_ratios(a, b).round(9).tolist() == [round(token_set(x, y), 9) for x, y in zip(a, b)]

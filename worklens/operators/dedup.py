@@ -28,10 +28,8 @@ of connected rows would be wrong. The plan:
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import fixed, similarity
 from ..functions.base import text
@@ -119,16 +117,8 @@ def similar_titles(titles: DataFrame, threshold: float, strict: bool = False, bl
         return own
     most = F.floor(F.length("s") * _share(threshold)) + 1
     keyed = titles.filter(F.length("s") > 2).withColumn("keys", _rare_first(_numbered_bigrams(F.col("s")), counts, most))
-
-    @pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> bool:
-            r = similarity.ratio(x, y)
-            return r > threshold if strict else r >= threshold
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="bool")
-
-    pairs = checkpoint(_meeting(keyed, threshold, block).filter(similar("x", "y")))
+    measured = similarity.plain_ratio(F.col("x"), F.col("y"))
+    pairs = checkpoint(_meeting(keyed, threshold, block).filter(measured > threshold if strict else measured >= threshold))
     return _both_ways(pairs, own)
 
 
@@ -180,13 +170,8 @@ def similar_names(names: DataFrame, threshold: float, block: int = BLOCK) -> Dat
         return own
     most = F.floor(F.length("s") * _share(threshold)) + 1
     keyed = real.withColumn("keys", _rare_first(_word_bigrams(F.col("s")), counts, most))
-
-    @pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity.company_ratio(x, y) >= threshold for x, y in zip(a, b)], dtype="bool")
-
     met = _meeting(keyed, threshold, block).unionByName(_by_words(real, block)).distinct()
-    return _both_ways(checkpoint(met.filter(similar("x", "y"))), own)
+    return _both_ways(checkpoint(met.filter(similarity.name_ratio(F.col("x"), F.col("y")) >= threshold)), own)
 
 
 def similar_nodes(nodes: DataFrame, scope: list[str], titles: DataFrame, companies: DataFrame) -> DataFrame:
