@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.session import checkpoint
+from worklens.session import checkpoint, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,11 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = checkpoint(pairs.distinct())
     labels = checkpoint(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
-        offered = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
+        offered = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
         lower = labels.join(offered, "node").select("node", F.least("label", "offer").alias("near"), F.col("label").alias("was"))
         lower = checkpoint(lower)
         jumped = lower.join(lower.select(F.col("node").alias("near"), F.col("near").alias("far")), "near", "left")
-        labels = checkpoint(jumped.select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "was"))
-        if labels.where("label <> was").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        before, after = labels, checkpoint(jumped.select("node", F.least("near", F.coalesce("far", "near")).alias("label"), "was"))
+        release(before, lower)
+        if after.where("label <> was").isEmpty():
+            release(pairs)
+            return after.drop("was")
+        labels = after

@@ -1,11 +1,10 @@
 """MinHash near duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidates.
 
 Rows with equal shingle sets collapse first, so a group of copies costs one
-row. In every bucket the members are compared with one centre only (a star), first
-with the member that meets most others over all bands. Candidates are confirmed on full sets. Stars go on,
-with centres by chance, over members that are still in different components of a
-bucket, until a round over all bands links nothing more. What then still shares a bucket across components
-is compared exactly, by a join on the rarest shingles of each set (a prefix filter).
+row. In every bucket the members are compared with one centre only (a star): the
+member that meets most others over all bands. Candidates are confirmed on full sets. Members
+that still share a bucket across components are compared exactly, by a join on the rarest
+shingles of each set (a prefix filter), so no bucket hides a pair.
 """
 
 from __future__ import annotations
@@ -20,13 +19,10 @@ from pyspark.sql import functions as F
 
 from worklens.llm.components import components
 from worklens.llm.words import chunks, mix
-from worklens.session import checkpoint
+from worklens.session import checkpoint, release, sweep
 
 #: Bands and values per band: a pair of similarity 0.8 misses all 32 bands with probability 5e-8.
 BANDS, ROWS = 32, 4
-#: Bands of the first round; later rounds use all, over pairs that are not yet connected.
-FIRST = 4
-
 _PROBES = 64
 #: Shingles are put in order of rarity by counts of so many hashed bins; the order decides only how many candidates arise.
 _BINS = 1 << 18
@@ -149,48 +145,57 @@ def rarity(sets: DataFrame) -> np.ndarray:
     return counts
 
 
+#: Rows of one shingle that meet each other in one task; more are dealt to a square of tiles.
+TILE = 2048
+
+
 def prefixes(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
-    """(node, n, place, shingle, first): of each set of n shingles, rarest first, those that a pair can have as its first in common.
+    """(node, n, place, shingle): of each set of n shingles, rarest first, those that a pair can have as its first in common.
 
-    Two sets of n <= m shingles with ``percent`` in common share percent (n + m) / (100 + percent) shingles, so as many of the
-    smaller set (``first``) and of the larger lie at or behind the place of the first one in common.
+    Of two sets with ``percent`` in common the smaller one has percent n / 100 shingles in common at least, so as
+    many of it lie at or behind the place of the first one in common.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, places, found, firsts = [], [], [], [], []
+            nodes, sizes, places, found = [], [], [], []
             for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.frombuffer(x.as_buffer(), np.uint64)
                 n = len(x)
-                long, short = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                long = n - -(-percent * n // 100) + 1
                 rare = x[np.lexsort((x, counts[_bins_of(x)]))[:long]]
-                for length, first in ((long, False), (short, True)):
-                    nodes.append(np.full(length, node, np.int64))
-                    sizes.append(np.full(length, n, np.int64))
-                    places.append(np.arange(length))
-                    found.append(rare[:length].view(np.int64))
-                    firsts.append(np.full(length, first))
+                nodes.append(np.full(long, node, np.int64))
+                sizes.append(np.full(long, n, np.int64))
+                places.append(np.arange(long))
+                found.append(rare.view(np.int64))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, sizes, places, found, firsts)], ["node", "n", "place", "shingle", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, sizes, places, found)], ["node", "n", "place", "shingle"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, place long, shingle long, first boolean")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, place long, shingle long")
 
 
-def uncompared(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+def uncompared(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs that may be alike, among members of buckets that hold several components; none that is alike is missing."""
-    placed = buckets.select("bucket", "node")
-    placed = placed.withColumn("label", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = checkpoint(placed)
+    placed = checkpoint(buckets.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("bucket")
     left = checkpoint(placed.join(mixed, "bucket", "left_semi").select("node", "label").distinct())
+    release(placed)
     theirs = checkpoint(sets.join(left.select("node"), "node", "left_semi"))
     rare = checkpoint(prefixes(theirs, percent, rarity(theirs)).join(left, "node"))
-    across = rare.groupBy("shingle").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("shingle")
-    rare = checkpoint(rare.join(across, "shingle", "left_semi"))
-    side = lambda first, x: rare.where(F.col("first") == first).select("shingle", F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("place").alias(f"{x}_place"), F.col("label").alias(f"{x}_label"))
+    release(theirs, left)
+    held = rare.groupBy("shingle").agg(F.min("label").alias("lowest"), F.max("label").alias("highest"), F.count("*").alias("held"))
+    across = held.where("lowest < highest").select("shingle", F.ceil(F.col("held") / TILE).cast("int").alias("tiles"))
+    tiled = checkpoint(rare.join(across, "shingle"))
+    release(rare)
+    sweep(sets.sparkSession)
+    # A row of a common shingle has one place on its own side of the square and meets all on the other.
+    own, other = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    side = lambda x, tiles: tiled.select("shingle", *tiles, *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "place", "label")))
+    # The smaller set shares 2 percent n / (100 + percent) shingles with one that is not smaller: its prefix is shorter.
+    first = side("x", (own.alias("i"), other.alias("j"))).where(f"x_place < x_n - ceil({2 * percent} * x_n / {100 + percent}) + 1")
     fits = F.expr(f"""x_label <> y_label AND (x_n < y_n OR x_n = y_n AND x_node < y_node) AND 100 * x_n >= {percent} * y_n
       AND {100 + percent} * least(x_n - x_place, y_n - y_place) >= {percent} * (x_n + y_n)""")
-    met = side(True, "x").join(side(False, "y"), "shingle").where(fits)
+    met = first.join(side("y", (other.alias("i"), own.alias("j"))), ["shingle", "i", "j"]).where(fits)
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
@@ -209,42 +214,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     key = ["n_shingles", "low", "high"]
     classes = checkpoint(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")))
     nodes = signed.dropDuplicates(["doc_id"]).join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    buckets = checkpoint(nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("bands").alias("band", "bucket")))
+    every = checkpoint(nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("bands").alias("band", "bucket")))
     # Only buckets of two or more can link anything.
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = checkpoint(buckets.join(checkpoint(shared), "bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    common = checkpoint(every.join(shared, "bucket"))
     # The text that copies were made from meets more of them than they meet each other: it is the best centre.
-    met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
-    buckets = checkpoint(buckets.drop("n").join(met, "node"))
-    sets = checkpoint(sets_of(named.dropDuplicates(["doc_id"]).join(checkpoint(buckets.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi"), words))
-    links = compared = labels = None
-    turn = 0
-    while True:
-        turn += 1
-        members = buckets if turn > 1 else buckets.where(F.col("band") < FIRST)
-        members = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = checkpoint(members.select("bucket", "node", "n_shingles", "met", "label"))
-        order = -F.col("met") if turn < 3 else F.xxhash64("node", "bucket", F.lit(turn))
-        centres = members.groupBy("bucket").agg(
-            F.min(F.struct(order.alias("o"), F.col("node").alias("centre"), F.col("n_shingles").alias("size"), F.col("label").alias("of"))).alias("c"),
-            F.min("label").alias("lowest"), F.max("label").alias("highest"),
-        ).where("lowest < highest").select("bucket", "c.centre", "c.size", "c.of")
-        star = members.join(checkpoint(centres), "bucket").where((F.col("label") != F.col("of")) & (100 * F.least("n_shingles", "size") >= percent * F.greatest("n_shingles", "size")))
-        pairs = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        judged = checkpoint(confirmed(checkpoint(pairs), sets, percent))
-        compared = judged.select("a", "b") if compared is None else checkpoint(compared.unionByName(judged.select("a", "b")))
-        new = judged.where("linked").select("a", "b")
-        if turn > 1 and new.isEmpty():
-            break
-        links = new if links is None else checkpoint(links.unionByName(new))
-        labels = components(links)
+    met = common.groupBy("node").agg(F.sum("n").alias("met"))
+    buckets = checkpoint(common.drop("n").join(met, "node"))
+    release(every, common)
+    sets = checkpoint(sets_of(named.dropDuplicates(["doc_id"]).join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
+    centres = buckets.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("o"), F.col("node").alias("centre"), F.col("n_shingles").alias("size"))).alias("c")).select("bucket", "c.centre", "c.size")
+    star = buckets.join(centres, "bucket").where((F.col("node") != F.col("centre")) & (100 * F.least("n_shingles", "size") >= percent * F.greatest("n_shingles", "size")))
+    pairs = checkpoint(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    judged = checkpoint(confirmed(pairs, sets, percent))
+    links = judged.where("linked").select("a", "b")
+    labels = components(links)
+    sweep(docs.sparkSession)
     # A star compares a bucket's members with one centre only; the others among them may be alike.
-    rest = uncompared(buckets, labels, sets, percent).join(compared, ["a", "b"], "left_anti")
-    new = checkpoint(confirmed(checkpoint(rest), sets, percent)).where("linked").select("a", "b")
+    rest = checkpoint(uncompared(buckets, labels, sets, percent).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    late = checkpoint(confirmed(rest, sets, percent))
+    new = late.where("linked").select("a", "b")
     if not new.isEmpty():
-        labels = components(checkpoint(links.unionByName(new)))
+        before, labels = labels, components(links.unionByName(new))
+        release(before)
+    release(buckets, sets, pairs, judged, rest, late)
+    sweep(docs.sparkSession)
     labels = labels.withColumnRenamed("label", "component")
     classed = checkpoint(classes.join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id")))
     found = signed.select("doc_id", *key).join(classed, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
