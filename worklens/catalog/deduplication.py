@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import similarity, words
-from ..operators import dedup, scorer
+from ..operators import dedup, kept, scorer
+from ..session import shared_folder
 from . import shapes
 from .extracting import answers
-from .registry import query
+from .registry import ORACLE, query
 from .shapes import POSTINGS, pick, table, with_
 from .tracking import run_queries
 
+#: Batches in which postings reach the index of kept ones.
+BATCHES = 3
+
 
 @query(
     "first_per_url",
@@ -118,6 +124,19 @@ def fuzzy_dedup(spark, sf_dir):
     return dedup.fuzzy(shapes.postings(spark, sf_dir)).select("posting_id", "title", "company")
 
 
+@query("fuzzy_dedup_history", ORACLE["fuzzy_dedup"])
+def fuzzy_dedup_history(spark, sf_dir):
+    """Survivors of postings that come in batches, each against the index of what earlier ones kept; the same as over all postings."""
+    rows = shapes.postings(spark, sf_dir).select("posting_id", "title", "company")
+    index = kept.KeptIndex(spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}")
+    most = rows.agg(F.max("posting_id")).first()[0] or 0
+    out = None
+    for number in range(BATCHES):
+        part = index.keep(rows.where(F.floor(F.col("posting_id") * BATCHES / (most + 1)) == number), number)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def named_parts(spark, sf_dir):
     """Postings with many spellings: part names and types by brand."""
     k = F.col("p_partkey")
