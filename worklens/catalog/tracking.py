@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import runs, tracking
+from ..session import shared_folder
 from ..sinks import documents
+from ..sinks.snapshots import Snapshot
 from . import shapes
 from .ranking import SCORED, scored
-from .registry import query
+from .registry import ORACLE, query
 from .shapes import AS_OF, POSTINGS, as_of, pick, sql_list, sql_pick, table, with_
 
 SPLIT = "2024-01-16 00:00:00"
@@ -131,14 +135,49 @@ def saves(spark, sf_dir):
     "saved_upsert",
     with_(SAVED, f"""latest AS (SELECT (l_orderkey * 2)::VARCHAR AS url, 'n' || max(l_linenumber) AS title,
         {AS_OF} + min(l_linenumber) AS at FROM lineitem GROUP BY l_orderkey)""",
-        body="""SELECT COALESCE(s.url, n.url) AS url, COALESCE(n.title, s.title) AS title,
-          CASE WHEN n.url IS NULL THEN s.company ELSE 'new' END AS company, COALESCE(s.status, 'saved') AS status,
-          COALESCE(s.saved_at, n.at)::DOUBLE AS saved_at, s.applied_at FROM saved s FULL JOIN latest n ON s.url = n.url"""),
+        body=f"""SELECT COALESCE(s.url, n.url) AS url, COALESCE(n.title, s.title) AS title,
+          CASE WHEN n.url IS NULL THEN s.company ELSE 'new' END AS company, CASE WHEN n.url IS NULL THEN s.source ELSE 'web' END AS source,
+          CASE WHEN n.url IS NULL THEN s.salary ELSE '₹10 LPA' END AS salary, CASE WHEN n.url IS NULL THEN s.salary_int ELSE 10 END AS salary_int,
+          '' AS apply_url, CASE WHEN n.url IS NULL THEN s.workplace_type ELSE 'Remote' END AS workplace_type, '' AS company_url,
+          CASE WHEN n.url IS NULL THEN s.listed_epoch ELSE {AS_OF} END AS listed_epoch, COALESCE(s.status, 'saved') AS status,
+          COALESCE(s.saved_at, n.at)::DOUBLE AS saved_at, s.applied_at, '' AS notes FROM saved s FULL JOIN latest n ON s.url = n.url"""),
 )
 def saved_upsert(spark, sf_dir):
-    return tracking.upsert_saved(saved(spark, sf_dir), saves(spark, sf_dir)).select(
-        "url", "title", "company", "status", "saved_at", "applied_at"
-    )
+    return tracking.upsert_saved(saved(spark, sf_dir), saves(spark, sf_dir))
+
+
+def _snapshot(spark, schema: str, start) -> Snapshot:
+    """A bucketed snapshot that begins with the rows of ``start``."""
+    out = Snapshot(spark, f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}", schema, buckets=16)
+    out.merge(0, start, lambda old, new: new)
+    return out
+
+
+@query("saved_merges", ORACLE["saved_upsert"])
+def saved_merges(spark, sf_dir):
+    """The saved table after three batches of saves, merged bucket by bucket."""
+    table_ = _snapshot(spark, tracking.SAVED_SCHEMA, saved(spark, sf_dir))
+    line = F.col("saved_at") - AS_OF
+    for number, part in enumerate((line < 3, (line >= 3) & (line < 5), line >= 5), 1):
+        table_.merge(number, saves(spark, sf_dir).filter(part), tracking.upsert_saved)
+    table_.vacuum()
+    return table_.read()
+
+
+@query(
+    "seen_merges",
+    with_(SIGHTINGS, """merged AS (SELECT url, first(title ORDER BY seen_at, posting_id) AS title,
+      first(company ORDER BY seen_at, posting_id) AS company, first(source ORDER BY seen_at, posting_id) AS source,
+      min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*) AS seen_count FROM sightings WHERE url <> '' GROUP BY url)""", body="SELECT * FROM merged"),
+)
+def seen_merges(spark, sf_dir):
+    """The seen table after two batches of sightings, merged bucket by bucket."""
+    table_ = _snapshot(spark, tracking.SEEN_SCHEMA, history(spark, sf_dir))
+    rows = batch(spark, sf_dir).withColumn("url", F.trim("url")).filter("url <> ''")
+    middle = rows.agg(F.floor(F.avg("seen_at"))).first()[0] or 0
+    for number, part in enumerate((F.col("seen_at") < middle, F.col("seen_at") >= middle), 1):
+        table_.merge(number, rows.filter(part), lambda old, new: tracking.upsert_seen(old, new).drop("is_new"))
+    return table_.read()
 
 
 CHANGES = ["applied", "offer", "archived", "dismissed", "interview", "rejected"]
@@ -165,6 +204,15 @@ def status_changes(spark, sf_dir):
     return tracking.change_status(saved(spark, sf_dir), changes(spark, sf_dir)).select("url", "status", "applied_at")
 
 
+@query("status_merges", ORACLE["status_changes"])
+def status_merges(spark, sf_dir):
+    """Status changes in two batches, merged bucket by bucket; urls that were never saved touch buckets but stay unsaved."""
+    table_ = _snapshot(spark, tracking.SAVED_SCHEMA, saved(spark, sf_dir))
+    for number, part in enumerate((F.col("seq") < 4, F.col("seq") >= 4), 1):
+        table_.merge(number, changes(spark, sf_dir).filter(part), tracking.change_status)
+    return table_.read().select("url", "status", "applied_at")
+
+
 @query(
     "saved_view",
     with_(SAVED, body=f"""SELECT url, title, company, source, salary_int, listed_epoch,

@@ -21,6 +21,10 @@ SAVED_COLUMNS = [
     "title", "company", "url", "source", "salary", "salary_int", "apply_url", "workplace_type", "company_url",
     "listed_epoch",
 ]
+SAVED_SCHEMA = (
+    "url string, title string, company string, source string, salary string, salary_int int, apply_url string, workplace_type string, "
+    "company_url string, listed_epoch bigint, status string, saved_at double, applied_at double, notes string"
+)
 
 
 def with_seen(postings: DataFrame, seen: DataFrame) -> DataFrame:
