@@ -389,19 +389,21 @@ def prompt_rows(spark, sf_dir):
 
 @query(
     "plugged_scorer",
-    with_(POSTINGS, PROFILES, PAIRS, body="""SELECT profile_id, posting_id, least(10 * (length(s) - length(replace(s, 'Engineer', ''))) / 8, 100)::DOUBLE AS score
+    with_(POSTINGS, PROFILES, PAIRS, body="""SELECT profile_id, posting_id, CASE WHEN posting_id % 100 < 99 THEN least(10 * (length(s) - length(replace(s, 'Engineer', ''))) / 8, 100)::DOUBLE END AS score
       FROM (SELECT *, COALESCE(nullif(p_title, ''), p_headline) || ' ' || p_headline || ' ' || array_to_string(p_skills, ' ') || ' ' || p_location || ' ' || title || ' '
         || company || ' ' || location || ' ' || salary || ' ' || description AS s FROM pairs JOIN postings USING (posting_id) JOIN profiles USING (profile_id))"""),
 )
 def plugged_scorer(spark, sf_dir):
-    """A user scorer over Arrow batches: here the share of engineering words in the prompt."""
+    """A user scorer, several calls at a time: here the share of engineering words in the prompt. It fails on every hundredth posting."""
 
     def share(frame):
+        if (frame["posting_id"] % 100 == 99).any():
+            raise ValueError("no answer")
         n = frame["prompt_facts"].str.count("Engineer")
         return '{"score": ' + (n * 10).clip(0, 100).astype(str) + "}"
 
     asked = prompt_rows(spark, sf_dir)
-    done = scorer.call_scorer(asked, share)
+    done = scorer.call_scorer(asked, share, rows_per_call=50, at_once=4)
     return done.select("profile_id", "posting_id", scorer.parse_score(F.col("answer"))["score"].alias("score"))
 
 

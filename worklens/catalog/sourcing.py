@@ -251,14 +251,7 @@ def feed_errors(spark, sf_dir):
     return payloads.feed_errors(feed_payloads(spark, sf_dir))
 
 
-@query(
-    "nested_envelope_rows",
-    """SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 4 = 3 THEN ' | block' ELSE '' END AS title, 'https://j/' || p_partkey AS url,
-        CASE WHEN p_partkey % 4 < 3 THEN '2024-01-05' END AS "publishedDate", CASE WHEN p_partkey % 4 < 3 THEN p_brand END AS author,
-        CASE WHEN p_partkey % 4 < 3 THEN p_type END AS text, CASE WHEN p_partkey % 4 < 3 THEN 0.5::DOUBLE END AS score
-      FROM part WHERE p_partkey % 9 > 0""",
-)
-def nested_envelope_rows(spark, sf_dir):
+def envelopes(spark, sf_dir):
     """Search envelopes: bare, nested, written as JSON inside a text, rendered as blocks; every ninth is an error or nested beyond all depth."""
     k = F.col("p_partkey")
     hit = F.struct(
@@ -273,8 +266,18 @@ def nested_envelope_rows(spark, sf_dir):
         F.when(k % 18 == 0, deep).when(k % 9 == 0, '{"success":false,"error":"limit"}').when(k % 4 == 0, F.concat(F.lit("\x1b[32m[INFO] fetched\x1b[0m "), bare))
         .when(k % 4 == 1, F.concat(F.lit('{"data":{"inner":'), bare, F.lit("}}"))).when(k % 4 == 2, content(bare)).otherwise(content(block))
     )
-    rows = payloads.semantic_results(table(spark, sf_dir, "part").select(k.alias("k"), payload.alias("payload")))
-    return rows.select("k", "title", "url", "publishedDate", "author", "text", "score")
+    return table(spark, sf_dir, "part").select(k.alias("k"), payload.alias("payload"))
+
+
+@query(
+    "nested_envelope_rows",
+    """SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 4 = 3 THEN ' | block' ELSE '' END AS title, 'https://j/' || p_partkey AS url,
+        CASE WHEN p_partkey % 4 < 3 THEN '2024-01-05' END AS "publishedDate", CASE WHEN p_partkey % 4 < 3 THEN p_brand END AS author,
+        CASE WHEN p_partkey % 4 < 3 THEN p_type END AS text, CASE WHEN p_partkey % 4 < 3 THEN 0.5::DOUBLE END AS score
+      FROM part WHERE p_partkey % 9 > 0""",
+)
+def nested_envelope_rows(spark, sf_dir):
+    return payloads.semantic_results(envelopes(spark, sf_dir)).select("k", "title", "url", "publishedDate", "author", "text", "score")
 
 
 @query(

@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..session import checkpoint, shared_folder
 from ..sinks import documents
+from ..sources import landing, payloads
 from ..streaming import breaker, watch
-from . import shapes
+from . import shapes, sourcing
 from .ranking import CANDIDATE, OPTIONS, SCORED
-from .registry import query
+from .registry import ORACLE, query
 from .shapes import as_of, table, with_
 from .tracking import LATE, RUNS, SIGHTINGS, sightings, source_runs
 
@@ -116,8 +117,10 @@ def breaker_changes(spark, sf_dir):
 def watch_stream(spark, sf_dir):
     """First sighting of every url of a watched stream of postings, and how often it was seen."""
     folder = _folder(spark)
-    stream = replayed(shapes.postings(spark, sf_dir), "posting_id", folder)
-    watch.watch(stream, CANDIDATE, OPTIONS, f"{folder}/out", f"{folder}/state", as_of()).awaitTermination()
+    rows = shapes.postings(spark, sf_dir)
+    most = rows.agg(F.max("posting_id")).first()[0] or 0
+    part = F.floor(F.col("posting_id") * PARTS / (most + 1)).cast("int")
+    _in_parts(rows, part, folder, lambda stream: watch.watch(stream, CANDIDATE, OPTIONS, f"{folder}/out", f"{folder}/state", as_of()))
     number = max(r.batch for r in spark.read.parquet(f"{folder}/out/current").select("batch").distinct().collect())
     seen = watch.seen_now(spark, f"{folder}/out", number).select("url", F.col("seen_count").alias("n"))
     new = spark.read.option("mergeSchema", "true").parquet(f"{folder}/out/new").filter(F.col("url") != "")
@@ -153,3 +156,55 @@ def document_sources(spark, sf_dir):
     return head.select(
         "run_id", written("source_counts", lambda v: v.cast("string")).alias("counts"), written("source_errors", lambda v: F.array_join(v, ";")).alias("errors")
     )
+
+
+def _landed(rows: DataFrame, part: Column, schema: str, parse: Callable[[DataFrame], DataFrame], broken: str = "") -> DataFrame:
+    """``parse`` over the records of ``rows``, written as JSON lines in PARTS landings; after each the stream goes on from its checkpoint.
+
+    ``broken`` is put before every line of which the records are to be unreadable (none if empty).
+    """
+    spark = rows.sparkSession
+    folder = _folder(spark)
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "_broken"]))
+    line = F.when(F.col("_broken"), F.concat(F.lit(broken), line)).otherwise(line) if broken else line
+    numbered = checkpoint(rows.select(part.alias("_part"), line.alias("value")))
+    for number in range(PARTS):
+        numbered.where(F.col("_part") == number).select("value").write.text(f"{folder}/in/{number:012d}")
+        parsed = parse(landing.records(landing.lines(spark, f"{folder}/in"), schema))
+        writer = parsed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(f"{folder}/out")
+
+
+_FEED = "run_id long, feed_no long, payload string"
+
+
+@query("landed_feed_rows", ORACLE["feed_rows"])
+def landed_feed_rows(spark, sf_dir):
+    """Matching entries of feeds that land one after another."""
+    feeds = sourcing.feed_payloads(spark, sf_dir)
+    return _landed(feeds, F.pmod("run_id", F.lit(PARTS)), _FEED, lambda r: payloads.feed(r, F.lit("small economy"), F.lit("Pune")))
+
+
+@query("landed_feed_errors", ORACLE["feed_errors"])
+def landed_feed_errors(spark, sf_dir):
+    """Feeds among the landed ones that could not be read."""
+    return _landed(sourcing.feed_payloads(spark, sf_dir), F.pmod("feed_no", F.lit(PARTS)), _FEED, payloads.feed_errors)
+
+
+@query("landed_envelope_rows", ORACLE["nested_envelope_rows"])
+def landed_envelope_rows(spark, sf_dir):
+    """Hits of search envelopes that land one after another."""
+    parse = lambda r: payloads.semantic_results(r.select("k", "payload")).select("k", "title", "url", "publishedDate", "author", "text", "score")
+    return _landed(sourcing.envelopes(spark, sf_dir), F.pmod("k", F.lit(PARTS)), "k long, payload string", parse)
+
+
+@query(
+    "landed_corrupt_lines",
+    """SELECT lpad((p_partkey % 4)::VARCHAR, 12, '0') AS landed, count(*) AS n, 'unreadable record' AS error FROM part WHERE p_partkey % 10 = 3 GROUP BY ALL""",
+)
+def landed_corrupt_lines(spark, sf_dir):
+    """Lines of each landing that are no records; every tenth is cut here."""
+    rows = sourcing.envelopes(spark, sf_dir).withColumn("_broken", F.col("k") % 10 == 3)
+    found = _landed(rows, F.pmod("k", F.lit(PARTS)), "k long, payload string", landing.corrupt, broken='{"k": 7, "payload": ')
+    return found.groupBy("landed", "error").agg(F.count(F.lit(1)).alias("n"))

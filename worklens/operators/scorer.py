@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,21 +129,49 @@ def prompt_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def call_scorer(work: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Run a user scorer over Arrow batches of the work list.
+Scorer = Callable[[pd.DataFrame], pd.Series]
 
-    ``scorer`` maps a frame with ``prompt_facts`` to answer texts. A batch that
-    raises yields no answers, so its rows keep their heuristic scores.
+
+def _answers(scorer: Scorer, frame: pd.DataFrame, retries: int) -> list[str | None]:
+    """Answers of a call; one that keeps raising, or answers another number of rows, is split in halves down to the row that fails."""
+    for _ in range(retries + 1):
+        try:
+            found = list(scorer(frame))
+        except Exception:  # noqa: BLE001 - a failing scorer must not fail the job
+            continue
+        if len(found) == len(frame):
+            return found
+    if len(frame) == 1:
+        return [None]
+    middle = len(frame) // 2
+    return _answers(scorer, frame.iloc[:middle], retries) + _answers(scorer, frame.iloc[middle:], retries)
+
+
+def call_scorer(work: DataFrame, scorer: Scorer, rows_per_call: int | None = None, at_once: int = 1, retries: int = 0) -> DataFrame:
+    """Add ``answer``: a user scorer's text for every row of the work list, NULL where it failed, so that row keeps its heuristic score.
+
+    ``scorer`` maps a frame with ``prompt_facts`` to answer texts. A task calls it with ``rows_per_call`` rows (an
+    Arrow batch by default), up to ``at_once`` calls at a time, and takes further rows only as calls end. A call that raises is
+    tried ``retries`` times more, then split, so one bad row costs its own answer alone.
     """
-    schema = work.select("*", F.lit("").alias("answer")).schema
+    schema = work.select("*", F.lit(None).cast("string").alias("answer")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            try:
-                answers = scorer(frame)
-            except Exception:  # noqa: BLE001 - a failing scorer must not fail the job
-                answers = [None] * len(frame)
-            yield frame.assign(answer=answers)
+        def calls() -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                size = rows_per_call or max(1, len(frame))
+                for at in range(0, len(frame), size):
+                    yield frame.iloc[at : at + size]
+
+        with ThreadPoolExecutor(at_once) as pool:
+            running: deque = deque()
+            for frame in calls():
+                running.append((frame, pool.submit(_answers, scorer, frame, retries)))
+                if len(running) >= at_once:
+                    done, answers = running.popleft()
+                    yield done.assign(answer=answers.result())
+            for done, answers in running:
+                yield done.assign(answer=answers.result())
 
     return work.mapInPandas(run, schema)
 
