@@ -261,7 +261,8 @@ def prefix_trie(found: DataFrame, cells: int = CELLS) -> DataFrame:
         # One slice for the rest once it is small, or if there is nothing to win by another level.
         whole = count * width <= cells or count <= LEAST or (before is not None and count >= before)
         before = count
-        edges = edges.repartition(1) if whole else edges.repartitionByRange(max(1, count // (8 * LEAST)), *_PATH).sortWithinPartitions(*_PATH)
+        turns = F.arrays_zip("a", "b")
+        edges = edges.repartition(1) if whole else edges.repartitionByRange(max(1, count // (8 * LEAST)), turns).sortWithinPartitions(turns)
         level = _folded(edges, whole, cells)
         closed = level.where(F.col("kind") == NODE)
         later = closed if later is None else later.unionByName(closed)
