@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from worklens.catalog import load  # noqa: E402
-from worklens.session import local_session  # noqa: E402
+from worklens.session import local_session, ship  # noqa: E402
 
 HEADLINE = [
     "normalized_postings", "filter_report", "top_postings", "full_ranking", "fuzzy_dedup", "fuzzy_dedup_per_batch",
@@ -23,6 +23,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     queries = load().QUERIES
     names = sys.argv[1:] or HEADLINE
     # One unmeasured run starts the JVM's compilers and the Python workers.

@@ -5,8 +5,10 @@ a shared term, plus a base part (seniority, place, recency, workplace), which
 depends on a handful of features.
 
 * Evidence (posting has skill, must-have or title word) is established once per
-  posting and feature, whatever the number of profiles. An equi-join on the
-  feature and a sum per pair then give the text part from narrow rows.
+  posting and feature, whatever the number of profiles. Postings of equal evidence
+  form a text class; an equi-join on the feature and a sum per profile and text class give the text part.
+* A text class is opened for a profile only if its text part and the most base points in it
+  reach the k-th best that the profile has for certain; of an open class the k best by base points are enough.
 * Pairs that share none have their base score. Postings with equal base
   features tie, so the first k of each feature class are enough: if hits push
   other postings of the class up, those beat the ones left out anyway.
@@ -193,6 +195,63 @@ def _posting_classes(facts: DataFrame, features: DataFrame) -> DataFrame:
     return checkpoint(keyed.join(first, "_sign").select("posting_id", "sign_id"))
 
 
+def _text_classes(facts: DataFrame, features: DataFrame) -> DataFrame:
+    """(posting_id, text_id): postings with the same evidence have the same text points for every profile; they share the smallest id."""
+    listed = facts.groupBy("posting_id").agg(F.array_sort(F.collect_set("feature")).alias("_facts"))
+    keyed = features.join(listed, "posting_id").select("posting_id", F.sha2(F.to_json(F.struct("sure", "of_title", "_facts")), 256).alias("_text"))
+    first = keyed.groupBy("_text").agg(F.min("posting_id").alias("text_id"))
+    return keyed.join(first, "_text").select("posting_id", "text_id")
+
+
+#: Most that a shared place adds to the base points of a posting elsewhere.
+NEARER = 12.0
+
+
+def _points(df: DataFrame, near: bool) -> DataFrame:
+    level, where, fresh, work = _base_parts(F.lit(near))
+    return df.withColumns({"level": level, "place_points": where, "fresh": fresh, "work": work}).withColumn("base", F.col("level") + F.col("place_points") + F.col("fresh") + F.col("work"))
+
+
+def _hits(pairs: DataFrame, members: DataFrame, asked: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(profile_id, posting_id, score): pairs with evidence that hold the k best of each profile.
+
+    Postings of one text class differ only in base points, so the k best of a class by these, per class of
+    profiles and place, are enough, unless a score is cut to 100 or lifted to 5. Before any posting is looked at,
+    a text class is dropped for a profile if its text points and the most base points in it stay below
+    what the best postings of k other text classes reach (a threshold of upper bounds).
+    """
+    parts = ["base", "level", "place_points", "fresh", "work"]
+    firsts = rank.first_n(members, k, ["text_id", *FEATURES], [F.asc("posting_id")], "_n").drop("_n")
+    anywhere = checkpoint(_points(_classes(firsts, [True, False]), near=False).select("text_id", *CLASS, "posting_id", *parts))
+    placed = members.select("*", F.explode(F.filter(words.tokenize(F.col("place")), lambda t: F.length(t) > 2)).alias("token")).join(wanted, "token", "left_semi")
+    placed = rank.first_n(placed, k, ["text_id", "token", *FEATURES], [F.asc("posting_id")], "_n").drop("_n")
+    nearby = checkpoint(_points(_classes(placed, [False]), near=True).select("text_id", "token", *CLASS, "posting_id", *parts))
+
+    ranges = anywhere.groupBy("text_id", *CLASS).agg(F.max("base").alias("most"), F.min("base").alias("least"))
+    text_points = F.col("skill") + F.col("title") + F.col("phrase") + F.col("must")
+    bound = checkpoint(pairs.join(ranges, ["text_id", *CLASS]).withColumn("text", text_points))
+    reached = bound.withColumn("reached", F.least(F.col("text") + F.col("most"), F.lit(100.0)))
+    kth = rank.first_n(reached, k, ["profile_id"], [F.desc("reached")], "_n").groupBy("profile_id").agg(F.count(F.lit(1)).alias("of"), F.min("reached").alias("kth"))
+    kth = kth.select("profile_id", F.when(F.col("of") >= k, F.col("kth")).otherwise(0.0).alias("kth"))
+    upper = F.col("text") + F.col("most") + F.when(F.col("c_open"), 0.0).otherwise(NEARER)
+    # Scores are rounded to tenths, and equal ones rank by id: a bound counts as reached from a tenth below.
+    able = checkpoint(bound.join(kth, "profile_id").where(F.least(upper, F.lit(100.0)) >= F.col("kth") - 0.1).drop("kth"))
+    uneven = able.where((upper > 100) | (F.col("text") + F.col("least") < 5))
+    even = able.where(~((upper > 100) | (F.col("text") + F.col("least") < 5)))
+
+    total = F.col("skill") + F.col("title") + F.col("level") + F.col("place_points") + F.col("phrase") + F.col("fresh") + F.col("work") + F.col("must")
+    points = tenths(F.greatest(F.lit(5.0), F.least(total, F.lit(100.0)))).alias("score")
+
+    def met(classes: DataFrame, lists: DataFrame, near: bool) -> DataFrame:
+        if near:
+            classes = classes.where(~F.col("c_open")).join(asked.select("profile_id", "token"), "profile_id")
+        return classes.join(lists, ["text_id", *CLASS, *(["token"] if near else [])]).select("profile_id", "posting_id", points)
+
+    best = lambda lists, *by: rank.first_n(lists, k, ["text_id", *by, *CLASS], [F.desc("base"), F.asc("posting_id")], "_n").drop("_n")
+    out = met(even, best(anywhere), False).unionByName(met(even, best(nearby, "token"), True))
+    return out.unionByName(met(uneven, anywhere, False)).unionByName(met(uneven, nearby, True))
+
+
 def top_matches(postings: DataFrame, profiles: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
     """(profile_id, posting_id, score, rank) of the k best postings per profile.
 
@@ -215,28 +274,26 @@ def top_matches(postings: DataFrame, profiles: DataFrame, as_of: Column, k: int
     facts = checkpoint(facts.join(firsts_only, "posting_id", "left_semi"))
     features = checkpoint(features.join(firsts_only, "posting_id", "left_semi"))
 
-    # Pairs with evidence: sums of narrow rows, then the score from a few numbers.
+    # Pairs with evidence: sums of narrow rows per profile and text class, then the best postings of the classes that can still win.
+    text_classes = _text_classes(facts, features)
+    members = checkpoint(features.join(text_classes, "posting_id"))
+    heads = members.filter("posting_id = text_id")
     asked_for = small(checkpoint(profile_features(ready)))
-    sums = facts.join(asked_for, "feature").groupBy("profile_id", "posting_id").agg(
-        *[F.sum("n_" + n).alias("n_" + n) for n in KINDS]
-    )
-    mine = ready.select(
-        "profile_id", *CLASS, "p_place_tokens", F.size("p_skill_needles").alias("of_skill"), F.size("p_phrase_needles").alias("of_phrase")
-    )
-    pairs = sums.join(features, "posting_id").join(small(mine), "profile_id")
-    near = ~F.col("c_open") & F.exists(
-        F.array_intersect(words.tokenize(F.col("place")), F.col("p_place_tokens")), lambda t: F.length(t) > 2
-    )
+    sums = facts.withColumnRenamed("posting_id", "text_id").join(heads.select("text_id"), "text_id", "left_semi")
+    sums = sums.join(asked_for, "feature").groupBy("profile_id", "text_id").agg(*[F.sum("n_" + n).alias("n_" + n) for n in KINDS])
+    mine = ready.select("profile_id", *CLASS, F.size("p_skill_needles").alias("of_skill"), F.size("p_phrase_needles").alias("of_phrase"))
+    pairs = sums.join(heads.select("text_id", "sure", "of_title"), "text_id").join(small(mine), "profile_id")
     share = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
     skill = F.least(F.lit(1.0), share(F.col("n_skill"), F.least(F.col("of_skill"), F.lit(10)))) * score.SKILL_POINTS * F.col("sure")
     title = F.least(F.lit(1.0), share(F.col("n_title"), F.col("of_title"))) * score.TITLE_POINTS
     phrase = share(F.col("n_phrase"), F.col("of_phrase")) * score.KEYWORD_POINTS * F.col("sure")
-    level, where, fresh, work = _base_parts(near)
     must = F.least(F.lit(6.0), 2.0 * F.col("n_must"))
-    total = skill + title + level + where + phrase + fresh + work + must
-    with_hit = pairs.select(
-        "profile_id", "posting_id", tenths(F.greatest(F.lit(5.0), F.least(total, F.lit(100.0)))).alias("score")
-    )
+    # The parts are summed where the base points are known, in the order in which a single score sums them.
+    pairs = pairs.select("profile_id", "text_id", *CLASS, skill.alias("skill"), title.alias("title"), phrase.alias("phrase"), must.alias("must"))
+    tokens = lambda c: F.filter(c, lambda t: F.length(t) > 2)
+    asked = checkpoint(ready.filter(~F.col("c_open")).select("profile_id", *CLASS, F.explode(tokens(F.col("p_place_tokens"))).alias("token")))
+    wanted = small(asked.select("token").distinct())
+    with_hit = _hits(pairs, members, asked, wanted, k)
 
     # Pairs without evidence.
     firsts = rank.first_n(features, k, FEATURES, [F.asc("posting_id")], "_n").drop("_n")
@@ -245,10 +302,8 @@ def top_matches(postings: DataFrame, profiles: DataFrame, as_of: Column, k: int
     without = without.select("profile_id", "posting_id", "score")
 
     # Pairs in the same place.
-    tokens = lambda c: F.filter(c, lambda t: F.length(t) > 2)
     placed = features.select("*", F.explode(tokens(words.tokenize(F.col("place")))).alias("token"))
-    asked = ready.filter(~F.col("c_open")).select("profile_id", *CLASS, F.explode(tokens(F.col("p_place_tokens"))).alias("token"))
-    placed = placed.join(small(asked.select("token").distinct()), "token", "left_semi")
+    placed = placed.join(wanted, "token", "left_semi")
     firsts = rank.first_n(placed, k, ["token", *FEATURES], [F.asc("posting_id")], "_n").drop("_n")
     local = rank.top_n(_base(_classes(firsts, [False]), near=True), k, ["token", *CLASS])
     same = asked.join(local.select("token", *CLASS, "posting_id", "score"), ["token", *CLASS])
