@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import rank
 from ..session import checkpoint, shared_folder
-from ..sinks import documents
+from ..sinks import committed, documents
 from ..sources import landing, payloads
-from ..streaming import breaker, watch
+from ..streaming import arrivals, breaker, watch
 from . import shapes, sourcing
 from .ranking import CANDIDATE, OPTIONS, SCORED
 from .registry import ORACLE, query
@@ -127,6 +128,66 @@ def watch_stream(spark, sf_dir):
     return new.groupBy("url").agg(F.min("posting_id").alias("posting_id")).join(seen, "url").select("posting_id", "url", "n")
 
 
+def _arrivals(spark, sf_dir):
+    """Events as batches of hourly runs, landing in order of time; the watermark waits ten minutes."""
+    at, folder = F.col("ts").cast("timestamp"), _folder(spark)
+    rows = table(spark, sf_dir, "events").select(
+        F.floor(F.unix_timestamp(F.date_trunc("hour", at)) / 3600).alias("run_id"), F.col("event_id").alias("batch_id"), (F.col("user_id") % 8).cast("string").alias("source"),
+        F.unix_timestamp(F.date_trunc("hour", at)).cast("double").alias("started_at"), (F.unix_micros(at) / 1000000).alias("arrived_at"),
+    )
+    low, high = rows.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    width = ((high or 0) - (low or 0)) / PARTS + 1
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        found = arrivals.arrivals(stream, "600 seconds")
+        with breaker.keyed_state(spark):
+            return found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+    _in_parts(rows, F.floor((F.col("arrived_at") - (low or 0)) / width).cast("int"), folder, run)
+    return spark.read.schema(arrivals.ARRIVALS).parquet(f"{folder}/out")
+
+
+@query("arrived_in_time_stream", ORACLE["arrived_in_time"])
+def arrived_in_time_stream(spark, sf_dir):
+    """Batches of a stream that arrived inside their run's budget."""
+    return _arrivals(spark, sf_dir).where("kind = 'used'").select(F.col("batch_id").alias("event_id"))
+
+
+@query(
+    "closed_runs",
+    """SELECT run_id, count(*) AS n_used, count(DISTINCT source) AS n_sources FROM (
+        SELECT epoch(date_trunc('hour', ts))::BIGINT // 3600 AS run_id, user_id % 8 AS source, epoch(ts) AS arrived, epoch(date_trunc('hour', ts)) AS started, max(epoch(ts)) OVER () AS latest FROM events)
+      WHERE arrived <= started + 120 AND started + 120 <= latest - 600 GROUP BY run_id""",
+)
+def closed_runs(spark, sf_dir):
+    """Runs whose budget ended before the watermark, with what they used."""
+    return _arrivals(spark, sf_dir).where("kind = 'closed'").select("run_id", "n_used", "n_sources")
+
+
+@query(
+    "committed_documents",
+    with_(shapes.POSTINGS, body="""SELECT posting_id % 4 AS run_id, row_number() OVER (PARTITION BY posting_id % 4 ORDER BY posting_id) AS rank, posting_id, title,
+      count(*) OVER (PARTITION BY posting_id % 4) AS found_count FROM postings"""),
+)
+def committed_documents(spark, sf_dir):
+    """Headers and lines of runs that a stream published together, read back."""
+    folder = _folder(spark)
+    rows = shapes.postings(spark, sf_dir).select((F.col("posting_id") % PARTS).alias("run_id"), "posting_id", "title", (-F.col("posting_id")).cast("double").alias("score"), F.array().cast("array<string>").alias("reasons"))
+    ranked = rank.full_rank(rows.drop("title", "reasons"), ["run_id"]).select("posting_id", "rank").join(rows, "posting_id")
+    head = documents.header(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("found_count")))
+    committed.register(spark)
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        out = stream.writeStream.format("committed_rows").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        return out.trigger(availableNow=True).start()
+
+    _in_parts(documents.parts(head, documents.job_lines(ranked, ["posting_id", "title"])), F.col("run_id"), folder, run)
+    back = committed.read(spark, f"{folder}/out", "run_id long, rank long, body string")
+    found = back.where("rank = 0").select("run_id", F.from_json("body", "found_count long")["found_count"].alias("found_count"))
+    job = F.from_json("body", "posting_id long, title string")
+    return back.where("rank > 0").select("run_id", "rank", job.alias("j")).join(found, "run_id").select("run_id", "rank", "j.posting_id", "j.title", "found_count")
+
+
 @query("scored_stream", with_(SCORED, body="SELECT posting_id, score, array_to_string(reasons, '; ') AS reasons FROM scored"))
 def scored_stream(spark, sf_dir):
     """Kept postings of a stream with score and reasons."""

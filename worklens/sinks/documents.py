@@ -82,7 +82,7 @@ def document(head: DataFrame, lines: DataFrame, n: int, key: str = "run_id") ->
     return head.join(jobs, key, "left").select(key, text.alias("document"))
 
 
-def write(lines: DataFrame, head: DataFrame, path: str) -> None:
-    """Write lines and header as JSON, partitioned by run; a run that is written again replaces its own files only."""
-    for rows, name in ((lines, "jobs"), (head, "header")):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/{name}")
+def parts(head: DataFrame, lines: DataFrame) -> DataFrame:
+    """Header and lines as one table (run_id, rank, body), the header with rank 0: what the committed sink publishes together."""
+    top = head.select("run_id", F.lit(0).cast("long").alias("rank"), F.to_json(F.struct(*[c for c in head.columns if c != "run_id"])).alias("body"))
+    return top.unionByName(lines.select("run_id", F.col("rank").cast("long").alias("rank"), F.col("job").alias("body")))
