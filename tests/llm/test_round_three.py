@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import odd_rows
-from worklens.llm import licenses, periodic, prefix_trie, queries
+from worklens.llm import decontaminate, licenses, periodic, prefix_trie, queries
 from worklens.llm.license_rules import BASE_RULES, RULES
 
 # --- license rules ---
@@ -244,3 +244,10 @@ def test_equal_texts_get_equal_licenses_and_runs(odd):
     for found, column in ((licenses.license_spans(odd), "found"), (periodic.periodic_runs(odd), "runs")):
         rows = [tuple(r) for r in found.where("doc_id = 4").select(F.col(column).cast("string")).collect()]
         assert len(rows) == 2 and rows[0] == rows[1]
+
+
+def test_short_benchmark_items_are_sought(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta  gamma"), (2, "x"), (3, None), (None, "beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "beta"), (2, "alpha BETA"), (3, ""), (4, "beta alpha"), (5, None), (None, "x")], "item_id long, text string")
+    found = lambda least: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, least_words=least).collect()}
+    assert found(1) == {(1, 1), (1, 2)} and found(2) == {(1, 2)}

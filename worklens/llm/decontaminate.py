@@ -19,8 +19,6 @@ MASKS = ("11011", "1101001")
 OVERLAP, PERCENT = 10, 80
 #: Items of fewer words must occur whole.
 WHOLE = 8
-#: Items of fewer words are too short to be evidence.
-LEAST_WORDS = 5
 
 
 def hashed_words(text: Column) -> Column:
@@ -47,16 +45,17 @@ def _seeds(rows: DataFrame, masks: tuple[str, ...], *keys: str) -> DataFrame:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: int = OVERLAP, percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: int = OVERLAP, percent: int = PERCENT, least_words: int = 1) -> DataFrame:
     """Overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text): doc_id, item_id, start, n_same, n_words.
 
     One row per document and item: the alignment with most agreeing words,
     ``start`` being the word of the document that lies at the item's first word
     (negative where the item's beginning is missing). Items of fewer than WHOLE words must occur
-    whole, and those of fewer than LEAST_WORDS words aren't sought. NULL and empty texts
-    match nothing; rows without an id are ignored; repeated rows count once. Other columns are ignored.
+    whole; those of fewer than ``least_words`` aren't sought (all are, by default). NULL and empty texts, and items without
+    words, match nothing; texts and items are taken whole at any length; rows without an id are ignored; repeated rows count
+    once; without texts or items there are no rows. Other columns are ignored.
     """
-    items = benchmark.where("item_id is not null").select("item_id", hashed_words(F.col("text")).alias("h")).where(F.size("h") >= LEAST_WORDS).distinct()
+    items = benchmark.where("item_id is not null").select("item_id", hashed_words(F.col("text")).alias("h")).where(F.size("h") >= max(1, least_words)).distinct()
     items = checkpoint(items)
     short = [r[0] for r in items.where(F.size("h") < WHOLE).select(F.size("h")).distinct().collect()]  # these must occur whole
     patterns = (*masks, *["1" * n for n in sorted(short)])

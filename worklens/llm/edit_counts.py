@@ -151,7 +151,8 @@ def counted(rows: DataFrame, path: str = RANKS) -> DataFrame:
     the edits before left it; places beyond it are moved to its end, a NULL place is 0 and a NULL text
     empty. Returns doc_id, n_pretokens, n_tokens, n_edits, tokens_after, recoded (pre-tokens
     encoded anew by the edits). NULL and empty texts have no tokens until an edit puts some in; NULL edits are
-    none. Repeated rows are counted one by one. Other columns are ignored.
+    none. Repeated rows are counted one by one.
+    An empty table gives no rows; texts are taken whole at any length. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

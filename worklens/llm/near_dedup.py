@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     fewer words is one shingle; without words (NULL, empty) a document is linked
     with nothing. ``kept`` marks the component's smallest id. Repeated rows keep
     one row each and the same component; a row without doc_id can't be named, so
-    it comes back with a NULL component and ``kept``. Other columns are ignored.
+    it comes back with a NULL component and ``kept``.
+    An empty table gives no rows; texts are taken whole at any length. Other columns are ignored.
     """
     named = docs.select("doc_id", "text").where("doc_id is not null")
     signed = checkpoint(signatures(named, words, bands, rows))

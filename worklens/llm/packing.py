@@ -28,7 +28,9 @@ BLOCK_PIECES = 10_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): words of the whole text and one end token; a NULL or empty text has the end token alone."""
+    """(doc_id, n_tokens): words of the whole text and one end token; a NULL or empty text has the end token alone.
+    An empty table gives no rows; texts are taken whole at any length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +90,8 @@ def packed(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhea
     ``start`` is the piece's first token in its document, ``place`` its first
     token in the bin. Every token is in one piece; no bin holds more than its
     ``capacity``, which is the smallest permitted one for its contents. Rows of
-    no tokens (or NULL) give no piece. Repeated rows are packed one by one. Other columns are ignored.
+    no tokens (or NULL) give no piece. Repeated rows are packed one by one.
+    Without pieces there are no rows. Other columns are ignored.
     """
     capacities = tuple(sorted(set(capacities)))
     largest = capacities[-1]

@@ -95,7 +95,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans, ``spans`` those and the weak ones that a complementary part supports: a login or an
     endpoint needs a secret within ``scope`` code points, a weak secret needs a login, an access key or an
     endpoint. ``mark`` is a hash of the text. NULL and empty texts have no spans. Repeated rows
-    are scanned one by one. Other columns are ignored.
+    are scanned one by one.
+    An empty table gives no rows; texts are taken whole at any length. Other columns are ignored.
     """
     parts = checkpoint(_parts(docs))
     open_rows = parts.where(F.size("weak") > 0)

@@ -49,7 +49,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, block_groups: int = BLOCK
     share a shard; rows without text are no copies of each other and are dealt one by one (by
     doc_id), with a NULL text_crc32. ``slot`` counts a shard's rows from 0 without gaps.
     The law is ``bytes``: near equal sums of sizes, as far as a single group leaves room. Repeated
-    rows get a slot each. An empty table gives no rows. Other columns are ignored.
+    rows get a slot each. An empty table gives no rows.
+    An empty table gives no rows; texts are taken whole at any length. Other columns are ignored.
     """
     rows = checkpoint(docs.select(
         "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(16)).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),

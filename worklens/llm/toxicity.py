@@ -123,7 +123,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, te
     1 from a score of 0.3. Empty and NULL texts have no terms and get the
     score of the bias. A NULL doc_id is not held out. Repeated rows are scored
     one by one. Without labels of both kinds every score is their share (0.5 without any).
-    Other columns are ignored.
+    An empty table gives no rows; texts are taken whole at any length. Other columns are ignored.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
