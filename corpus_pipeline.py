@@ -24,7 +24,10 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise quality model keeps (a score of 0.3 or more)."""
+    """Documents that the pairwise quality model keeps (a score of 0.3 or more).
+
+    NULL and empty texts are scored as what they are; rows without an id, and repeated ones, are judged one by one; no documents give none.
+    """
     return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -43,18 +46,27 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents without a passage of the benchmark; items of under five words occur by chance, so they condemn no document.
+
+    Documents that are NULL or empty, or have no id, stay; repeated rows go or stay together.
+    """
+    return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_words=5))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mask; ``n_chars`` follows the text."""
+    """All documents, their secrets replaced by a mask; ``n_chars`` follows the text.
+
+    NULL texts stay NULL and empty ones empty; rows without an id and repeated rows are masked one by one; all columns stay.
+    """
     hidden = secrets.redacted(docs)
     return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
 
 
 def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: bin_id, capacity, n_tokens, and the pieces in it by place (doc_ids, starts, lengths)."""
+    """Training sequences: bin_id, capacity, n_tokens, and the pieces in it by place (doc_ids, starts, lengths).
+
+    NULL and empty texts are their end token alone; repeated rows, and those without an id, are packed one by one; no documents give no sequences.
+    """
     pieces = packing.packed(packing.word_counts(docs))
     # A bin holds no more pieces than tokens, at most the largest capacity.
     bins = pieces.groupBy("bin_id", "capacity").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "doc_id", "start", "n_tokens"))).alias("p"))
