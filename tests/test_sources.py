@@ -19,7 +19,7 @@ DEEP = '{"a":' * 5000 + "1" + "}" * 5000
 def test_deep_and_broken_json_hold_nothing(spark):
     rows = [(1, DEEP), (2, "[" * 100_000), (3, "no json"), (4, None), (5, '{"x": [1, {"results": [{"title": "t"}, 3]}]}')]
     got = spark.createDataFrame(rows, "k int, payload string").select(
-        "k", payloads.nested_rows("payload").alias("n"), payloads.envelope_rows("payload").alias("e"), payloads.envelope_error("payload").alias("x")
+        "k", payloads.nested_parts("payload")["rows"].alias("n"), payloads.envelope_rows("payload").alias("e"), payloads.envelope_error("payload").alias("x")
     )
     assert [tuple(r) for r in got.orderBy("k").collect()] == [(1, None, "[]", None), (2, None, "[]", None), (3, None, "[]", None), (4, None, "[]", None), (5, '[{"title": "t"}]', "[]", None)]
 

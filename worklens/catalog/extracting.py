@@ -275,7 +275,7 @@ def rendered_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.when(k % 9 == 8, expired).otherwise(page).alias("page"))
 
 
-def _sql_page() -> str:
+def sql_page() -> str:
     return rf"""WITH p AS (SELECT page_id AS k, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body,
         {sql_pick(SLUGS, 'page_id')} AS slug FROM pages)
       SELECT k AS page_id, k % 9 = 8 AS expired,
@@ -289,7 +289,7 @@ def _sql_page() -> str:
         CASE WHEN k % 9 <> 8 THEN 'https://www.naukri.com/job-listings-' || slug || '-' || (k + 100000) || '?src=apply' END AS apply_url FROM p"""
 
 
-@query("rendered_page_fields", _sql_page())
+@query("rendered_page_fields", sql_page())
 def rendered_page_fields(spark, sf_dir):
     p = rendered_pages(spark, sf_dir).select(
         "page_id", pages.is_expired(F.col("page")).alias("expired"),
@@ -303,12 +303,11 @@ def rendered_page_fields(spark, sf_dir):
 
 
 
-@query(
-    "rendered_page_locations",
-    rf"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Kolkata, Hyderabad, Bengaluru' WHEN 1 THEN 'Pune' WHEN 2 THEN 'Remote'
-        ELSE {sql_list(["Kolkata, Hyderabad, Bengaluru", "Pune", "Remote", "", "Noida", "Pune, Mumbai", "Chennai"])}[(page_id % 7 + 1)::INT] END AS location
-      FROM pages WHERE page_id % 9 <> 8""",
-)
+SQL_PAGE_PLACE = f"""CASE page_id % 4 WHEN 0 THEN 'Kolkata, Hyderabad, Bengaluru' WHEN 1 THEN 'Pune' WHEN 2 THEN 'Remote'
+        ELSE {sql_list(["Kolkata, Hyderabad, Bengaluru", "Pune", "Remote", "", "Noida", "Pune, Mumbai", "Chennai"])}[(page_id % 7 + 1)::INT] END"""
+
+
+@query("rendered_page_locations", f"SELECT page_id, {SQL_PAGE_PLACE} AS location FROM pages WHERE page_id % 9 <> 8")
 def rendered_page_locations(spark, sf_dir):
     p = rendered_pages(spark, sf_dir).filter(~pages.is_expired(F.col("page")))
     p = p.withColumn("lines", pages.lines_of(F.col("page")))

@@ -10,7 +10,7 @@ from ..sources import hits as web
 from ..sources import payloads, union
 from . import shapes
 from .extracting import (
-    _BOARD, _COMPANY1, _COMPANY2, _HOST_COMPANY, _HOST_PARTS, _SKIP, _WEB, RAW_TITLES, SNIPPETS, rendered_pages, sql_company, sql_first, sql_title_case,
+    _BOARD, _COMPANY1, _COMPANY2, _HOST_COMPANY, _HOST_PARTS, _SKIP, _WEB, RAW_TITLES, SNIPPETS, SQL_PAGE_PLACE, rendered_pages, sql_company, sql_first, sql_page, sql_title_case,
 )
 from .filtering import (
     CRAWL, SQL_ALIVE, SQL_HOMEPAGE, SQL_SEARCH_PAGE, crawl, sql_any, sql_relevant, sql_snippet_old,
@@ -448,11 +448,16 @@ PORTAL_TITLES = ["Python Developer - Naukri.com", "SRE | Naukri.com", "Apply now
 
 @query(
     "portal_hits",
-    f"""WITH h AS (SELECT page_id AS k, {sql_pick(PORTAL_TITLES, 'page_id')} AS title, {sql_pick(PORTAL_PATHS, 'page_id')} || (page_id // 10) AS href FROM pages),
+    rf"""WITH h AS (SELECT page_id AS k, {sql_pick(SNIPPETS, 'page_id')} AS snippet, {sql_pick(PORTAL_TITLES, 'page_id')} AS title, {sql_pick(PORTAL_PATHS, 'page_id')} || (page_id // 10) AS href FROM pages),
       g AS (SELECT * FROM h WHERE contains(lower(href), 'naukri.com') AND contains(href, '/job-listings-') AND NOT contains(href, '/campus/')
-        AND NOT {sql_any('title', fixed.NON_POSTING_TITLES)} QUALIFY row_number() OVER (PARTITION BY href ORDER BY k) = 1)
-      SELECT k AS hit_id, href AS url, CASE title WHEN 'Python Developer - Naukri.com' THEN 'Python Developer' WHEN 'SRE | Naukri.com' THEN 'SRE'
-        WHEN 'Data Analyst - 3 Vacancies' THEN 'Data Analyst' ELSE CASE WHEN contains(href, 'varite') THEN 'Python Developer Varite Pune' ELSE 'Sre Acme' END END AS title FROM g""",
+        AND NOT {sql_any('title', fixed.NON_POSTING_TITLES)} QUALIFY row_number() OVER (PARTITION BY href ORDER BY k) = 1),
+      m AS (SELECT *, trim(regexp_extract(snippet, 'in\s+([A-Z][a-zA-Z\s]+(?:,\s*[A-Z]{{2}})?)', 1, 'i')) AS a,
+        trim(regexp_extract(snippet, '([A-Z][a-zA-Z\s]+(?:,\s*[A-Z]{{2}}))(?:\s+[.…]|\s*$)', 1, 'i')) AS b,
+        replace(regexp_extract(href, '{fixed.PORTAL_SLUG_COMPANY}', 1), '-', ' ') AS slug FROM g)
+      SELECT k AS hit_id, href AS url, snippet AS description,
+        CASE WHEN a <> '' AND length(a) < 30 THEN a WHEN b <> '' AND length(b) < 30 THEN b ELSE 'Pune' END AS location,
+        COALESCE({sql_company(_COMPANY1)}, {sql_company(_COMPANY2)}, {sql_title_case('slug')}) AS company, CASE title WHEN 'Python Developer - Naukri.com' THEN 'Python Developer' WHEN 'SRE | Naukri.com' THEN 'SRE'
+        WHEN 'Data Analyst - 3 Vacancies' THEN 'Data Analyst' ELSE CASE WHEN contains(href, 'varite') THEN 'Python Developer Varite Pune' ELSE 'Sre Acme' END END AS title FROM m""",
 )
 def portal_hits(spark, sf_dir):
     k = F.col("page_id")
@@ -460,7 +465,7 @@ def portal_hits(spark, sf_dir):
         F.lit(1).alias("run_id"), k.alias("hit_id"), pick(PORTAL_TITLES, k).alias("title"),
         F.concat(pick(PORTAL_PATHS, k), F.floor(k / 10).cast("string")).alias("href"), pick(SNIPPETS, k).alias("body"),
     )
-    return web.portal(rows, F.lit("Pune"), ["run_id"]).select("hit_id", "url", "title")
+    return web.portal(rows, F.lit("Pune"), ["run_id"]).select("hit_id", "url", "title", "company", "location", "description")
 
 
 SITE_TITLES = ["SRE - Acme - Pune - MH - Indeed.com", "Data Analyst | Noida", "Platform Engineer", "Lead – The Firm – Goa - Indeed"]
@@ -525,32 +530,36 @@ def posting_pages(spark, sf_dir):
     )
 
 
-@query(
-    "posting_page_fields",
-    rf"""WITH p AS (SELECT page_id AS k, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') AS body FROM pages)
-      SELECT k AS page_id, k % 9 = 8 AS expired, CASE k % 3 WHEN 0 THEN 'Python Developer' WHEN 1 THEN 'Data Engineer' ELSE CASE WHEN k % 9 <> 8 THEN 'Data Analyst' END END AS title,
-        CASE k % 3 WHEN 0 THEN 'Org 0' WHEN 1 THEN 'Acme' ELSE CASE WHEN k % 9 <> 8 THEN 'Acme Labs' END END AS company,
-        CASE k % 3 WHEN 0 THEN 'INR ' || (k % 40) WHEN 1 THEN '' END AS salary,
-        CASE k % 3 WHEN 0 THEN 'Python, AWS' WHEN 1 THEN 'Spark, SQL' ELSE CASE WHEN k % 9 <> 8 THEN 'Python, Django, AWS' END END AS keyskills,
-        CASE k % 3 WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2024-01-07' END AS listed,
-        CASE WHEN k % 3 < 2 THEN trim(body) WHEN k % 9 <> 8 THEN trim(body) END AS description FROM p""",
-)
+#: Fields of a posting page by its kind: linked data, application state, rendered text.
+SQL_POSTING_PAGE = rf"""SELECT page_id, expired,
+    CASE page_id % 3 WHEN 0 THEN 'Python Developer' WHEN 1 THEN 'Data Engineer' ELSE title END AS title,
+    CASE page_id % 3 WHEN 0 THEN 'Org 0' WHEN 1 THEN 'Acme' ELSE company END AS company,
+    CASE page_id % 3 WHEN 0 THEN 'Pune, IN' WHEN 1 THEN 'Hyderabad, TS' ELSE CASE WHEN NOT expired THEN {SQL_PAGE_PLACE} END END AS location,
+    CASE page_id % 3 WHEN 0 THEN 'INR ' || (page_id % 40) WHEN 1 THEN '' ELSE salary END AS salary,
+    CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN '3-6' ELSE '6' END ELSE experience END AS experience,
+    CASE page_id % 3 WHEN 0 THEN 'Python, AWS' WHEN 1 THEN 'Spark, SQL' ELSE keyskills END AS keyskills,
+    CASE page_id % 3 WHEN 0 THEN '2024-01-05' WHEN 1 THEN '2024-01-07' ELSE listed END AS listed,
+    CASE WHEN page_id % 3 < 2 THEN body ELSE description END AS description,
+    CASE page_id % 3 WHEN 0 THEN 'https://apply/x' WHEN 1 THEN '' ELSE apply_url END AS apply_url
+  FROM ({sql_page()}) JOIN (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages) USING (page_id)"""
+
+
+@query("posting_page_fields", SQL_POSTING_PAGE)
 def posting_page_fields(spark, sf_dir):
     p = payloads.posting_page(posting_pages(spark, sf_dir))
-    embedded = F.col("page_id") % 3 < 2
-    return p.select(
-        "page_id", "expired", "page.title", "page.company", F.when(embedded, F.col("page.salary")).alias("salary"), "page.keyskills",
-        F.when(embedded, F.col("page.listed")).alias("listed"), "page.description",
-    )
+    return p.select("page_id", "expired", "page.*")
 
 
 @query(
     "page_merge",
-    """WITH t AS (SELECT page_id AS k, page_id // 20 AS batch, true AS asked FROM pages)
-      SELECT k AS posting_id, CASE WHEN NOT asked OR k % 5 = 4 THEN 'snippet title' WHEN k % 3 = 0 THEN 'Python Developer' WHEN k % 3 = 1 THEN 'Data Engineer'
-          ELSE 'Data Analyst' END AS title, CASE WHEN asked AND k % 5 < 4 THEN 'full' ELSE 'snippet' END AS data_quality,
-        CASE WHEN asked AND k % 5 = 4 THEN 'job page fetch/parse failed' END AS enrich_error
-      FROM t WHERE NOT (asked AND k % 5 < 4 AND k % 9 = 8)""",
+    f"""WITH f AS ({SQL_POSTING_PAGE}), t AS (SELECT *, page_id % 5 < 4 AS hit FROM f)
+      SELECT page_id AS posting_id, CASE WHEN hit THEN title ELSE 'snippet title' END AS title, CASE WHEN hit THEN 'full' ELSE 'snippet' END AS data_quality,
+        CASE WHEN NOT hit THEN 'job page fetch/parse failed' END AS enrich_error, CASE WHEN hit THEN company ELSE '' END AS company,
+        CASE WHEN hit AND location <> '' THEN location ELSE 'Pune' END AS location, CASE WHEN hit THEN description ELSE 's' END AS description,
+        CASE WHEN hit THEN nullif(salary, '') END AS salary, CASE WHEN hit THEN nullif(experience, '') END AS experience, CASE WHEN hit THEN keyskills END AS keyskills,
+        CASE WHEN hit THEN nullif(listed, '') END AS listed, CASE WHEN hit THEN nullif(apply_url, '') END AS apply_url,
+        CASE WHEN hit THEN 'job-page' ELSE 'ddgs' END AS backend, CASE WHEN hit THEN 'job-page' END AS enrich_source
+      FROM t WHERE NOT (hit AND expired)""",
 )
 def page_merge(spark, sf_dir):
     pages_ = posting_pages(spark, sf_dir)
@@ -561,7 +570,9 @@ def page_merge(spark, sf_dir):
         F.lit("").alias("company"), F.lit("Pune").alias("location"), F.lit("s").alias("description"), F.lit("snippet").alias("data_quality"),
         F.lit("ddgs").alias("backend"),
     )
-    return enrich.page_fields(rows, parsed.select("url", "expired", "page"), ["batch"]).select("posting_id", "title", "data_quality", "enrich_error")
+    return enrich.page_fields(rows, parsed.select("url", "expired", "page"), ["batch"]).select(
+        "posting_id", "title", "data_quality", "enrich_error", "company", "location", "description", "salary", "experience", "keyskills", "listed", "apply_url", "backend", "enrich_source"
+    )
 
 
 # --- detail joins, union -----------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import tenths
 from ..functions.gates import scorer_eligible
-from ..session import checkpoint
+from ..session import checkpoint, small
 
 BLOCK_BITS = 16
 
@@ -97,7 +97,7 @@ def flat_groups(df: DataFrame, by: list[str], score: str = "score") -> DataFrame
 def stretch(df: DataFrame, by: list[str], score: str = "score", normalize: bool = True) -> DataFrame:
     """Spread the scores of flat groups over [5, 100]; other groups keep theirs."""
     df = checkpoint(df)
-    wide = df.join(flat_groups(df, by, score), by)
+    wide = df.join(small(checkpoint(flat_groups(df, by, score))), by)
     room = F.col("high") - F.col("low")
     spread = tenths(5.0 + (F.col(score) - F.col("low")) / room * 95.0)
     flat = F.col("is_flat") & F.lit(normalize) & (room >= 1e-9)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.base import DAY, filled, strip, text, within
+from ..session import checkpoint
 
 SEEN_SCHEMA = (
     "url string, title string, company string, source string, first_seen double, last_seen double, seen_count bigint"
@@ -167,7 +168,7 @@ def work_list(ranked: DataFrame, cache: DataFrame, ttl: int, max_calls: int, by:
     """Rows to score: cache hits are free, then at most ``max_calls`` misses per group in rank order."""
     from .rank import first_n
 
-    looked = cache_get(ranked, cache, ttl, as_of)
+    looked = checkpoint(cache_get(ranked, cache, ttl, as_of))  # hits and misses read the ranked input once
     hits = looked.filter(F.col("value").isNotNull()).withColumn("call_no", F.lit(None).cast("int"))
     misses = looked.filter(F.col("value").isNull())
     if max_calls > 0:
