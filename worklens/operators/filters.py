@@ -6,9 +6,10 @@ are a filter and the whole report is one aggregation over the same marks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, gates, places, words
@@ -109,13 +110,20 @@ class Profile:
 
     def columns(self, spark: SparkSession) -> ProfileColumns:
         """Prepared values as literals of the plan, so one profile costs no join at all."""
-        schema = ", ".join(f"p_{n} {t}" for n, t in PROFILE_TYPES.items())
-        row = [list(v) if isinstance(v, tuple) else v for v in (getattr(self, n) for n in PROFILE_TYPES)]
-        one = prepare(spark.createDataFrame([row], schema)).first()
+        plain = {f.name: getattr(self, f.name) for f in fields(self)}
+        one = _prepared(Profile(**{k: tuple(v) if isinstance(v, list) else v for k, v in plain.items()}))
         values = {n: _literal(one["p_" + n]) for n in PREPARED}
         return ProfileColumns(**{n: v.cast(_ARRAYS[n]) if n in _ARRAYS else v for n, v in values.items()})
 
 
+@lru_cache(maxsize=256)
+def _prepared(profile: Profile) -> Row:
+    """Prepared values of a profile: a small job the first time a driver meets it, remembered for its later plans."""
+    schema = ", ".join(f"p_{n} {t}" for n, t in PROFILE_TYPES.items())
+    row = [list(v) if isinstance(v, tuple) else v for v in (getattr(profile, n) for n in PROFILE_TYPES)]
+    return prepare(SparkSession.active().createDataFrame([row], schema)).first()
+
+
 @dataclass(frozen=True)
 class FilterOptions:
     days: int | None = 7
