@@ -132,5 +132,5 @@ def test_pipeline_runs_over_documents(spark):
 
 
 def test_registered_queries(spark):
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)

@@ -75,7 +75,7 @@ def _brute_contaminated(docs, items):
         for j, item in items:
             g = _words(item)
             need, run = (len(g), len(g)) if len(g) < 8 else (min(len(g), 10) * 4 // 5 + (min(len(g), 10) * 4 % 5 > 0), min(len(g), 10))
-            if i is None or j is None or len(g) < decontaminate.LEAST_WORDS:
+            if i is None or j is None or not g:
                 continue
             for d in range(-len(g), len(h)):
                 same = [int(h[d + k] == g[k]) for k in range(len(g)) if 0 <= d + k < len(h)]
