@@ -25,3 +25,12 @@ def test_title_case_reads_its_text_once(spark):
     got = df.select(title_case(F.col("t")).alias("x"))
     assert [r.x for r in got.collect()] == ["O'Neil And Sons", "", None, "É1A B"]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(t") == 1
+
+
+def test_last_crawl_of_a_url_decides(spark, tmp_path):
+    from worklens.catalog.sourcing import live_postings
+
+    # Page 1 answered 404, page 40 of the same url is there; page 44 is there, page 46 of the same url is gone.
+    rows = [(1, "https://a.example/x", "p"), (40, "https://a.example/x", "p"), (44, "https://b.example/y", "p"), (46, "https://b.example/y", "p")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in live_postings(spark, str(tmp_path)).collect()) == [1, 40]
