@@ -34,3 +34,23 @@ def test_last_crawl_of_a_url_decides(spark, tmp_path):
     rows = [(1, "https://a.example/x", "p"), (40, "https://a.example/x", "p"), (44, "https://b.example/y", "p"), (46, "https://b.example/y", "p")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(r.page_id for r in live_postings(spark, str(tmp_path)).collect()) == [1, 40]
+
+
+def test_texts_become_objects_piece_by_piece():
+    import pyarrow as pa
+
+    from worklens.sources.payloads import PIECE, _each
+
+    texts = [None if i % 7 == 0 else f"t{i}" for i in range(2 * PIECE + 5)]
+    assert _each(pa.array(texts), lambda t: t and t.upper()).to_pylist() == [t and t.upper() for t in texts]
+    assert _each(pa.array([], pa.string()), str).to_pylist() == []
+
+
+def test_cards_and_envelopes_are_parsed_in_many_tasks(spark, tmp_path):
+    from worklens.catalog import sourcing
+
+    rows = [(k, f"name {k}", "brand", "type") for k in range(1, 400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert sourcing.envelopes(spark, str(tmp_path)).rdd.getNumPartitions() >= 4 * cores
+    assert sourcing.search_card_rows(spark, str(tmp_path)).rdd.getNumPartitions() >= 8 * cores
