@@ -54,3 +54,15 @@ def test_cards_and_envelopes_are_parsed_in_many_tasks(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     assert sourcing.envelopes(spark, str(tmp_path)).rdd.getNumPartitions() >= 4 * cores
     assert sourcing.search_card_rows(spark, str(tmp_path)).rdd.getNumPartitions() >= 8 * cores
+
+
+def test_replayed_batches_are_many_files(spark, tmp_path):
+    from worklens.catalog import streams
+
+    rows = spark.range(1000).toDF("posting_id")
+    seen = []
+    stream = streams.replayed(rows, "posting_id", str(tmp_path))
+    assert len(spark.read.parquet(f"{tmp_path}/in").inputFiles()) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = stream.writeStream.foreachBatch(lambda batch, number: seen.append(batch.count())).option("checkpointLocation", f"{tmp_path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == streams.PARTS and sum(seen) == 1000 and max(seen) < 600

@@ -28,10 +28,12 @@ def _folder(spark: SparkSession) -> str:
 
 
 def replayed(rows: DataFrame, order: str, folder: str) -> DataFrame:
-    """A stream of PARTS batches of ``rows``, in ranges of ``order``."""
+    """A stream of PARTS batches of ``rows``. Each file holds a range of ``order``; there are as many as a shuffle has parts, so no task holds a batch."""
     spark = rows.sparkSession
-    rows.repartitionByRange(PARTS, order).sortWithinPartitions(order).write.option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    per_batch = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)
+    rows.repartitionByRange(PARTS * per_batch, order).sortWithinPartitions(order).write.option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
+    per_batch = -(-len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles()) // PARTS)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, per_batch)).parquet(f"{folder}/in")
 
 
 @query(
