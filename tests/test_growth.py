@@ -66,3 +66,25 @@ def test_replayed_batches_are_many_files(spark, tmp_path):
     writer = stream.writeStream.foreachBatch(lambda batch, number: seen.append(batch.count())).option("checkpointLocation", f"{tmp_path}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == streams.PARTS and sum(seen) == 1000 and max(seen) < 600
+
+
+def test_only_rows_of_running_calls_are_frames(spark):
+    import datetime
+
+    from worklens.operators import scorer
+
+    work = spark.range(500).select(
+        "id", F.concat(F.lit("p"), "id").alias("prompt_facts"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("n"), F.lit("2024-01-05 10:00:00").cast("timestamp").alias("at")
+    ).coalesce(1)
+
+    def scores(frame):
+        import gc
+
+        import pandas as pd
+
+        alive = max(len(x) for x in gc.get_objects() if isinstance(x, pd.DataFrame))
+        return frame["id"].astype(str) + f" {alive} " + frame["at"].astype(str)
+
+    got = scorer.call_scorer(work, scores, rows_per_call=50).collect()
+    assert [(r.id, r.n, r.answer) for r in sorted(got)] == [(i, i if i % 2 == 0 else None, f"{i} 50 2024-01-05 10:00:00") for i in range(500)]
+    assert {r.at for r in got} == {datetime.datetime(2024, 1, 5, 10)}

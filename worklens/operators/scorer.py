@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,33 +148,44 @@ def _answers(scorer: Scorer, frame: pd.DataFrame, retries: int) -> list[str | No
     return _answers(scorer, frame.iloc[:middle], retries) + _answers(scorer, frame.iloc[middle:], retries)
 
 
+def _frame(rows: pa.RecordBatch) -> pd.DataFrame:
+    """Rows as a frame; times are local ones of the session."""
+    frame = pa.Table.from_batches([rows]).to_pandas(maps_as_pydicts="strict")
+    return frame.assign(**{c: frame[c].dt.tz_localize(None) for c in frame.select_dtypes("datetimetz").columns})
+
+
 def call_scorer(work: DataFrame, scorer: Scorer, rows_per_call: int | None = None, at_once: int = 1, retries: int = 0) -> DataFrame:
     """Add ``answer``: a user scorer's text for every row of the work list, NULL where it failed, so that row keeps its heuristic score.
 
     ``scorer`` maps a frame with ``prompt_facts`` to answer texts. A task calls it with ``rows_per_call`` rows (an
     Arrow batch by default), up to ``at_once`` calls at a time, and takes further rows only as calls end. A call that raises is
-    tried ``retries`` times more, then split, so one bad row costs its own answer alone.
+    tried ``retries`` times more, then split, so one bad row costs its own answer alone. Only the rows of running calls are frames;
+    the rest of a batch stays in Arrow.
     """
     schema = work.select("*", F.lit(None).cast("string").alias("answer")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def calls() -> Iterator[pd.DataFrame]:
-            for frame in batches:
-                size = rows_per_call or max(1, len(frame))
-                for at in range(0, len(frame), size):
-                    yield frame.iloc[at : at + size]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def calls() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size = rows_per_call or max(1, batch.num_rows)
+                for at in range(0, batch.num_rows, size):
+                    yield batch.slice(at, size)
+
+        def answered(rows: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            answers = pa.array(found, pa.string(), from_pandas=True)
+            return pa.RecordBatch.from_arrays([*rows.columns, answers], [*rows.schema.names, "answer"])
 
         with ThreadPoolExecutor(at_once) as pool:
             running: deque = deque()
-            for frame in calls():
-                running.append((frame, pool.submit(_answers, scorer, frame, retries)))
+            for rows in calls():
+                running.append((rows, pool.submit(lambda r: _answers(scorer, _frame(r), retries), rows)))
                 if len(running) >= at_once:
                     done, answers = running.popleft()
-                    yield done.assign(answer=answers.result())
+                    yield answered(done, answers.result())
             for done, answers in running:
-                yield done.assign(answer=answers.result())
+                yield answered(done, answers.result())
 
-    return work.mapInPandas(run, schema)
+    return work.mapInArrow(run, schema)
 
 
 def expand_queries(rows: DataFrame, base: str, answer: str) -> DataFrame:
