@@ -134,3 +134,14 @@ def test_few_skills_are_sought_without_moving_texts(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     found = sorted(few.collect())
     assert found == sorted(more.collect()) and any(r.feature == "w:c++" for r in found)
+
+
+def test_a_landing_opens_its_own_files(spark, tmp_path):
+    from worklens.catalog import streams
+
+    rows = spark.range(400).toDF("k").repartition(4).withColumn("t", F.when(F.col("k") % 8 != 3, F.col("k").cast("string")))
+    one = streams._parted(rows, F.when(F.col("k") < 300, F.col("k") % 3).cast("int"), str(tmp_path))
+    files = [set(f for f, in one(n).select(F.input_file_name()).distinct().collect()) for n in range(4)]
+    assert all(files[:3]) and not files[3] and len(set.union(*files)) == sum(map(len, files))
+    assert "PartitionFilters: [isnotnull(_part" in one(1)._jdf.queryExecution().executedPlan().toString()
+    assert [sorted(map(tuple, one(n).collect())) for n in range(4)] == [[(k, None if k % 8 == 3 else str(k)) for k in range(n, 300, 3)] if n < 3 else [] for n in range(4)]

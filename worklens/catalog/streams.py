@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rank
-from ..session import checkpoint, shared_folder
+from ..session import shared_folder
 from ..sinks import committed, documents
 from ..sources import landing, payloads
 from ..streaming import arrivals, breaker, watch
@@ -57,15 +57,23 @@ def seen_stream(spark, sf_dir):
     return out.select("url", "first_row.*", "first_seen", "last_seen", "seen_count")
 
 
+def _parted(rows: DataFrame, part: Column, folder: str) -> Callable[[int], DataFrame]:
+    """Write ``rows`` once, by part, and give a reader of one part: it opens the files of that part alone."""
+    numbered = rows.withColumn("_part", part)
+    numbered.write.partitionBy("_part").parquet(f"{folder}/parts")
+    back = rows.sparkSession.read.schema(numbered.schema).parquet(f"{folder}/parts")
+    return lambda number: back.where(F.col("_part") == number).drop("_part")
+
+
 def _in_parts(rows: DataFrame, part: Column, folder: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
     """Land ``rows`` in PARTS parts by number; after each, the stream starts from its checkpoint, takes what is new and ends.
 
     So the order of the batches follows the data, not the times of files.
     """
     spark = rows.sparkSession
-    numbered = checkpoint(rows.withColumn("_part", part))
+    one = _parted(rows, part, folder)
     for number in range(PARTS):
-        numbered.where(F.col("_part") == number).drop("_part").write.parquet(f"{folder}/in/landed={number}")
+        one(number).write.parquet(f"{folder}/in/landed={number}")
         run(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/landed=*")).awaitTermination()
 
 
@@ -123,7 +131,8 @@ def watch_stream(spark, sf_dir):
     rows = shapes.postings(spark, sf_dir)
     most = rows.agg(F.max("posting_id")).first()[0] or 0
     part = F.floor(F.col("posting_id") * PARTS / (most + 1)).cast("int")
-    _in_parts(rows, part, folder, lambda stream: watch.watch(stream, CANDIDATE, OPTIONS, f"{folder}/out", f"{folder}/state", as_of()))
+    # A part is a range of numbers, which few files hold; spread, every task of a batch has postings to score.
+    _in_parts(shapes.spread(rows, "posting_id"), part, folder, lambda stream: watch.watch(stream, CANDIDATE, OPTIONS, f"{folder}/out", f"{folder}/state", as_of()))
     number = max(r.batch for r in spark.read.parquet(f"{folder}/out/current").select("batch").distinct().collect())
     seen = watch.seen_now(spark, f"{folder}/out", number).select("url", F.col("seen_count").alias("n"))
     new = spark.read.option("mergeSchema", "true").parquet(f"{folder}/out/new").filter(F.col("url") != "")
@@ -230,9 +239,10 @@ def _landed(rows: DataFrame, part: Column, schema: str, parse: Callable[[DataFra
     folder = _folder(spark)
     line = F.to_json(F.struct(*[c for c in rows.columns if c != "_broken"]))
     line = F.when(F.col("_broken"), F.concat(F.lit(broken), line)).otherwise(line) if broken else line
-    numbered = checkpoint(rows.select(part.alias("_part"), line.alias("value")))
+    keyed = rows.select(part.cast("int").alias("_number"), line.alias("value"))
+    one = _parted(keyed, F.col("_number"), folder)
     for number in range(PARTS):
-        numbered.where(F.col("_part") == number).select("value").write.text(f"{folder}/in/{number:012d}")
+        one(number).select("value").write.text(f"{folder}/in/{number:012d}")
         parsed = parse(landing.records(landing.lines(spark, f"{folder}/in"), schema))
         writer = parsed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
         writer.trigger(availableNow=True).start().awaitTermination()
