@@ -36,6 +36,27 @@ def test_last_crawl_of_a_url_decides(spark, tmp_path):
     assert sorted(r.page_id for r in live_postings(spark, str(tmp_path)).collect()) == [1, 40]
 
 
+def test_a_marker_is_sought_in_the_whole_body(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    # Pages that answer 200 in place; in 40, 60 and 100 a marker stands wholly or partly behind the first 4096 characters or bytes.
+    bodies = {
+        40: "x" * 5000 + "This job has EXPIRED", 60: "é" * 4000 + "We're sorry", 100: "x" * 4090 + "page not found" + "x" * 200_000, 140: "position has been filled",
+        180: "x" * 5000, 200: "", 240: None, 280: "x" * 5000 + "job  expired",
+    }
+    rows = [(k, f"https://a.example/x/{k}", html) for k, html in bodies.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    alive = [180, 200, 240, 280]
+    queries, oracle = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert sorted(r.page_id for r in queries["live_postings"](spark, str(tmp_path)).collect()) == alive
+    assert sorted(k for k, in con.execute(oracle["live_postings"]).fetchall()) == alive
+    assert sorted(r.page_id for r in queries["dead_posting_verdict"](spark, str(tmp_path)).collect() if r.alive) == alive
+
+
 def test_texts_become_objects_piece_by_piece():
     import pyarrow as pa
 
